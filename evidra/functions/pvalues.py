@@ -7,10 +7,16 @@ Spark lacks, runs in an Arrow-batched UDF on a few rows per group pair.
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import DoubleType
+
+# The UDF travels with its code, so executors need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _NORMAL_ABOVE = 1e6  # degrees of freedom from which the normal tail is exact to ~1e-7
 
@@ -66,7 +72,7 @@ def t_two_sided(t: np.ndarray, dof: np.ndarray) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _t_tail(t: pd.Series, dof: pd.Series) -> pd.Series:
     p = t_two_sided(t.to_numpy(dtype=float), dof.to_numpy(dtype=float))
     return pd.Series(p).where(~np.isnan(p), None)
