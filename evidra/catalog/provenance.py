@@ -1 +1,127 @@
+"""Provenance queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from evidra import bindings as B
+from evidra.catalog import query
+from evidra.catalog.common import rounded
+from evidra.catalog.sqlparts import with_
+from evidra.operators import provenance as P, relational as R
+
+LISTED = """SELECT p.* EXCLUDE (source_doi), s.id AS source_id, CASE WHEN len(source_ids) > 0 THEN coalesce(s.name, 'Unknown') END AS source_name,
+            coalesce(nullif(source_doi, ''), s.doi) AS source_doi FROM provenance p LEFT JOIN sources s ON s.id = source_ids[1]"""
+
+
+def _typed(spark, sf):
+    orders = B.table(spark, sf, "orders")
+    return R.entity_lookup([
+        ("ElectrolyteFormulation", orders.select(F.concat(F.lit("order:"), "o_orderkey").alias("id"), F.col("o_orderpriority").alias("name"))),
+        ("PropertyMeasurement", orders.select(F.concat(F.lit("m:"), "o_orderkey").alias("id"), F.col("o_orderstatus").alias("name")))])
+
+
+@query("explain_entities", "W-130 W-50", with_("provenance sources", """
+    SELECT e.id, e.entity_type, e.name, source_name, source_doi, source_row_id, extraction_method, confidence, validated FROM (
+      SELECT 'order:' || o_orderkey AS id, 'ElectrolyteFormulation' AS entity_type, o_orderpriority AS name FROM orders
+      UNION ALL SELECT 'm:' || o_orderkey, 'PropertyMeasurement', o_orderstatus FROM orders) e LEFT JOIN listed ON entity_id = e.id""", listed=LISTED))
+def explain_entities(spark, sf):
+    return P.explain_entities(_typed(spark, sf), B.provenance(spark, sf), B.sources(spark, sf))
+
+
+@query("provenance_sources", "W-50", with_("provenance sources", """
+    SELECT id, source_id, source_name, source_doi FROM listed""", listed=LISTED))
+def provenance_sources(spark, sf):
+    return P.with_sources(B.provenance(spark, sf), B.sources(spark, sf)).select("id", "source_id", "source_name", "source_doi")
+
+
+@query("explain_relations", "W-131", with_("parts hypotheses", """
+    SELECT e.subject, e.predicate, e.object, CASE WHEN same THEN 'SMILES_matching' WHEN e.predicate = 'decomposesTo' THEN 'literature_knowledge'
+             WHEN e.predicate IN ('increases', 'decreases', 'coOccursWith') THEN h.source END AS inference_method, h.confidence,
+           CASE WHEN same THEN 'Both entities have identical SMILES: ' || sk WHEN e.predicate = 'decomposesTo' THEN 'Decomposition pathway from electrolyte chemistry literature' END AS explanation,
+           CASE e.predicate WHEN 'sameAs' THEN 'SMILES String Matching' WHEN 'decomposesTo' THEN 'Literature Knowledge' WHEN 'coOccursWith' THEN 'Association Rule Mining'
+             WHEN 'increases' THEN 'Correlation Analysis' WHEN 'decreases' THEN 'Correlation Analysis' END AS kind_of_basis, count(*) AS copies
+    FROM (SELECT e.*, a.smiles AS sk, coalesce(predicate = 'sameAs' AND a.smiles = b.smiles, false) AS same FROM edges e
+          LEFT JOIN parts a ON CAST(a.id AS VARCHAR) = subject LEFT JOIN parts b ON CAST(b.id AS VARCHAR) = object) e LEFT JOIN h USING (subject, predicate, object) GROUP BY ALL""",
+    edges="""SELECT CAST(l_partkey AS VARCHAR) AS subject, CASE WHEN l_returnflag = 'R' THEN 'sameAs' ELSE 'decomposesTo' END AS predicate, CAST(l_suppkey AS VARCHAR) AS object FROM lineitem
+             UNION ALL SELECT subject, predicate, object FROM hypotheses WHERE status = 'validated'""",
+    h="""SELECT subject, predicate, object, arg_min(source, id) AS source, arg_min(confidence, id) AS confidence FROM hypotheses
+         WHERE predicate IN ('increases', 'decreases', 'coOccursWith') GROUP BY ALL"""))
+def explain_relations(spark, sf):
+    line = B.table(spark, sf, "lineitem").select(
+        F.col("l_partkey").cast("string").alias("subject"), F.when(F.col("l_returnflag") == "R", "sameAs").otherwise("decomposesTo").alias("predicate"),
+        F.col("l_suppkey").cast("string").alias("object"))
+    hyp = B.hypotheses(spark, sf)
+    edges = line.unionByName(hyp.where("status = 'validated'").select(*R.SPO))
+    mols = B.parts(spark, sf).select(F.col("id").cast("string").alias("id"), "smiles")
+    out = P.explain_relations(edges, mols, hyp)
+    return out.groupBy(*out.columns).agg(F.count("*").alias("copies"))
+
+
+@query("trace_measurements", "W-132", with_("order_measurements provenance", """
+    SELECT m.id, property_type, value, 'order:' || formulation_id AS formulation_id, o_orderpriority AS formulation_name, p.source_doi AS source_dataset, p.source_row_id AS original_row
+    FROM order_measurements m JOIN orders ON o_orderkey = formulation_id LEFT JOIN (
+      SELECT entity_id, arg_min(struct_pack(d := source_doi, r := source_row_id), id).d AS source_doi, arg_min(source_row_id, id) AS source_row_id FROM provenance GROUP BY 1) p
+      ON p.entity_id = 'order:' || formulation_id"""))
+def trace_measurements(spark, sf):
+    owners = B.table(spark, sf, "orders").select(
+        F.concat(F.lit("m:"), "o_orderkey").alias("measurement_id"), F.concat(F.lit("order:"), "o_orderkey").alias("formulation_id"),
+        F.col("o_orderpriority").alias("formulation_name"))
+    return P.trace_measurements(B.order_measurements(spark, sf).select("id", "property_type", "value"), owners, B.provenance(spark, sf))
+
+
+OWNED = dict(
+    listed=LISTED,
+    links="SELECT 'order:' || o_orderkey AS entity_id, 'm:' || o_orderkey AS measurement_id FROM orders",
+    recs="""SELECT entity_id AS owner_id, entity_type, source_name, source_doi, source_row_id, extraction_method, confidence FROM listed
+              WHERE source_name IS NOT NULL AND entity_id IN (SELECT entity_id FROM links)
+            UNION ALL SELECT links.entity_id, 'Measurement (totalprice)', source_name, source_doi, source_row_id, extraction_method, confidence
+              FROM links JOIN listed ON listed.entity_id = measurement_id WHERE source_name IS NOT NULL""")
+
+
+def _owned(spark, sf):
+    links = B.table(spark, sf, "orders").select(
+        F.concat(F.lit("order:"), "o_orderkey").alias("entity_id"), F.concat(F.lit("m:"), "o_orderkey").alias("measurement_id"))
+    return P.provenance_with_measurements(links, B.order_measurements(spark, sf), B.provenance(spark, sf), B.sources(spark, sf))
+
+
+@query("provenance_with_measurements", "W-133", with_("provenance sources", "SELECT * FROM recs", **OWNED))
+def provenance_with_measurements(spark, sf):
+    return _owned(spark, sf).select("owner_id", "entity_type", "source_name", "source_doi", "source_row_id", "extraction_method", "confidence")
+
+
+@query("provenance_by_source", "W-71", with_("provenance sources", """
+    SELECT owner_id, source_name, min(source_doi) AS doi, count(source_row_id) AS rows, count(DISTINCT entity_type) AS types FROM recs GROUP BY ALL""", **OWNED))
+def provenance_by_source(spark, sf):
+    return P.grouped_by_source(_owned(spark, sf))
+
+
+@query("provenance_coverage", "W-55", with_("provenance", """
+    SELECT count(*) AS total, count(source_doi) AS with_doi, count(*) FILTER (validated) AS validated FROM provenance"""))
+def provenance_coverage(spark, sf):
+    return P.coverage(B.provenance(spark, sf))
+
+
+@query("provenance_completeness", "W-54", with_("provenance order_measurements hypotheses", """
+    SELECT c AS complete_records, n AS entities, v AS covered_entities, round(c * 1.0 / n, 6) AS as_reference, round(v * 1.0 / n, 6) AS as_documented FROM (
+      SELECT (SELECT count(*) FROM complete) AS c, (SELECT count(*) FROM scope) AS n, (SELECT count(*) FROM scope WHERE id IN (SELECT entity_id FROM complete)) AS v)""",
+    complete="SELECT * FROM provenance WHERE len(source_ids) > 0 OR source_doi IS NOT NULL",
+    scope="SELECT 'order:' || o_orderkey AS id FROM orders UNION ALL SELECT id FROM order_measurements UNION ALL SELECT id FROM hypotheses"))
+def provenance_completeness(spark, sf):
+    orders = B.table(spark, sf, "orders").select(F.concat(F.lit("order:"), "o_orderkey").alias("id"))
+    out = P.completeness(B.provenance(spark, sf), orders, B.order_measurements(spark, sf), B.hypotheses(spark, sf))
+    return rounded(out, 6, "as_reference", "as_documented")
+
+
+@query("source_catalogue", "W-135", with_("sources", "SELECT id, name, doi, url, source_type FROM sources"))
+def source_catalogue(spark, sf):
+    return B.sources(spark, sf).select("id", "name", "doi", "url", "source_type")
+
+
+@query("provenance_rows", "W-127", """
+    SELECT 'prov-' || substr(md5(o_orderkey || ':atlas:row-' || o_orderkey), 1, 16) AS id, CAST(o_orderkey AS VARCHAR) AS entity_id, 'atlas' AS source_id,
+           '10.1038/s41597-024-03575-8' AS source_doi, 'row-' || o_orderkey AS source_row_id, 'structured_ingestion' AS extraction_method, 0.8::DOUBLE AS confidence FROM orders""")
+def provenance_rows(spark, sf):
+    ent = B.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    out = P.provenance_rows(ent, "ElectrolyteFormulation", "atlas", "10.1038/s41597-024-03575-8", F.concat(F.lit("row-"), F.col("id").cast("string")), confidence=0.8)
+    return out.select("id", "entity_id", F.col("source_ids")[0].alias("source_id"), "source_doi", "source_row_id", "extraction_method", "confidence")
