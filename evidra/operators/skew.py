@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import MapType
 
 HOT_ROWS = 5_000_000
 SALTS = 64
@@ -24,7 +25,8 @@ def salted_lookup(
         .where(F.col("_n") > hot_rows)
         .select(key, F.lit(True).alias("_hot"))
     )
-    spread = F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int")
+    hashable = [f.name for f in facts.schema if not isinstance(f.dataType, MapType)]
+    spread = F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int")
     left = facts.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(0)).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     right = lookup.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
