@@ -1 +1,310 @@
+"""Source normalisation over frames that Spark derives from the benchmark tables."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from evidra import bindings as B, vocab
+from evidra.catalog import query
+from evidra.catalog.common import rounded
+from evidra.operators import provenance as P, summaries as SU
+from evidra.plans import version_step as V
+from evidra.session import ensure_checkpoint_dir
+from evidra.sources import normalize as N, snapshot as SN
+
+
+def _scratch(spark) -> str:
+    """A fresh folder beside the checkpoints, on storage every executor sees."""
+    return f"{ensure_checkpoint_dir(spark)}/snapshots-{uuid.uuid4().hex}"
+
+
+def _lines(spark, sf):
+    parts = B.table(spark, sf, "part").select("p_partkey", "p_type", "p_size")
+    return B.table(spark, sf, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey")).withColumn(
+        "row_id", F.concat_ws(":", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
+
+
+ROW = "concat_ws(':', l_orderkey, l_partkey, l_suppkey, l_linenumber)"
+
+
+def _composition_raw(spark, sf):
+    """Orders as mixtures: how many lines of each part type, all as text."""
+    count = lambda t: F.count_if(F.col("p_type") == t).cast("string")
+    mixed = _lines(spark, sf).groupBy("l_orderkey").agg(
+        count("STANDARD").alias("EC"), count("MEDIUM").alias("PC"), count("LARGE").alias("EMC"), count("SMALL").alias("LiPF_6"))
+    orders = B.table(spark, sf, "orders")
+    return mixed.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("l_orderkey").alias("row_id"), "EC", "PC", "EMC", "LiPF_6", F.lit("x").alias("temperature"),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice").cast("string")).otherwise("n/a").alias("EIS_conductivity"))
+
+
+MIXED = """SELECT l_orderkey AS row_id, count(*) FILTER (p_type = 'STANDARD') AS ec, count(*) FILTER (p_type = 'MEDIUM') AS pc, count(*) FILTER (p_type = 'LARGE') AS emc,
+           count(*) FILTER (p_type = 'SMALL') AS lipf6, any_value(CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END) AS value
+           FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON o_orderkey = l_orderkey GROUP BY 1"""
+
+
+@query("composition_formulations", "W-01 W-124 W-159", f"""
+    SELECT CAST(min(row_id) AS VARCHAR) AS source_row_id, 'EC-PC-EMC-LiPF6-' || min(row_id) AS name, CAST((ec > 0) AS INT) + CAST((pc > 0) AS INT) + CAST((emc > 0) AS INT) + CAST((lipf6 > 0) AS INT) AS n_components,
+           ec + pc + emc + lipf6 AS total_amount, count(value) AS n_measurements FROM ({MIXED}) GROUP BY ec, pc, emc, lipf6""")
+def composition_formulations(spark, sf):
+    t = N.composition_tables(_composition_raw(spark, sf))
+    comps = t.components.groupBy(F.col("formulation_id").alias("id")).agg(F.count("*").alias("nc"), F.sum("amount").alias("ta"))
+    meas = t.measurements.groupBy(F.col("owner_id").alias("id")).agg(F.count("*").alias("nm"))
+    zero = lambda c, kind: F.coalesce(c, F.lit(0)).cast(kind)
+    return t.formulations.join(comps, "id", "left").join(meas, "id", "left").select(
+        "source_row_id", "name", zero("nc", "int").alias("n_components"), zero("ta", "bigint").alias("total_amount"), zero("nm", "bigint").alias("n_measurements"))
+
+
+@query("composition_measurements", "W-01 W-144 W-155", f"""
+    SELECT CAST(row_id AS VARCHAR) AS source_row_id, value, 25.0::DOUBLE AS temperature FROM ({MIXED}) WHERE value IS NOT NULL""")
+def composition_measurements(spark, sf):
+    return N.composition_tables(_composition_raw(spark, sf)).measurements.select("source_row_id", "value", "temperature")
+
+
+def _atlas_raw(spark, sf):
+    flag = F.col("l_returnflag")
+    return _lines(spark, sf).select(
+        "row_id", (F.col("l_discount") * 5).cast("string").alias("EC"), (F.col("l_tax") * 5).cast("string").alias("PC"),
+        F.when(flag == "R", "LiPF6").when(flag == "A", "LiBF4").otherwise("LiXX").alias("salt"), (F.col("l_quantity") / 50).cast("string").alias("c"),
+        F.when(F.col("l_linestatus") == "O", "mol/kg").otherwise("mol/l").alias("c units"), (F.col("p_size") * 10).cast("string").alias("T"),
+        F.when(F.col("l_linenumber") != 3, F.col("l_extendedprice") / 1000000).cast("string").alias("k"))
+
+
+ATLAS = f"""SELECT {ROW} AS row_id, l_discount > 0 AS ec, l_tax > 0 AS pc, l_returnflag AS flag, CASE WHEN l_linenumber <> 3 THEN l_extendedprice / 1000000 END AS k,
+            CASE WHEN p_size * 10 > 200 THEN p_size * 10 - 273.15 ELSE p_size * 10 END AS t, l_discount, l_tax, l_quantity, l_linestatus FROM lineitem JOIN part ON l_partkey = p_partkey"""
+
+
+@query("atlas_measurements", "W-02 W-143", f"""
+    SELECT row_id AS source_row_id, round(k, 9) AS value, round(t, 4) AS temperature FROM ({ATLAS}) WHERE flag <> 'N' AND (ec OR pc) AND k IS NOT NULL""")
+def atlas_measurements(spark, sf):
+    out = N.atlas_tables(_atlas_raw(spark, sf)).measurements.select("source_row_id", "value", "temperature")
+    return rounded(rounded(out, 9, "value"), 4, "temperature")
+
+
+@query("atlas_rejects", "W-02 W-72", f"""
+    SELECT CASE WHEN flag = 'N' THEN 'unknown_salt' WHEN NOT ec AND NOT pc THEN 'no_solvent' ELSE 'no_value' END AS reject_reason, count(*) AS n
+    FROM ({ATLAS}) WHERE flag = 'N' OR NOT (ec OR pc) OR k IS NULL GROUP BY 1""")
+def atlas_rejects(spark, sf):
+    return N.atlas_tables(_atlas_raw(spark, sf)).rejects.groupBy("reject_reason").agg(F.count("*").alias("n"))
+
+
+@query("atlas_components", "W-02 W-42 W-150 W-159", f"""
+    WITH a AS (SELECT * FROM ({ATLAS}) WHERE flag <> 'N' AND (ec OR pc)),
+    f AS (SELECT min(row_id) AS row_id FROM a GROUP BY flag, round(l_discount * 5 * 10000), round(l_tax * 5 * 10000), round(l_quantity / 50 * 10000))
+    SELECT component_type, unit, count(*) AS n, round(sum(amount), 4) AS amount FROM (
+      SELECT 'salt' AS component_type, CASE WHEN l_linestatus = 'O' THEN 'm' ELSE 'M' END AS unit, l_quantity / 50 AS amount FROM f JOIN a USING (row_id)
+      UNION ALL SELECT 'solvent', 'weight_fraction', l_discount * 5 FROM f JOIN a USING (row_id) WHERE ec UNION ALL SELECT 'solvent', 'weight_fraction', l_tax * 5 FROM f JOIN a USING (row_id) WHERE pc) GROUP BY ALL""")
+def atlas_components(spark, sf):
+    comps = N.atlas_tables(_atlas_raw(spark, sf)).components
+    return rounded(comps.groupBy("component_type", "unit").agg(F.count("*").alias("n"), F.sum("amount").alias("amount")), 4, "amount")
+
+
+def _experimental_raw(spark, sf):
+    n = F.col("l_linenumber")
+    return _lines(spark, sf).select(
+        "row_id", F.when(n != 1, F.concat(F.lit("C"), F.col("l_suppkey"))).alias("solv_1_sm"), F.lit("1.0").alias("solv_ratio_1"),
+        F.concat(F.lit("N"), n).alias("solv_2_sm"), F.when(n > 4, "0.5").otherwise("0").alias("solv_ratio_2"),
+        F.when(n != 2, F.concat(F.lit("[Li+]"), F.col("l_returnflag"))).alias("salt_sm"), F.lit("1").alias("conc_salt"),
+        F.when(n != 3, F.col("l_extendedprice").cast("string")).otherwise("-1").alias("conductivity"), F.lit(None).cast("string").alias("temperature"))
+
+
+@query("experimental_conductivity", "W-03 W-144", f"""
+    SELECT {ROW} AS source_row_id, round(l_extendedprice / 1000, 6) AS value, 25.0::DOUBLE AS temperature FROM lineitem WHERE l_linenumber NOT IN (1, 2, 3)""")
+def experimental_conductivity(spark, sf):
+    out = N.experimental_conductivity_tables(_experimental_raw(spark, sf)).measurements
+    return rounded(out.select("source_row_id", "value", "temperature"), 6, "value")
+
+
+@query("experimental_molecules", "W-03 W-159", """
+    WITH r AS (SELECT * FROM lineitem WHERE l_linenumber NOT IN (1, 2))
+    SELECT DISTINCT 'mol-' || substr(md5(s), 1, 12) AS id, s AS smiles, role FROM (
+      SELECT 'C' || l_suppkey AS s, 'solvent' AS role FROM r UNION ALL SELECT 'N' || l_linenumber, 'solvent' FROM r WHERE l_linenumber > 4
+      UNION ALL SELECT '[Li+]' || l_returnflag, 'salt' FROM r)""")
+def experimental_molecules(spark, sf):
+    t = N.experimental_conductivity_tables(_experimental_raw(spark, sf))
+    return t.molecules.join(t.molecule_roles.withColumnRenamed("molecule_id", "id"), "id").select("id", "smiles", "role")
+
+
+@query("ionization_measurements", "W-03", f"""
+    SELECT {ROW} AS source_row_id, 'mol-' || substr(md5('C' || l_suppkey), 1, 12) AS owner_id, l_quantity AS value FROM lineitem WHERE l_linenumber <> 1""")
+def ionization_measurements(spark, sf):
+    raw = _lines(spark, sf).select("row_id", F.concat(F.lit(" C"), F.col("l_suppkey")).alias("smiles"),
+                                   F.when(F.col("l_linenumber") != 1, F.col("l_quantity")).cast("string").alias("IE"))
+    return N.ionization_tables(raw).measurements.select("source_row_id", "owner_id", "value")
+
+
+@query("efficiency_tables", "W-03", f"""
+    SELECT 'measurement' AS kind, count(*) AS n FROM lineitem WHERE l_linenumber <> 2 UNION ALL SELECT 'formulation', count(*) FROM (
+      SELECT DISTINCT l_suppkey, CASE WHEN l_linenumber = 1 THEN 'N' ELSE 'L' END FROM lineitem WHERE l_linenumber <> 2)
+    UNION ALL SELECT 'additive', count(DISTINCT l_returnflag) FROM lineitem""")
+def efficiency_tables(spark, sf):
+    n = F.col("l_linenumber")
+    raw = _lines(spark, sf).select(
+        "row_id", F.concat(F.lit("C"), F.col("l_suppkey")).alias("solvent_1_smiles"), F.lit("1").alias("solv_1_ratio"),
+        F.lit("[Li+]x").alias("salt_1_smiles"), F.when(n > 2, "1").otherwise("0").alias("salt_1_conc"),
+        F.when(n != 2, "[Na+]y").alias("salt_2_smiles"), F.lit("1").alias("salt_2_conc"), F.concat(F.lit("A"), F.col("l_returnflag")).alias("additive_smiles"),
+        F.col("l_discount").cast("string").alias("CE"))
+    t = N.efficiency_tables(raw)
+    return SU.counts(measurement=t.measurements, formulation=t.formulations, additive=t.molecule_roles.where("role = 'additive'")).withColumnRenamed("metric", "kind")
+
+
+@query("curated_measurements", "W-04", """
+    SELECT CAST(p_partkey AS VARCHAR) || '/' || k AS source_row_id, t AS property_type, v AS value FROM (
+      SELECT p_partkey, 'homo_energy' AS k, 'homo_energy' AS t, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS DOUBLE) END AS v FROM part
+      UNION ALL SELECT p_partkey, 'oxidation_potential', 'oxidation_potential_li', p_retailprice FROM part) WHERE v IS NOT NULL""")
+def curated_measurements(spark, sf):
+    value = lambda v: F.struct(v.cast("double").alias("value"), F.lit("eV").alias("unit"), F.lit("m").alias("method"), F.lit("ref").alias("reference"))
+    props = F.create_map(
+        F.lit("homo_energy"), value(F.when(F.col("p_size") % 2 == 0, F.col("p_size"))), F.lit("oxidation_potential"), value(F.col("p_retailprice")),
+        F.lit("colour"), value(F.lit(1)))
+    entries = B.table(spark, sf, "part").select(
+        F.col("p_partkey").cast("string").alias("row_id"), F.lit("solvent").alias("role"), F.col("p_name").alias("smiles"), F.col("p_name").alias("name"),
+        F.lit(None).cast("string").alias("cas_number"), F.lit(None).cast("bigint").alias("pubchem_cid"), F.lit(None).cast("double").alias("molecular_weight"),
+        F.col("p_brand").alias("abbreviation"), props.alias("properties"))
+    return N.curated_tables(entries).measurements.select("source_row_id", "property_type", "value")
+
+
+def _literature_raw(spark, sf):
+    return B.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("row_id"), F.when(F.col("lang") != "es", "Conductivity").otherwise("Voltage").alias("Property"),
+        F.when(F.col("lang") == "fr", "Graphite anode").when(F.col("n_chars") % 2 == 0, "LiPF6 @ C").otherwise(F.concat(F.lit("Ethylene  carbonate "), F.col("source"))).alias("Name"),
+        (F.col("n_chars") / 10).cast("string").alias("Value"), F.lit("mS/cm").alias("Raw_unit"), F.concat(F.lit("10.1/"), F.col("source")).alias("DOI"),
+        F.lit("[]").alias("Extracted_name"), F.concat(F.lit("Title "), F.col("doc_id")).alias("Title"), F.lit("J").alias("Journal"), F.lit("2020-02-03T00").alias("Date"))
+
+
+@query("literature_measurements", "W-05 W-139 W-140 W-146", """
+    SELECT CAST(doc_id AS VARCHAR) AS source_row_id, round(n_chars / 10.0 * 0.001, 6) AS value,
+           'mol-' || substr(md5(CASE WHEN n_chars % 2 = 0 THEN '[Li+].F[P-](F)(F)(F)(F)F' ELSE 'ethylene carbonate ' || source END), 1, 12) AS owner_id
+    FROM documents WHERE lang IN ('en', 'de') AND n_chars / 10.0 * 0.001 BETWEEN 1e-12 AND 1""")
+def literature_measurements(spark, sf):
+    out = N.literature_tables(_literature_raw(spark, sf)).measurements.select("source_row_id", "value", "owner_id")
+    return rounded(out, 6, "value")
+
+
+@query("literature_sources", "W-05 W-126 W-151", """
+    SELECT '10.1/' || source AS doi, 'Title ' || min(doc_id) AS name, '2020-02-03' AS published_on FROM documents
+    WHERE lang IN ('en', 'de') AND n_chars / 10.0 * 0.001 BETWEEN 1e-12 AND 1 GROUP BY source""")
+def literature_sources(spark, sf):
+    out = N.literature_sources(N.literature_rows(_literature_raw(spark, sf)))
+    return out.select("doi", "name", F.date_format("published_on", "yyyy-MM-dd").alias("published_on"))
+
+
+@query("literature_stats", "W-72", """
+    SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN lang = 'fr' THEN 'non_electrolyte' WHEN n_chars / 10.0 * 0.001 NOT BETWEEN 1e-12 AND 1 THEN 'invalid' ELSE 'processed' END AS outcome
+      FROM documents WHERE lang <> 'es') GROUP BY 1
+    UNION ALL SELECT 'unique_dois', count(DISTINCT source) FROM documents WHERE lang IN ('en', 'de') AND n_chars / 10.0 * 0.001 BETWEEN 1e-12 AND 1""")
+def literature_stats(spark, sf):
+    rows = N.literature_rows(_literature_raw(spark, sf)).withColumn("reject_reason", F.coalesce("reject_reason", "value_reject"))
+    return SU.ingestion_stats(rows, "doi")
+
+
+@query("genome_measurements", "W-06 W-125", """
+    WITH g AS (SELECT p_name, min(p_partkey) AS k FROM part GROUP BY 1), r AS (SELECT part.* FROM g JOIN part ON p_partkey = k)
+    SELECT 'mol-' || substr(md5(p_name), 1, 12) AS owner_id, 'ionization_energy' AS property_type, p_retailprice AS value, 'eV' AS unit FROM r
+    UNION ALL SELECT 'mol-' || substr(md5(p_name), 1, 12), 'oxidation_potential_mg', CAST(p_size AS DOUBLE), 'V' FROM r WHERE p_size % 2 = 0""")
+def genome_measurements(spark, sf):
+    null = F.lit(None).cast("double")
+    made = {"ionization_energy": F.col("p_retailprice"), "oxidation_potential_mg": F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("double"))}
+    raw = B.table(spark, sf, "part").select(
+        F.col("p_partkey").alias("row_id"), F.concat(F.lit("mp-"), "p_partkey").alias("task_id"), F.col("p_name").alias("smiles"), F.col("p_brand").alias("formula"),
+        null.alias("molecular_weight"), *[made.get(p, null).alias(p) for p, _ in vocab.GENOME_PROPERTIES])
+    return N.genome_tables(raw).measurements.select("owner_id", "property_type", "value", "unit")
+
+
+@query("prediction_measurements", "W-07 W-145 W-127", f"""
+    SELECT source_row_id, property_type, round(value, 6) AS value, 0.6::DOUBLE AS confidence FROM (
+      SELECT {ROW} AS source_row_id, 'ionic_conductivity' AS property_type, pow(10, l_quantity / 10 - 1) / 1000 AS value FROM lineitem WHERE l_linenumber <> 1
+      UNION ALL SELECT {ROW}, 'ionization_energy', l_quantity FROM lineitem WHERE l_linenumber <> 1 AND l_quantity > 2 AND l_quantity < 15
+      UNION ALL SELECT {ROW}, 'coulombic_efficiency', 1 - pow(10, l_discount * 20 - 1.5) FROM lineitem WHERE l_linenumber <> 1 AND 1 - pow(10, l_discount * 20 - 1.5) BETWEEN 0.000001 AND 0.999999)
+    WHERE property_type <> 'ionic_conductivity' OR value < 1""")
+def prediction_measurements(spark, sf):
+    raw = _lines(spark, sf).select(
+        "row_id", F.when(F.col("l_linenumber") != 1, F.concat(F.lit("C"), F.col("l_partkey"))).alias("solv_comb_sm"),
+        (F.col("l_quantity") / 10 - 1).cast("string").alias("conductivity_log"), F.col("l_quantity").cast("string").alias("IE"),
+        (F.col("l_discount") * 20 - 1.5).cast("string").alias("log_CI"))
+    t = N.prediction_tables(raw)
+    conf = t.provenance.select(F.col("entity_id").alias("id"), "confidence")
+    return rounded(t.measurements.join(conf, "id").select("source_row_id", "property_type", "value", "confidence"), 6, "value")
+
+
+@query("species_table", "W-08", """
+    SELECT event_id AS row_id, 'libe-' || event_id AS name, coalesce(CASE WHEN event_type = 'view' THEN 'V' END, 'F' || user_id) AS formula, user_id % 3 AS charge,
+           CASE WHEN value > 50 THEN value WHEN event_type <> 'click' THEN value * 2 END AS energy FROM events""")
+def species_table(spark, sf):
+    raw = B.table(spark, sf, "events").select(
+        F.col("event_id").alias("row_id"), F.lit(None).cast("string").alias("molecule_id"), F.when(F.col("event_type") == "view", "V").alias("formula_alphabetical"),
+        F.concat(F.lit("F"), "user_id").alias("formula"), (F.col("user_id") % 3).alias("charge"), F.when(F.col("value") > 50, F.col("value")).alias("final_energy"),
+        F.when(F.col("event_type") == "click", 0.0).otherwise(F.col("value") * 2).alias("energy"))
+    out = N.species_table(raw)
+    return out.select(F.col("source_row_id").cast("bigint").alias("row_id"), "name", "formula", F.col("charge").cast("bigint").alias("charge"), "energy")
+
+
+@query("lookup_dimension_join", "W-09 W-11", """
+    SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'C1COC(=O)O1' WHEN 1 THEN 'CC1COC(=O)O1' WHEN 2 THEN '[Li+].F[P-](F)(F)(F)(F)F' END AS structure,
+           CASE p_size % 4 WHEN 0 THEN 'Ethylene carbonate' WHEN 1 THEN 'Propylene carbonate' WHEN 2 THEN 'Lithium hexafluorophosphate' END AS name FROM part""")
+def lookup_dimension_join(spark, sf):
+    k = F.col("p_size") % 4
+    rows = B.table(spark, sf, "part").select("p_partkey", F.when(k == 0, "EC").when(k == 1, "PC").when(k == 2, "LiPF6").otherwise("none").alias("abbr"))
+    structures = vocab.dimension(spark, vocab.ATLAS_STRUCTURES, ["abbr", "structure"])
+    names = vocab.dimension(spark, vocab.COMPOUND_NAMES, ["abbr", "name"])
+    return rows.join(F.broadcast(structures), "abbr", "left").join(F.broadcast(names), "abbr", "left").select("p_partkey", "structure", "name")
+
+
+@query("source_and_agent_rows", "W-128", """
+    SELECT source AS id, 'agent:' || source AS agent_id, count(*) AS records FROM (SELECT ['composition', 'atlas', 'experimental', 'literature', 'genome', 'predictions', 'species', 'curated'][1 + doc_id % 8] AS source FROM documents) GROUP BY 1""")
+def source_and_agent_rows(spark, sf):
+    names = [r[0] for r in vocab.rows(vocab.DATASETS)]
+    pick = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("doc_id") % 8 + 1).cast("int"))
+    records = B.table(spark, sf, "documents").select(pick.alias("id")).groupBy("id").agg(F.count("*").alias("records"))
+    agents = P.agent_dimension(spark).select(F.col("id").alias("agent_id"), F.replace("id", F.lit("agent:"), F.lit("")).alias("id"))
+    return P.source_dimension(spark).select("id").join(agents, "id").join(records, "id")
+
+
+@query("snapshot_round_trip", "W-10 W-13 W-18", """
+    SELECT 'relations' AS metric, count(*) AS n FROM (SELECT l_orderkey FROM lineitem UNION ALL SELECT o_orderkey FROM orders UNION ALL SELECT o_custkey FROM orders
+      UNION ALL SELECT s_suppkey FROM supplier UNION ALL SELECT n_nationkey FROM nation)
+    UNION ALL SELECT 'provenance', count(*) FROM documents UNION ALL SELECT 'json_provenance', count(*) FROM documents""")
+def snapshot_round_trip(spark, sf):
+    root = _scratch(spark)
+    tables = {"relations": B.relations(spark, sf), "provenance": B.provenance(spark, sf)}
+    SN.save_tables(tables, root, "1")
+    SN.export_json({"provenance": tables["provenance"]}, f"{root}/json")
+    loaded = {n: SN.load_table(spark, root, n, "1") for n in tables}
+    return SU.counts(**loaded, json_provenance=spark.read.json(f"{root}/json/provenance"))
+
+
+@query("version_step", "W-129 W-73", """
+    WITH e AS (SELECT DISTINCT l_partkey AS s, l_returnflag AS p, l_suppkey AS o FROM lineitem)
+    SELECT 'relations' AS metric, count(*) FILTER (p <> 'N') AS before, count(*) AS after, count(*) FILTER (p = 'N') AS delta FROM e""")
+def version_step(spark, sf):
+    root = _scratch(spark)
+    edges = B.table(spark, sf, "lineitem").select(
+        F.col("l_partkey").alias("subject"), F.col("l_returnflag").alias("predicate"), F.col("l_suppkey").alias("object"))
+    SN.save_tables({"relations": edges.where("predicate <> 'N'").distinct()}, root, "6")
+    return V.step(spark, root, "6", "7", {"relations": edges}, "adds the third flag")
+
+
+@query("exported_hypotheses", "W-14 W-15 W-16", """
+    SELECT 'hypotheses' AS metric, count(*) AS n FROM documents UNION ALL SELECT 'summary', 11 UNION ALL SELECT 'decisions', count(*) FROM labels UNION ALL SELECT 'run_stages', 2""")
+def exported_hypotheses(spark, sf):
+    root = _scratch(spark)
+    h = B.hypotheses(spark, sf)
+    SN.export_hypotheses(h, SU.hypothesis_summary(h), root)
+    SN.export_decisions(h.where("status <> 'proposed'").select("id", "status"), f"{root}/decisions")
+    SN.append_run(SU.funnel(proposed=h, validated=h.where("status = 'validated'")), "run-1", root)
+    return SU.counts(
+        hypotheses=spark.read.json(f"{root}/hypotheses"), summary=spark.read.json(f"{root}/summary"),
+        decisions=spark.read.json(f"{root}/decisions"), run_stages=spark.read.parquet(f"{root}/runs"))
+
+
+@query("embedding_round_trip", "W-17", """
+    SELECT CAST(vec_id AS VARCHAR) AS id, len(embedding) AS dim, round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)), 5) AS sq FROM embeddings""")
+def embedding_round_trip(spark, sf):
+    root = _scratch(spark)
+    ent = B.table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
+    SN.save_embeddings(ent, ent.limit(1), root)
+    loaded, _ = SN.load_embeddings(spark, root)
+    sq = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
+    return rounded(loaded.select("id", F.size("vec").cast("bigint").alias("dim"), sq.alias("sq")), 5, "sq")
