@@ -201,9 +201,9 @@ def predicted_heads(spark, sf):
 
 
 @query("link_candidates", "W-96 W-97", with_("", """
-    SELECT subject, predicate, object, round(score, 5) AS score, round(1 / (1 + exp(-score)), 5) AS confidence,
-           CASE WHEN CAST(subject AS BIGINT) % 2 = 0 THEN 'Solvent' ELSE 'Unknown' END AS subject_type, CASE WHEN CAST(object AS BIGINT) % 2 = 0 THEN 'Solvent' ELSE 'Unknown' END AS object_type
-    FROM alltails WHERE NOT EXISTS (SELECT 1 FROM ent a, ent b WHERE a.id = subject AND b.id = object AND a.predicate = b.predicate AND a.predicate = alltails.predicate)""",
+    SELECT subject, alltails.predicate, object, round(score, 5) AS score, round(1 / (1 + exp(-score)), 5) AS confidence,
+           CASE WHEN s.predicate < 'label5' THEN 'Solvent' ELSE 'Unknown' END AS subject_type, CASE WHEN o.predicate < 'label5' THEN 'Solvent' ELSE 'Unknown' END AS object_type
+    FROM alltails JOIN ent s ON s.id = subject JOIN ent o ON o.id = object WHERE NOT EXISTS (SELECT 1 FROM ent a, ent b WHERE a.id = subject AND b.id = object AND a.predicate = b.predicate AND a.predicate = alltails.predicate)""",
     ent=VECTORS["ent"], rel=VECTORS["rel"],
     q="SELECT id AS subject, rel.predicate, list_transform(list_zip(vec, rvec), lambda z: z[1] + z[2]) AS qv FROM ent, rel WHERE rel.predicate IN ('label1', 'label2')",
     alltails="""SELECT subject, q.predicate, ent.id AS object, -list_distance(qv, vec) AS score FROM q, ent WHERE ent.id <> subject
@@ -214,7 +214,7 @@ def link_candidates(spark, sf):
     mine = ent.where(F.col("predicate").isin("label1", "label2")).select("id", "predicate")
     found = L.generate_candidates(
         mine.select(F.col("id").alias("subject"), "predicate", F.col("id").alias("object")), ent.select("id", "vec"), rel,
-        types=ent.where(F.col("id").cast("bigint") % 2 == 0).select("id", F.lit("Solvent").alias("entity_type")), predicates=["label1", "label2"], top_k=5)
+        types=ent.where("predicate < 'label5'").select("id", F.lit("Solvent").alias("entity_type")), predicates=["label1", "label2"], top_k=5)
     s, o = mine.select(F.col("id").alias("subject"), "predicate"), mine.select(F.col("id").alias("object"), "predicate")
     inside = found.join(s, ["subject", "predicate"], "left_semi").join(o, ["object", "predicate"], "left_semi")
     fresh = found.join(inside.select(*R.SPO), R.SPO, "left_anti")

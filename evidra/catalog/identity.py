@@ -232,7 +232,8 @@ def enriched_molecules(spark, sf):
            'external_kg_enrichment' AS extraction_method, 1.0::DOUBLE AS confidence FROM supplier""")
 def enrichment_provenance(spark, sf):
     mol = B.table(spark, sf, "supplier").select(
-        F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("pubchem_cid"), F.lit("").alias("smiles"),
+        F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("pubchem_cid"),
+        F.concat(F.lit("none"), "s_nationkey").alias("smiles"),
         *[F.lit(None).cast(t).alias(c) for c, t in (("inchi", "string"), ("inchi_key", "string"), ("cas_number", "string"), ("molecular_weight", "double"))],
         F.array().cast("array<string>").alias("synonyms"))
     out = E.enrichment_provenance(E.enrich(mol, _registry(spark, sf)), "registry")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from evidra import bindings as B, vocab
 from evidra.catalog import query
 from evidra.catalog.common import rounded
+from evidra.catalog.evaluating import vectors
 from evidra.operators import provenance as P, summaries as SU
 from evidra.plans import version_step as V
 from evidra.session import ensure_checkpoint_dir
@@ -304,7 +305,7 @@ def exported_hypotheses(spark, sf):
 def embedding_round_trip(spark, sf):
     root = _scratch(spark)
     ent = B.table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
-    SN.save_embeddings(ent, ent.limit(1), root)
+    SN.save_embeddings(ent, vectors(spark, sf)[1], root)
     loaded, _ = SN.load_embeddings(spark, root)
     sq = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
     return rounded(loaded.select("id", F.size("vec").cast("bigint").alias("dim"), sq.alias("sq")), 5, "sq")

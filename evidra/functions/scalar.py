@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -16,6 +17,11 @@ def any_of(words: list[str]) -> str:
     return "|".join(re.escape(w) for w in words)
 
 
+def contains_any(text: Column, words: list[str]) -> Column:
+    """Whether any word occurs: byte searches, which beat an alternation regex on long texts."""
+    return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
+
+
 def canonical_key(key: Column) -> Column:
     """Trimmed structure key; empty becomes null."""
     return F.nullif(F.trim(key), F.lit(""))
@@ -73,25 +79,25 @@ def is_electrolyte(name: Column, composition: Column) -> Column:
         lambda m: has_key(m, vocab.COMPOSITION_CATIONS) & has_key(m, vocab.COMPOSITION_ANIONS),
     )
     return (
-        F.when(norm.rlike(any_of(vocab.ELECTRODE_KEYWORDS)), False)
-        .when(norm.rlike(any_of(vocab.ELECTROLYTE_KEYWORDS)), True)
+        F.when(contains_any(norm, vocab.ELECTRODE_KEYWORDS), False)
+        .when(contains_any(norm, vocab.ELECTROLYTE_KEYWORDS), True)
         .when(norm.isin(known), True)
         .otherwise(salt_formula)
     )
 
 
 def material_role(name: Column) -> Column:
-    is_salt = normalize_name(name).rlike(any_of(vocab.SALT_NAME_PARTS))
+    is_salt = contains_any(normalize_name(name), vocab.SALT_NAME_PARTS)
     return F.when(is_salt, "salt").otherwise("solvent")
 
 
 def infer_molecule_type(name: Column, structure: Column) -> Column:
     low, smi = F.lower(name), F.coalesce(structure, F.lit(""))
     return (
-        F.when(low.rlike(any_of(vocab.SALT_INDICATORS)), "salt")
+        F.when(contains_any(low, vocab.SALT_INDICATORS), "salt")
         .when(name.rlike(r"^(Li|Na)(.?\p{Lu}|\p{Lu})"), "salt")
         .when(smi.contains("[Li") | smi.contains("[Na"), "salt")
-        .when(low.rlike(any_of(vocab.SOLVENT_INDICATORS)), "solvent")
+        .when(contains_any(low, vocab.SOLVENT_INDICATORS), "solvent")
         .otherwise("molecule")
     )
 

@@ -25,8 +25,8 @@ from evidra.session import cut_lineage
 # Task-side helpers travel with their code, so executors need no installed copy.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-PIVOTS = 64
-BLOCK = 4_096
+MAX_PIVOTS = 256
+BLOCK = 2_048
 
 
 def dense_ids(values: DataFrame, column: str) -> DataFrame:
@@ -172,36 +172,61 @@ def _to_groups(pivots: np.ndarray, radius: np.ndarray, closest: list[np.ndarray]
 
 
 def _best_of_block(k: int):
-    def best(queries: pd.DataFrame, entities: pd.DataFrame) -> pd.DataFrame:
+    spare = 16  # approximate candidates kept beyond k before exact distances decide
+    nothing = pd.DataFrame({"qid": [], "id": [], "distance": []})
+
+    def exact_best(q: np.ndarray, e: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> tuple:
+        d = np.sqrt(((e[rows] - q) ** 2).sum(1))
+        first = np.lexsort((ids[rows], d))[:k]
+        return rows[first], d[first]
+
+    def best(key, queries: pd.DataFrame, entities: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(entities):
-            return pd.DataFrame({"qid": [], "id": [], "distance": []})
-        q, e = _matrix(queries["vec"]), _matrix(entities["vec"])
-        ids = entities["id"].to_numpy()
-        d = _distances(q, e)
-        parts = []
-        for i, (qid, skip) in enumerate(zip(queries["qid"], queries["skip"])):
-            row = np.where(ids == skip, np.inf, d[i])
-            keep = min(k, len(row))
-            cut = np.partition(row, keep - 1)[keep - 1]
-            # Distances by the expanded square are rough near ties: recompute the close ones.
-            close = np.nonzero((row <= cut + 1e-6) & np.isfinite(row))[0]
-            if len(close):
-                exact = np.sqrt(((e[close] - q[i]) ** 2).sum(1))
-                first = np.lexsort((ids[close], exact))[:k]
-                parts.append(pd.DataFrame({"qid": qid, "id": ids[close][first], "distance": exact[first]}))
-        return pd.concat(parts) if parts else pd.DataFrame({"qid": [], "id": [], "distance": []})
-
-    return lambda key, queries, entities: best(queries, entities)
+            return nothing
+        entities = entities.sort_values("id")
+        q_all, e, ids = _matrix(queries["vec"]), _matrix(entities["vec"]), entities["id"].to_numpy()
+        own = pd.Series(np.arange(len(ids)), index=ids).reindex(queries["skip"]).to_numpy()
+        keep = min(k + spare, len(ids))
+        who, which, far = [], [], []
+        for start in range(0, len(q_all), 256):
+            q = q_all[start : start + 256]
+            d = _distances(q, e)
+            mine = own[start : start + 256]
+            hit = np.nonzero(~np.isnan(mine))[0]
+            d[hit, mine[hit].astype(int)] = np.inf
+            near = np.argpartition(d, keep - 1, axis=1)[:, :keep]
+            near.sort(axis=1)
+            rough = np.take_along_axis(d, near, axis=1)
+            exact = np.sqrt(((e[near] - q[:, None, :]) ** 2).sum(2))
+            exact[np.isinf(rough)] = np.inf
+            order = np.argsort(exact, axis=1, kind="stable")[:, :k]
+            chosen, dist = np.take_along_axis(near, order, axis=1), np.take_along_axis(exact, order, axis=1)
+            # Many near ties: candidates beyond the kept ones could still win, so look at all close rows.
+            if keep < len(ids):
+                for i in np.nonzero(rough.max(1) <= dist[:, -1] + 1e-6)[0]:
+                    close = np.nonzero((d[i] <= dist[i, -1] + 1e-6) & np.isfinite(d[i]))[0]
+                    c, v = exact_best(q[i], e, ids, close)
+                    chosen[i, : len(c)], dist[i, : len(v)] = c, v
+            ok = np.isfinite(dist)
+            rows, cols = np.nonzero(ok)
+            who.append(rows + start), which.append(chosen[rows, cols]), far.append(dist[rows, cols])
+        who, which, far = np.concatenate(who), np.concatenate(which), np.concatenate(far)
+        return pd.DataFrame({"qid": queries["qid"].to_numpy()[who], "id": ids[which], "distance": far})
+
+    return best
 
 
 def nearest(
-    queries: DataFrame, entities: DataFrame, k: int, pivots: int = PIVOTS, block: int = BLOCK
+    queries: DataFrame, entities: DataFrame, k: int, pivots: int | None = None, block: int = BLOCK
 ) -> DataFrame:
     """(qid, id, distance, rank): the k nearest entities of each query, exactly.
 
     ``queries(qid STRING, skip STRING, vec)``: ``skip`` is an entity never returned for it.
-    ``entities(id STRING, vec)``. Ties are broken by id.
+    ``entities(id STRING, vec)``. Ties are broken by id. By default there is one pivot per
+    block of entities, up to ``MAX_PIVOTS``.
     """
+    if pivots is None:
+        pivots = min(MAX_PIVOTS, max(1, -(-entities.count() // block)))
     # A bounded sample of entities (by hash order) serves as pivots on the driver.
     sample = entities.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()
     if not sample:

@@ -280,13 +280,14 @@ def causal_contrasts(
     """
     sets = components.select("formulation_id", "molecule_id").distinct()
     rows = measurements.where(F.col("value").isNotNull() & F.col("property_type").isNotNull())
-    rows = rows.join(sets.select("formulation_id").distinct(), "formulation_id", "left_semi")
-    centre = rows.groupBy("property_type").agg(F.avg("value").alias("centre"))
-    d = F.col("value") - F.col("centre")
-    per_form = (
-        rows.join(centre, "property_type")
-        .groupBy("formulation_id", "property_type")
-        .agg(F.count("*").alias("n"), F.sum(d).alias("s"), F.sum(d * d).alias("ss"))
+    grouped = rows.groupBy("formulation_id", "property_type").agg(
+        F.count("*").alias("n"), F.avg("value").alias("mean"), (F.var_pop("value") * F.count("*")).alias("css")
+    ).join(sets.select("formulation_id").distinct(), "formulation_id", "left_semi")
+    centre = grouped.groupBy("property_type").agg((F.sum(F.col("mean") * F.col("n")) / F.sum("n")).alias("centre"))
+    d = F.col("mean") - F.col("centre")
+    per_form = grouped.join(centre, "property_type").select(
+        "formulation_id", "property_type", "n",
+        (F.col("n") * d).alias("s"), (F.col("css") + F.col("n") * d * d).alias("ss"),
     )
     totals = per_form.groupBy("property_type").agg(
         F.sum("n").alias("tn"), F.sum("s").alias("ts"), F.sum("ss").alias("tss")

@@ -89,7 +89,7 @@ def species(spark: SparkSession, path: str, max_species: int | None = None) -> D
     if path.endswith(".csv"):
         raw = spark.read.csv(path, header=True)
     else:
-        doc = spark.read.json(path, multiLine=True, singleVariantColumn="v")
+        doc = spark.read.option("singleVariantColumn", "v").json(path, multiLine=True)
         raw = doc.select(*[
             F.try_variant_get("v", f"$.{k}", t).alias(SPECIES_RENAMED.get(k, k)) for k, t in SPECIES_FIELDS.items()
         ])
