@@ -106,12 +106,14 @@ def feature_matrix(components: DataFrame, labels: DataFrame, vocabulary: list |
         vocabulary = sorted(r[0] for r in found)
     if len(vocabulary) > MAX_FEATURES:
         raise ValueError(f"more than {MAX_FEATURES} component columns")
-    cols = []
-    for i, m in enumerate(vocabulary):
-        mine = F.col("molecule_id") == m
-        last = F.max_by(F.when(mine, F.col("amount")), F.when(mine, F.struct("position", "amount")))
-        cols.append(F.coalesce(last, F.lit(0.0)).alias(f"c_{i}"))
-    wide = components.groupBy("formulation_id").agg(*cols)
+    last = components.groupBy("formulation_id", "molecule_id").agg(
+        F.max_by("amount", F.struct("position", "amount")).alias("a")
+    )
+    cols = [
+        F.coalesce(F.max(F.when(F.col("molecule_id") == m, F.col("a"))), F.lit(0.0)).alias(f"c_{i}")
+        for i, m in enumerate(vocabulary)
+    ]
+    wide = last.groupBy("formulation_id").agg(*cols)
     joined = labels.join(wide, "formulation_id", "left")
     return joined.fillna(0.0, subset=[f"c_{i}" for i in range(len(vocabulary))])
 

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from evidra.functions import pvalues, scalar
 from evidra.operators.ranking import exact_quantiles
+from evidra.operators.skew import checked_lookup
+from evidra.session import cut_lineage
 
 HOT_FORMULATION = 1_000  # distinct components from which a formulation's pairs are salted
 SALTS = 32
@@ -219,7 +221,7 @@ def threshold_rules(
     per_form = classed.groupBy("formulation_id").agg(
         F.count("*").alias("n"), F.sum("high").alias("high"), F.sum("low").alias("low")
     )
-    size = per_form.agg(F.struct(F.sum("high").alias("high"), F.sum("low").alias("low")).alias("s")).scalar()
+    size = classed.agg(F.struct(F.sum("high").alias("high"), F.sum("low").alias("low")).alias("s")).scalar()
     counts = (
         multiplicities(components).join(per_form, "formulation_id")
         .groupBy("molecule_id")
@@ -280,26 +282,30 @@ def causal_contrasts(
     """
     sets = components.select("formulation_id", "molecule_id").distinct()
     rows = measurements.where(F.col("value").isNotNull() & F.col("property_type").isNotNull())
-    grouped = rows.groupBy("formulation_id", "property_type").agg(
-        F.count("*").alias("n"), F.avg("value").alias("mean"), (F.var_pop("value") * F.count("*")).alias("css")
-    ).join(sets.select("formulation_id").distinct(), "formulation_id", "left_semi")
-    centre = grouped.groupBy("property_type").agg((F.sum(F.col("mean") * F.col("n")) / F.sum("n")).alias("centre"))
+    # Read again for the totals and for the star join, so it is written once; later passes
+    # only see one row per (formulation, property).
+    per_form = cut_lineage(
+        rows.groupBy("formulation_id", "property_type")
+        .agg(F.count("*").alias("n"), F.avg("value").alias("mean"), (F.var_pop("value") * F.count("*")).alias("css"))
+        .join(sets.select("formulation_id").distinct(), "formulation_id", "left_semi")
+    )
+    centre = per_form.groupBy("property_type").agg((F.sum(F.col("mean") * F.col("n")) / F.sum("n")).alias("centre"))
     d = F.col("mean") - F.col("centre")
-    per_form = grouped.join(centre, "property_type").select(
-        "formulation_id", "property_type", "n",
+    centred = checked_lookup(per_form, centre, "property_type").select(
+        "formulation_id", "property_type", "centre", "n",
         (F.col("n") * d).alias("s"), (F.col("css") + F.col("n") * d * d).alias("ss"),
     )
-    totals = per_form.groupBy("property_type").agg(
+    totals = centred.groupBy("property_type", "centre").agg(
         F.sum("n").alias("tn"), F.sum("s").alias("ts"), F.sum("ss").alias("tss")
     )
     with_ = (
-        sets.join(per_form, "formulation_id")
+        sets.join(centred.drop("centre"), "formulation_id")
         .groupBy("molecule_id", "property_type")
         .agg(F.sum("n").alias("n_with"), F.sum("s").alias("s_with"), F.sum("ss").alias("ss_with"))
         .where(F.col("n_with") >= min_support)
     )
     out = (
-        with_.join(totals, "property_type").join(centre, "property_type")
+        checked_lookup(with_, totals, "property_type")
         .withColumn("n_without", F.col("tn") - F.col("n_with"))
         .where(F.col("n_without") >= min_support)
         .withColumn("m1", F.col("s_with") / F.nullif(F.col("n_with"), F.lit(0)))

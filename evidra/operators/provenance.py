@@ -79,7 +79,8 @@ def explain_relations(edges: DataFrame, molecules: DataFrame, hypotheses: DataFr
     first = hypotheses.where(F.col("predicate").isin(mined)).groupBy(*SPO).agg(
         F.min_by(F.struct("source", "confidence"), F.col("id")).alias("_h")
     )
-    joined = edges.join(s, "subject", "left").join(o, "object", "left").join(first, SPO, "left")
+    ends = salted_lookup(salted_lookup(edges, s, "subject"), o, "object")
+    joined = ends.join(first, SPO, "left")
     p = F.col("predicate")
     same = (p == "sameAs") & (F.col("_s") == F.col("_o"))
     basis = F.when(same, "SMILES_matching").when(p == "decomposesTo", "literature_knowledge").when(

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from evidra import vocab
 from evidra.functions import scalar
+from evidra.operators.skew import salted_lookup
 
 SPO = ["subject", "predicate", "object"]
 
@@ -165,7 +166,8 @@ def incident_edges(
     other = entities.select(
         F.col("id").alias("other_id"), F.col("name").alias("other_name"), F.col("type").alias("other_type")
     )
-    return seen.join(seeds.select("id").distinct(), "id", "left_semi").join(other, "other_id")
+    touching = seen.join(seeds.select("id").distinct(), "id", "left_semi")
+    return salted_lookup(touching, other, "other_id", "inner")
 
 
 def incident_sample(incident: DataFrame, per_entity: int = 10) -> DataFrame:
@@ -201,7 +203,8 @@ def induced_subgraph(relations: DataFrame, entities: DataFrame, nodes: DataFrame
     inside = alias.join(nodes.select("id"), "id", "left_semi")
     s = inside.select(F.col("alias").alias("subject"), F.col("id").alias("source"))
     o = inside.select(F.col("alias").alias("object"), F.col("id").alias("target"))
-    return relations.join(s, "subject").join(o, "object").select("source", "predicate", "target")
+    ends = salted_lookup(salted_lookup(relations, s, "subject", "inner"), o, "object", "inner")
+    return ends.select("source", "predicate", "target")
 
 
 def measurements_of_entities(relations: DataFrame, measurements: DataFrame, ids: DataFrame | None = None) -> DataFrame:
@@ -241,9 +244,9 @@ def constraint_violations(relations: DataFrame, entity_types: DataFrame) -> Data
     s = types.select(F.col("id").alias("subject"), F.col("types").alias("subject_types"))
     o = types.select(F.col("id").alias("object"), F.col("types").alias("object_types"))
     none = F.array().cast("array<string>")
+    ruled = relations.select(*SPO).join(F.broadcast(rules), "predicate")
     checked = (
-        relations.select(*SPO).join(F.broadcast(rules), "predicate")
-        .join(s, "subject", "left").join(o, "object", "left")
+        salted_lookup(salted_lookup(ruled, s, "subject"), o, "object")
         .withColumn("bad_subject", ~F.arrays_overlap(F.coalesce("subject_types", none), "domain"))
         .withColumn("bad_object", ~F.arrays_overlap(F.coalesce("object_types", none), "range"))
     )

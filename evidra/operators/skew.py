@@ -1,11 +1,14 @@
-"""Join a large side with hot keys to a lookup side that has one row per key."""
+"""Joins of a large side with hot keys to a lookup side that has one row per key."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import MapType
 
+from evidra.session import cut_lineage
+
 HOT_ROWS = 5_000_000
+BROADCAST_ROWS = 50_000
 SALTS = 64
 
 
@@ -31,3 +34,17 @@ def salted_lookup(
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     right = lookup.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
     return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
+def checked_lookup(
+    facts: DataFrame, small: DataFrame, key: str, how: str = "inner", max_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Lookup into a side expected to be small, such as one row per property type.
+
+    It is materialised and counted: up to ``max_rows`` rows it is broadcast and the facts are
+    not shuffled at all; beyond, hot keys are salted.
+    """
+    small = cut_lineage(small)
+    if small.count() <= max_rows:
+        return facts.join(F.broadcast(small), key, how)
+    return salted_lookup(facts, small, key, how)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from evidra.functions import pvalues, scalar
 from evidra.operators.ranking import exact_quantiles
+from evidra.operators.skew import checked_lookup
 
 
 def property_stats(measurements: DataFrame, min_count: int = 5) -> DataFrame:
@@ -70,14 +71,14 @@ def iqr_outliers(
     """Rows outside q1 - 3 iqr .. q3 + 3 iqr, for properties where they stay under ``max_share``."""
     rows = measurements.where(F.col("value").isNotNull() & F.col("property_type").isNotNull())
     bounds = outlier_bounds(rows, min_count, fence)
-    outside = rows.join(bounds, "property_type").where(
+    outside = checked_lookup(rows, bounds, "property_type").where(
         (F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper"))
     )
     counts = outside.groupBy("property_type").agg(F.count("*").alias("n_outliers"))
     kept = counts.join(bounds.select("property_type", "n"), "property_type").where(
         F.col("n_outliers") < F.col("n") * max_share
     )
-    return outside.join(kept.select("property_type", "n_outliers"), "property_type")
+    return checked_lookup(outside, kept.select("property_type", "n_outliers"), "property_type")
 
 
 def outlier_bounds(rows: DataFrame, min_count: int = 10, fence: float = 3.0) -> DataFrame:

@@ -84,15 +84,34 @@ def genome_json(spark: SparkSession, path: str) -> DataFrame:
     return numbered(spark.read.schema(GENOME_SCHEMA).json(path, multiLine=True))
 
 
+def _species_json(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON list of species, or a document with a ``molecules`` or ``species`` list.
+
+    Map keys keep their case, so ``smiles`` and ``SMILES`` stay apart.
+    """
+    text = spark.read.text(path, wholetext=True)
+    entry = "array<map<string,string>>"
+    nested = F.from_json("value", f"molecules {entry}, species {entry}")
+    listed = F.when(F.ltrim("value").startswith("["), F.from_json("value", entry)).otherwise(
+        F.coalesce(nested["molecules"], nested["species"])
+    )
+    maps = text.select(F.explode(listed).alias("m"))
+
+    def field(name: str):
+        if "." in name:
+            outer, inner = name.split(".")
+            return F.get_json_object(F.try_element_at("m", F.lit(outer)), f"$.{inner}")
+        return F.try_element_at("m", F.lit(name))
+
+    return maps.select(*[field(k).try_cast(t).alias(SPECIES_RENAMED.get(k, k)) for k, t in SPECIES_FIELDS.items()])
+
+
 def species(spark: SparkSession, path: str, max_species: int | None = None) -> DataFrame:
     """Species from JSON (a list) or CSV, optionally the first ``max_species`` rows."""
     if path.endswith(".csv"):
         raw = spark.read.csv(path, header=True)
     else:
-        doc = spark.read.option("singleVariantColumn", "v").json(path, multiLine=True)
-        raw = doc.select(*[
-            F.try_variant_get("v", f"$.{k}", t).alias(SPECIES_RENAMED.get(k, k)) for k, t in SPECIES_FIELDS.items()
-        ])
+        raw = _species_json(spark, path)
     rows = numbered(raw)
     return rows if max_species is None else rows.orderBy("row_id").limit(max_species)
 
