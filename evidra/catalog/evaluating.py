@@ -54,15 +54,15 @@ def dated_edges(spark, sf):
 @query("time_split", "W-101", with_("hypotheses provenance sources", """
     SELECT subject, predicate, object, strftime(first_seen, '%Y-%m-%d') AS first_seen, CASE WHEN first_seen > DATE '2021-06-30' THEN 'post' ELSE 'pre' END AS slice FROM first_seen""", **DATED))
 def time_split(spark, sf):
-    return E.time_split(dated_edges(spark, sf), "2021-06-30").withColumn("first_seen", F.date_format("first_seen", "yyyy-MM-dd"))
+    return E.time_split(E.first_seen(dated_edges(spark, sf)), "2021-06-30").withColumn("first_seen", F.date_format("first_seen", "yyyy-MM-dd"))
 
 
 @query("time_slice_ranks", "W-100", with_("hypotheses provenance sources", """
     SELECT r.id, rank, f.subject IS NOT NULL AS hit, CASE WHEN f.subject IS NOT NULL THEN 'validated' ELSE status END AS status FROM ranked r
     LEFT JOIN (SELECT * FROM first_seen WHERE first_seen > DATE '2021-06-30') f USING (subject, predicate, object)""", **DATED))
 def time_slice_ranks(spark, sf):
-    post = E.time_split(dated_edges(spark, sf), "2021-06-30").where("slice = 'post'")
-    return E.mark_time_slice(B.hypotheses(spark, sf), post).select("id", "rank", "hit", "status")
+    post = E.time_split(E.first_seen(dated_edges(spark, sf)), "2021-06-30").where("slice = 'post'")
+    return E.mark_time_slice(E.rank_by_confidence(B.hypotheses(spark, sf)), post).select("id", "rank", "hit", "status")
 
 
 CUTS = ["2020-06-30", "2021-06-30", "2022-06-30"]

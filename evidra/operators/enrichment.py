@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from evidra.operators.identity import MERGED_FIELDS
-from evidra.operators.skew import salted_lookup
+from evidra.operators.skew import salted_lookups
 
 NEW_SYNONYMS = 5
 
@@ -24,13 +24,14 @@ def match_registry(molecules: DataFrame, registry: DataFrame) -> DataFrame:
     ]
     out = molecules.withColumn("_smiles", F.trim("smiles")).withColumn("_name", F.lower(F.trim("name")))
     keyed = registry.withColumn("smiles", F.trim("smiles"))
+    sides = []
     for i, (_, left, right) in enumerate(routes):
         key = F.lower(F.trim(right)) if right == "name" else F.col(right)
         side = keyed.select(key.alias(left), payload.alias("_p"), F.col("registry_id").alias("_rid")).where(
             F.col(left).isNotNull() & (F.col(left).cast("string") != "")
         )
-        side = side.groupBy(left).agg(F.min_by("_p", "_rid").alias(f"_r{i}"))
-        out = salted_lookup(out, side, left)
+        sides.append((side.groupBy(left).agg(F.min_by("_p", "_rid").alias(f"_r{i}")), left))
+    out = salted_lookups(out, sides)
     by = F.coalesce(*[F.when(F.col(f"_r{i}").isNotNull(), r[0]) for i, r in enumerate(routes)])
     return out.withColumn("r", F.coalesce("_r0", "_r1", "_r2")).withColumn("matched_by", by).drop(
         "_r0", "_r1", "_r2", "_smiles", "_name"

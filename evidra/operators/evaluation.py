@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
@@ -50,16 +52,23 @@ def edge_dates(relations: DataFrame, provenance: DataFrame, dated_sources: DataF
     return relations.join(dated, "provenance_id", "left")
 
 
-def time_split(dated_edges: DataFrame, cutoff: str) -> DataFrame:
+def first_seen(dated_edges: DataFrame) -> DataFrame:
+    """Triples with the earliest date any of their edges carries."""
+    return dated_edges.groupBy(*SPO).agg(F.min("edge_date").alias("first_seen"))
+
+
+def time_split(seen: DataFrame, cutoff: str) -> DataFrame:
     """Triples with ``slice``: pre if first seen up to the cut-off (or undated), else post."""
-    first = dated_edges.groupBy(*SPO).agg(F.min("edge_date").alias("first_seen"))
     late = F.col("first_seen") > F.lit(cutoff).cast("date")
-    return first.withColumn("slice", F.when(late, "post").otherwise("pre"))
+    return seen.withColumn("slice", F.when(late, "post").otherwise("pre"))
+
+
+def rank_by_confidence(hypotheses: DataFrame) -> DataFrame:
+    return global_row_number(hypotheses, [F.desc("confidence"), F.asc("id")])
 
 
-def mark_time_slice(hypotheses: DataFrame, post: DataFrame) -> DataFrame:
-    """Hypotheses ranked by confidence with a hit flag; hits are validated and pass the slice."""
-    ranked = global_row_number(hypotheses, [F.desc("confidence"), F.asc("id")])
+def mark_time_slice(ranked: DataFrame, post: DataFrame) -> DataFrame:
+    """Ranked hypotheses with a hit flag; hits are validated and pass the slice."""
     hit = triples(post).withColumn("hit", F.lit(True))
     marked = ranked.join(hit, SPO, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
     return marked.withColumn("status", F.when(F.col("hit"), "validated").otherwise(F.col("status"))).withColumn(
@@ -80,12 +89,13 @@ def time_slice_result(marked: DataFrame, cutoff: str) -> DataFrame:
 
 def time_slice_experiment(hypotheses: DataFrame, dated_edges: DataFrame, cutoffs: list[str]) -> DataFrame:
     """One result row per cut-off; only edges first seen after it count as hits."""
-    out = None
+    ranked = cut_lineage(rank_by_confidence(hypotheses))
+    seen = cut_lineage(first_seen(dated_edges))
+    results = []
     for cutoff in cutoffs:
-        post = time_split(dated_edges, cutoff).where(F.col("slice") == "post")
-        row = time_slice_result(mark_time_slice(hypotheses, post), cutoff)
-        out = row if out is None else out.unionByName(row)
-    return out
+        post = time_split(seen, cutoff).where(F.col("slice") == "post")
+        results.append(time_slice_result(mark_time_slice(ranked, post), cutoff))
+    return reduce(DataFrame.unionByName, results)
 
 
 def time_slice_summary(results: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from evidra.functions import scalar
 from evidra.operators.relational import SPO, triples
+from evidra.session import cut_lineage
 
 EFFECTS = ["increases", "decreases"]
 EVIDENCE = {
@@ -63,7 +64,7 @@ def select_batch(
 ) -> DataFrame:
     """One batch: confident, new candidates; effect edges always stay, the rest fills the slots."""
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), candidates)
-    fresh = union.where(F.col("confidence") >= min_confidence).join(triples(relations), SPO, "left_anti")
+    fresh = cut_lineage(union.where(F.col("confidence") >= min_confidence).join(triples(relations), SPO, "left_anti"))
     effects = fresh.where(F.col("predicate").isin(EFFECTS))
     slots = F.greatest(F.lit(max_candidates) - effects.agg(F.count("*").alias("n")).scalar(), F.lit(0))
     order = [F.desc("confidence"), F.asc("predicate"), F.asc("subject"), F.asc("object")]

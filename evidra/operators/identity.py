@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from evidra.functions import scalar
 from evidra.operators.relational import SPO
-from evidra.operators.skew import salted_lookup
+from evidra.operators.skew import salted_lookup, salted_lookups
 from evidra.session import cut_lineage
 
 MERGED_FIELDS = ["inchi", "inchi_key", "pubchem_cid", "cas_number", "molecular_weight"]
@@ -65,7 +65,7 @@ def merged_molecules(molecules: DataFrame, udf=None) -> DataFrame:
 
 def merged_synonyms(molecules: DataFrame, udf=None) -> DataFrame:
     """(id, synonym) after merging: all synonyms, plus the names that were not kept."""
-    mapping = duplicate_map(molecules, udf).select(F.col("old_id").alias("id"), "new_id")
+    mapping = cut_lineage(duplicate_map(molecules, udf).select(F.col("old_id").alias("id"), "new_id"))
     rows = molecules.select("id", "name", "synonyms").join(mapping, "id", "left")
     kept = F.coalesce("new_id", "id")
     words = F.array_compact(F.concat(
@@ -87,7 +87,7 @@ def rewrite_edges(relations: DataFrame, mapping: DataFrame) -> DataFrame:
     """Both ends mapped to the kept ids, parallel edges kept, with a flag for changed rows."""
     s = mapping.select(F.col("old_id").alias("subject"), F.col("new_id").alias("_s"))
     o = mapping.select(F.col("old_id").alias("object"), F.col("new_id").alias("_o"))
-    joined = salted_lookup(salted_lookup(relations, s, "subject"), o, "object")
+    joined = salted_lookups(relations, [(s, "subject"), (o, "object")])
     return joined.select(
         F.coalesce("_s", "subject").alias("subject"), "predicate", F.coalesce("_o", "object").alias("object"),
         (F.col("_s").isNotNull() | F.col("_o").isNotNull()).alias("rewritten"),
@@ -108,7 +108,7 @@ def rewrite_components(components: DataFrame, mapping: DataFrame) -> DataFrame:
 
 def dedup_stats(molecules: DataFrame, relations: DataFrame, udf=None) -> DataFrame:
     """Before/after counts of one de-duplication as (metric, value)."""
-    mapping = duplicate_map(molecules, udf)
+    mapping = cut_lineage(duplicate_map(molecules, udf))
     merged = mapping.agg(F.count("*").alias("n")).scalar()
     before = molecules.agg(F.count("*").alias("n")).scalar()
     changed = rewrite_edges(relations, mapping).agg(F.count_if("rewritten").alias("n")).scalar()
@@ -144,7 +144,7 @@ def resolve_by_key_or_name(incoming: DataFrame, molecules: DataFrame) -> DataFra
         .groupBy("norm_name").agg(F.min("id").cast("string").alias("_by_name"))
     )
     rows = canonical(incoming).withColumn("norm_name", scalar.normalize_name(F.col("name")))
-    joined = salted_lookup(salted_lookup(rows, by_key, "key"), by_name, "norm_name")
+    joined = salted_lookups(rows, [(by_key, "key"), (by_name, "norm_name")])
     new_id = F.concat(F.lit("mol-"), F.substring(F.md5("norm_name"), 1, 12))
     how = F.when(F.col("_by_key").isNotNull(), "key").when(F.col("_by_name").isNotNull(), "name").otherwise("new")
     return joined.withColumn("matched_by", how).withColumn(
@@ -156,8 +156,9 @@ def resolve_with_variations(incoming: DataFrame, molecules: DataFrame) -> DataFr
     """Exact trimmed key first, then the key without explicit double bonds."""
     index = canonical(molecules).where(F.col("key").isNotNull()).groupBy("key").agg(F.max("id").cast("string").alias("_id"))
     keyed = canonical(incoming).withColumn("key2", F.replace("key", F.lit("="), F.lit("")))
-    first = salted_lookup(keyed, index, "key").withColumnRenamed("_id", "_exact")
-    second = salted_lookup(first, index.select(F.col("key").alias("key2"), F.col("_id").alias("_loose")), "key2")
+    exact = index.select("key", F.col("_id").alias("_exact"))
+    loose = index.select(F.col("key").alias("key2"), F.col("_id").alias("_loose"))
+    second = salted_lookups(keyed, [(exact, "key"), (loose, "key2")])
     return second.withColumn("molecule_id", F.coalesce("_exact", "_loose")).drop("_exact", "_loose", "key2")
 
 
@@ -231,10 +232,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     for _ in range(max_rounds):
         sym = both_ways(current)
         low = sym.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        larger = salted_lookup(sym.where(F.col("b") > F.col("a")), low, "a", "inner")
+        larger = sym.where(F.col("b") > F.col("a")).join(low, "a")  # hubs: AQE splits the edge side
         hung = larger.select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()
         low = hung.groupBy("a").agg(F.min("b").alias("m"))
-        smaller = salted_lookup(hung, low, "a", "inner")
+        smaller = hung.join(low, "a")
         rewired = smaller.select(F.inline(F.array(
             F.struct(F.col("b").alias("a"), F.col("m").alias("b")),
             F.struct(F.col("a").alias("a"), F.col("m").alias("b")),

@@ -143,24 +143,22 @@ def pair_counts(mult: DataFrame, weight: Column | None = None) -> DataFrame:
     """(comp_1 < comp_2, pair_count) from one row per (formulation, component).
 
     ``weight`` combines ``m_1`` and ``m_2`` (their product counts listings; default counts
-    formulations). Formulations with very many distinct components have the left side of
-    their self-join spread over ``SALTS`` buckets.
+    formulations). If some formulations have very many distinct components, the left side of
+    their self-join is spread over ``SALTS`` buckets. ``mult`` is read three times, so pass a
+    table that is cheap to read.
     """
-    hot = (
-        mult.groupBy("formulation_id").agg(F.count("*").alias("k"))
-        .where(F.col("k") > HOT_FORMULATION)
-        .select("formulation_id", F.lit(True).alias("hot"))
-    )
-    marked = mult.join(hot, "formulation_id", "left")
-    one = F.when(F.col("hot"), F.pmod(F.xxhash64("molecule_id"), F.lit(SALTS)).cast("int")).otherwise(0)
-    every = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    left = marked.select(
-        "formulation_id", one.alias("salt"), F.col("molecule_id").alias("comp_1"), F.col("m").alias("m_1")
-    )
-    right = marked.select(
-        "formulation_id", F.explode(every).alias("salt"), F.col("molecule_id").alias("comp_2"), F.col("m").alias("m_2")
-    )
-    pairs = left.join(right, ["formulation_id", "salt"]).where(F.col("comp_1") < F.col("comp_2"))
+    sizes = mult.groupBy("formulation_id").agg(F.count("*").alias("k")).where(F.col("k") > HOT_FORMULATION)
+    hot = cut_lineage(sizes.select("formulation_id", F.lit(True).alias("hot")))
+    keys = ["formulation_id"]
+    left = mult.select("formulation_id", F.col("molecule_id").alias("comp_1"), F.col("m").alias("m_1"))
+    right = mult.select("formulation_id", F.col("molecule_id").alias("comp_2"), F.col("m").alias("m_2"))
+    if not hot.isEmpty():
+        one = F.when(F.col("hot"), F.pmod(F.xxhash64("comp_1"), F.lit(SALTS)).cast("int")).otherwise(0)
+        every = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        left = left.join(hot, "formulation_id", "left").withColumn("salt", one).drop("hot")
+        right = right.join(hot, "formulation_id", "left").withColumn("salt", F.explode(every)).drop("hot")
+        keys.append("salt")
+    pairs = left.join(right, keys).where(F.col("comp_1") < F.col("comp_2"))
     value = F.count("*") if weight is None else F.sum(weight)
     return pairs.groupBy("comp_1", "comp_2").agg(value.alias("pair_count"))
 
@@ -173,7 +171,7 @@ def co_occurrence_rules(
     A molecule listed m times in a formulation pairs m(m-1)/2 times with itself and m1*m2
     times with another, as pairs of list positions would; the position pairs are not built.
     """
-    mult = multiplicities(components)
+    mult = cut_lineage(multiplicities(components))
     counts = mult.groupBy("molecule_id").agg(
         F.sum("m").alias("n"), F.sum(F.col("m") * (F.col("m") - 1) / 2).cast("bigint").alias("self_pairs")
     )
@@ -250,10 +248,11 @@ def association_lift(
     The most frequent ``top_pairs`` are cut before the support test, ties by name. Components
     below the support cannot be part of a kept pair, so they are dropped before pairing.
     """
-    sets = components.select("formulation_id", "molecule_id").distinct()
+    sets = cut_lineage(components.select("formulation_id", "molecule_id").distinct())
     n_forms = sets.agg(F.count_distinct("formulation_id").alias("n")).scalar()
-    freq = sets.groupBy("molecule_id").agg(F.count("*").alias("freq")).where(F.col("freq") >= min_support)
-    frequent = sets.join(freq.select("molecule_id"), "molecule_id", "left_semi").withColumn("m", F.lit(1))
+    freq = sets.groupBy("molecule_id").agg(F.count("*").alias("freq"))
+    rare = freq.where(F.col("freq") < min_support).select("molecule_id")
+    frequent = sets.join(rare, "molecule_id", "left_anti").withColumn("m", F.lit(1))
     top = (
         pair_counts(frequent)
         .orderBy(F.desc("pair_count"), "comp_1", "comp_2")

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from evidra import vocab
 from evidra.functions import scalar
 from evidra.operators.relational import SPO
-from evidra.operators.skew import salted_lookup
+from evidra.operators.skew import salted_lookup, salted_lookups
 
 
 def is_complete() -> Column:
@@ -79,7 +79,7 @@ def explain_relations(edges: DataFrame, molecules: DataFrame, hypotheses: DataFr
     first = hypotheses.where(F.col("predicate").isin(mined)).groupBy(*SPO).agg(
         F.min_by(F.struct("source", "confidence"), F.col("id")).alias("_h")
     )
-    ends = salted_lookup(salted_lookup(edges, s, "subject"), o, "object")
+    ends = salted_lookups(edges, [(s, "subject"), (o, "object")])
     joined = ends.join(first, SPO, "left")
     p = F.col("predicate")
     same = (p == "sameAs") & (F.col("_s") == F.col("_o"))

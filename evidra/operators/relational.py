@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from evidra import vocab
 from evidra.functions import scalar
-from evidra.operators.skew import salted_lookup
+from evidra.operators.skew import salted_lookup, salted_lookups
 
 SPO = ["subject", "predicate", "object"]
 
@@ -203,7 +203,7 @@ def induced_subgraph(relations: DataFrame, entities: DataFrame, nodes: DataFrame
     inside = alias.join(nodes.select("id"), "id", "left_semi")
     s = inside.select(F.col("alias").alias("subject"), F.col("id").alias("source"))
     o = inside.select(F.col("alias").alias("object"), F.col("id").alias("target"))
-    ends = salted_lookup(salted_lookup(relations, s, "subject", "inner"), o, "object", "inner")
+    ends = salted_lookups(relations, [(s, "subject"), (o, "object")], "inner")
     return ends.select("source", "predicate", "target")
 
 
@@ -235,22 +235,28 @@ def relation_report(relations: DataFrame, names: DataFrame, predicate: str, list
 
 
 def constraint_violations(relations: DataFrame, entity_types: DataFrame) -> DataFrame:
-    """Edges whose end has no type the predicate allows; ``entity_types(id, type)``, many per id."""
+    """Edges whose end has no type the predicate allows; ``entity_types(id, type)``, many per id.
+
+    The types of an entity and those a predicate allows are bit sets, compared by AND.
+    """
     spark = relations.sparkSession
+    kinds = sorted({t for _, domain, allowed in vocab.RELATION_CONSTRAINTS for t in domain + allowed})
+    bits = lambda names: sum(1 << kinds.index(n) for n in names)
     rules = spark.createDataFrame(
-        vocab.RELATION_CONSTRAINTS, "predicate string, domain array<string>, range array<string>"
+        [(p, bits(domain), bits(allowed)) for p, domain, allowed in vocab.RELATION_CONSTRAINTS],
+        "predicate string, domain long, range long",
     )
-    types = entity_types.groupBy("id").agg(F.collect_set("type").alias("types"))  # at most the type vocabulary
-    s = types.select(F.col("id").alias("subject"), F.col("types").alias("subject_types"))
-    o = types.select(F.col("id").alias("object"), F.col("types").alias("object_types"))
-    none = F.array().cast("array<string>")
+    bit = F.coalesce(*[F.when(F.col("type") == k, F.lit(1 << i)) for i, k in enumerate(kinds)], F.lit(0)).cast("long")
+    types = entity_types.groupBy("id").agg(F.bit_or(bit).alias("bits"))
+    s = types.select(F.col("id").alias("subject"), F.col("bits").alias("_s"))
+    o = types.select(F.col("id").alias("object"), F.col("bits").alias("_o"))
     ruled = relations.select(*SPO).join(F.broadcast(rules), "predicate")
-    checked = (
-        salted_lookup(salted_lookup(ruled, s, "subject"), o, "object")
-        .withColumn("bad_subject", ~F.arrays_overlap(F.coalesce("subject_types", none), "domain"))
-        .withColumn("bad_object", ~F.arrays_overlap(F.coalesce("object_types", none), "range"))
+    checked = salted_lookups(ruled, [(s, "subject"), (o, "object")])
+    outside = lambda mine, allowed: F.coalesce(F.col(mine), F.lit(0)).bitwiseAND(F.col(allowed)) == 0
+    return (
+        checked.withColumn("bad_subject", outside("_s", "domain")).withColumn("bad_object", outside("_o", "range"))
+        .where(F.col("bad_subject") | F.col("bad_object")).select(*SPO, "bad_subject", "bad_object")
     )
-    return checked.where(F.col("bad_subject") | F.col("bad_object")).select(*SPO, "bad_subject", "bad_object")
 
 
 def component_edges(components: DataFrame, molecules: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
-"""Joins of a large side with hot keys to a lookup side that has one row per key."""
+"""Joins of a large side with hot keys to lookup sides that have one row per key."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import MapType
 
@@ -12,30 +14,57 @@ BROADCAST_ROWS = 50_000
 SALTS = 64
 
 
-def salted_lookup(
-    facts: DataFrame, lookup: DataFrame, key: str, how: str = "left",
-    hot_rows: int = HOT_ROWS, salts: int = SALTS,
-) -> DataFrame:
-    """``facts.join(lookup, key, how)`` with keys of more than ``hot_rows`` facts split up.
+def hot_keys(facts: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """Keys with more than ``hot_rows`` facts, or None; at most rows / hot_rows of them exist.
 
-    Counting keys combines map-side; at most rows/hot_rows keys can be hot, and only these
-    have their lookup row repeated once per salt.
+    The count combines map-side and is run at once, so that the join itself need not be
+    planned for salting when nothing is hot.
     """
+    counts = facts.select(key).where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    hot = cut_lineage(counts.where(F.col("_n") > hot_rows).select(key))
+    return None if hot.isEmpty() else hot
+
+
+def _lookup(facts: DataFrame, lookup: DataFrame, key: str, how: str, hot: DataFrame | None, salts: int) -> DataFrame:
     if how not in ("left", "inner"):
         raise ValueError("facts must be the preserved side")
-    hot = (
-        facts.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-        .where(F.col("_n") > hot_rows)
-        .select(key, F.lit(True).alias("_hot"))
-    )
+    if hot is None:
+        return facts.join(lookup, key, how)
+    marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))  # few keys, see hot_keys
     hashable = [f.name for f in facts.schema if not isinstance(f.dataType, MapType)]
     spread = F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int")
-    left = facts.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(0)).drop("_hot")
+    left = facts.join(marked, key, "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(0)).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = lookup.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    right = lookup.join(marked, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
+def salted_lookup(
+    facts: DataFrame, lookup: DataFrame, key: str, how: str = "left",
+    hot_rows: int = HOT_ROWS, salts: int = SALTS,
+) -> DataFrame:
+    """``facts.join(lookup, key, how)`` with keys of more than ``hot_rows`` facts split up.
+
+    Only hot keys have their lookup row repeated, once per salt.
+    """
+    return salted_lookups(facts, [(lookup, key)], how, hot_rows, salts)
+
+
+def salted_lookups(
+    facts: DataFrame, lookups: Sequence[tuple[DataFrame, str]], how: str = "left",
+    hot_rows: int = HOT_ROWS, salts: int = SALTS,
+) -> DataFrame:
+    """Several lookups in a row; hot keys are counted on the facts as they come in.
+
+    A lookup has one row per key, so it adds no rows and the counts stay an upper bound.
+    """
+    hot = [hot_keys(facts, key, hot_rows) for _, key in lookups]
+    out = facts
+    for (lookup, key), h in zip(lookups, hot):
+        out = _lookup(out, lookup, key, how, h, salts)
+    return out
+
+
 def checked_lookup(
     facts: DataFrame, small: DataFrame, key: str, how: str = "inner", max_rows: int = BROADCAST_ROWS
 ) -> DataFrame:

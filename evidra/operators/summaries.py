@@ -145,11 +145,12 @@ def ingestion_stats(tagged: DataFrame, doi: str | None = None) -> DataFrame:
 
 def stats_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     """(metric, before, after, delta) of two (metric, n) tables."""
-    b = before.select("metric", F.col("n").alias("before"))
-    a = after.select("metric", F.col("n").alias("after"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
-    return b.join(a, "metric", "full").select(
-        "metric", zero("before").alias("before"), zero("after").alias("after"), (zero("after") - zero("before")).alias("delta")
+    side = lambda df, name: df.select("metric", F.lit(name).alias("side"), "n")
+    total = lambda name: F.coalesce(F.sum(F.when(F.col("side") == name, F.col("n"))), F.lit(0)).cast("bigint")
+    return (
+        side(before, "before").unionByName(side(after, "after"))
+        .groupBy("metric").agg(total("before").alias("before"), total("after").alias("after"))
+        .withColumn("delta", F.col("after") - F.col("before"))
     )
 
 

@@ -304,9 +304,9 @@ def test_time_slice_ranks_only_hits(spark):
     h = spark.createDataFrame([("a", "s", "p", "1", 0.9, "proposed"), ("b", "s", "p", "2", 0.9, "proposed"), ("c", "s", "p", "3", 0.1, "proposed")],
                               "id string, subject string, predicate string, object string, confidence double, status string")
     post = spark.createDataFrame([("s", "p", "2"), ("s", "p", "3"), ("s", "p", "2")], "subject string, predicate string, object string")
-    r = EV.time_slice_result(EV.mark_time_slice(h, post), "2020-01-01").collect()[0]
+    r = EV.time_slice_result(EV.mark_time_slice(EV.rank_by_confidence(h), post), "2020-01-01").collect()[0]
     assert (r["num_hypotheses"], r["num_appeared_after"], r["avg_rank"]) == (3, 2, 2.5) and r["mrr"] == pytest.approx((1 / 2 + 1 / 3) / 2)
-    empty = EV.time_slice_result(EV.mark_time_slice(h.limit(0), post), "2020-01-01").collect()[0]
+    empty = EV.time_slice_result(EV.mark_time_slice(EV.rank_by_confidence(h.limit(0)), post), "2020-01-01").collect()[0]
     assert empty["hit_rate"] == 0 and math.isinf(empty["avg_rank"])
 
 
