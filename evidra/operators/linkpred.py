@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 from evidra import vocab
 from evidra.operators.ranking import global_row_number
 from evidra.operators.relational import SPO, triples
+from evidra.operators.skew import BROADCAST_ROWS, checked_lookup, hot_keys, lookup_with, salted_lookup, salted_lookups
 from evidra.session import cut_lineage
 
 # Task-side helpers travel with their code, so executors need no installed copy.
@@ -37,16 +38,14 @@ def dense_ids(values: DataFrame, column: str) -> DataFrame:
 
 def encode_triples(relations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entity ids, predicate ids, encoded edges h, r, t) of the edge bag."""
-    ends = relations.select(F.explode(F.array("subject", "object")).alias("entity"))
-    entities = dense_ids(ends, "entity")
+    nodes = relations.select(F.explode(F.array("subject", "object")).alias("entity"))
+    entities = cut_lineage(dense_ids(nodes, "entity"))
     predicates = dense_ids(relations, "predicate")
-    encoded = (
-        relations.join(entities.select(F.col("entity").alias("subject"), F.col("idx").alias("h")), "subject")
-        .join(entities.select(F.col("entity").alias("object"), F.col("idx").alias("t")), "object")
-        .join(predicates.select("predicate", F.col("idx").alias("r")), "predicate")
-        .select("h", "r", "t")
-    )
-    return entities, predicates, encoded
+    h = entities.select(F.col("entity").alias("subject"), F.col("idx").alias("h"))
+    t = entities.select(F.col("entity").alias("object"), F.col("idx").alias("t"))
+    ends = salted_lookups(relations.select(*SPO), [(h, "subject"), (t, "object")], "inner")
+    encoded = checked_lookup(ends, predicates.select("predicate", F.col("idx").alias("r")), "predicate")
+    return entities, predicates, encoded.select("h", "r", "t")
 
 
 def initial_vectors(ids: DataFrame, dim: int, seed: int = 42, scale: float = 0.1) -> DataFrame:
@@ -90,17 +89,21 @@ def train_transe(
     ids = edges.select(F.explode(F.array("h", "t")).alias("id")).distinct()
     entities = cut_lineage(normalised(initial_vectors(ids, dim, seed)))
     relations = cut_lineage(initial_vectors(edges.select(F.col("r").alias("id")).distinct(), dim, seed + 1))
+    # Edges do not change, so their hot keys are found once for all epochs.
+    hot = {end: hot_keys(edges, end) for end in ("h", "t")}
+    few_relations = relations.count() <= BROADCAST_ROWS
+    hot_r = None if few_relations else hot_keys(edges, "r")
     losses: list[float] = []
     for _ in range(epochs):
         residual = F.zip_with(
             F.zip_with("hv", "rv", lambda a, b: a + b), "tv", lambda a, b: a - b
         )
-        scored = (
-            edges.join(entities.select(F.col("id").alias("h"), F.col("vec").alias("hv")), "h")
-            .join(entities.select(F.col("id").alias("t"), F.col("vec").alias("tv")), "t")
-            .join(relations.select(F.col("id").alias("r"), F.col("vec").alias("rv")), "r")
-            .select("h", "r", "t", residual.alias("e"))
-        )
+        named = lambda table, end: table.select(F.col("id").alias(end), F.col("vec").alias(f"{end}v"))
+        scored = lookup_with(edges, named(entities, "h"), "h", "inner", hot["h"])
+        scored = lookup_with(scored, named(entities, "t"), "t", "inner", hot["t"])
+        by_relation = named(relations, "r")
+        scored = lookup_with(scored, F.broadcast(by_relation) if few_relations else by_relation, "r", "inner", hot_r)
+        scored = scored.select("h", "r", "t", residual.alias("e"))
         minus = lambda c: F.transform(c, lambda x: -x)
         moves = scored.select(F.inline(F.array(
             F.struct(F.lit(0).alias("kind"), F.col("h").alias("id"), F.col("e").alias("g")),
@@ -124,11 +127,10 @@ def train_transe(
 
 def score_triples(candidates: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
     """-|h + r - t| per (subject, predicate, object); -inf where an id has no vector."""
-    joined = (
-        candidates.join(entities.select(F.col("id").alias("subject"), F.col("vec").alias("_h")), "subject", "left")
-        .join(relations.select(F.col("id").alias("predicate"), F.col("vec").alias("_r")), "predicate", "left")
-        .join(entities.select(F.col("id").alias("object"), F.col("vec").alias("_t")), "object", "left")
-    )
+    h = entities.select(F.col("id").alias("subject"), F.col("vec").alias("_h"))
+    t = entities.select(F.col("id").alias("object"), F.col("vec").alias("_t"))
+    r = relations.select(F.col("id").alias("predicate"), F.col("vec").alias("_r"))
+    joined = checked_lookup(salted_lookups(candidates, [(h, "subject"), (t, "object")]), r, "predicate", "left")
     e = F.zip_with(F.zip_with("_h", "_r", lambda a, b: a + b), "_t", lambda a, b: a - b)
     return joined.withColumn("score", F.coalesce(-norm(e), F.lit(float("-inf")))).drop("_h", "_r", "_t")
 
@@ -275,9 +277,8 @@ def nearest(
 
 
 def _translated(pairs: DataFrame, entities: DataFrame, relations: DataFrame, end: str, sign: int) -> DataFrame:
-    joined = pairs.join(entities.select(F.col("id").alias(end), F.col("vec").alias("_v")), end).join(
-        relations.select(F.col("id").alias("predicate"), F.col("vec").alias("_r")), "predicate"
-    )
+    moved = salted_lookup(pairs, entities.select(F.col("id").alias(end), F.col("vec").alias("_v")), end, "inner")
+    joined = checked_lookup(moved, relations.select(F.col("id").alias("predicate"), F.col("vec").alias("_r")), "predicate")
     vec = F.zip_with("_v", "_r", lambda a, b: a + sign * b)
     qid = F.to_json(F.struct(F.col(end).alias("e"), F.col("predicate").alias("p")))
     return joined.select(qid.alias("qid"), F.col(end).alias("skip"), vec.alias("vec"))

@@ -25,7 +25,10 @@ def hot_keys(facts: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame
     return None if hot.isEmpty() else hot
 
 
-def _lookup(facts: DataFrame, lookup: DataFrame, key: str, how: str, hot: DataFrame | None, salts: int) -> DataFrame:
+def lookup_with(
+    facts: DataFrame, lookup: DataFrame, key: str, how: str = "left", hot: DataFrame | None = None, salts: int = SALTS
+) -> DataFrame:
+    """The join itself, for hot keys that are already known."""
     if how not in ("left", "inner"):
         raise ValueError("facts must be the preserved side")
     if hot is None:
@@ -61,7 +64,7 @@ def salted_lookups(
     hot = [hot_keys(facts, key, hot_rows) for _, key in lookups]
     out = facts
     for (lookup, key), h in zip(lookups, hot):
-        out = _lookup(out, lookup, key, how, h, salts)
+        out = lookup_with(out, lookup, key, how, h, salts)
     return out
 
 
