@@ -146,7 +146,7 @@ def ablation_summary(spark, sf):
 @query("dense_entity_ids", "W-92", with_("relations", """
     SELECT entity, row_number() OVER (ORDER BY entity) - 1 AS idx FROM (SELECT subject AS entity FROM relations UNION SELECT object FROM relations)"""))
 def dense_entity_ids(spark, sf):
-    return L.encode_triples(B.relations(spark, sf))[0]
+    return L.entity_ids(B.relations(spark, sf))
 
 
 @query("encoded_triples", "W-92", with_("relations", """

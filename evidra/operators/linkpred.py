@@ -36,10 +36,14 @@ def dense_ids(values: DataFrame, column: str) -> DataFrame:
     return global_row_number(distinct, [F.asc(column)], "idx").withColumn("idx", F.col("idx") - 1)
 
 
+def entity_ids(relations: DataFrame) -> DataFrame:
+    """Dense ids of everything that is an end of an edge."""
+    return dense_ids(relations.select(F.explode(F.array("subject", "object")).alias("entity")), "entity")
+
+
 def encode_triples(relations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entity ids, predicate ids, encoded edges h, r, t) of the edge bag."""
-    nodes = relations.select(F.explode(F.array("subject", "object")).alias("entity"))
-    entities = cut_lineage(dense_ids(nodes, "entity"))
+    entities = cut_lineage(entity_ids(relations))
     predicates = dense_ids(relations, "predicate")
     h = entities.select(F.col("entity").alias("subject"), F.col("idx").alias("h"))
     t = entities.select(F.col("entity").alias("object"), F.col("idx").alias("t"))

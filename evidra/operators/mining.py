@@ -148,11 +148,11 @@ def pair_counts(mult: DataFrame, weight: Column | None = None) -> DataFrame:
     table that is cheap to read.
     """
     sizes = mult.groupBy("formulation_id").agg(F.count("*").alias("k")).where(F.col("k") > HOT_FORMULATION)
-    hot = cut_lineage(sizes.select("formulation_id", F.lit(True).alias("hot")))
     keys = ["formulation_id"]
     left = mult.select("formulation_id", F.col("molecule_id").alias("comp_1"), F.col("m").alias("m_1"))
     right = mult.select("formulation_id", F.col("molecule_id").alias("comp_2"), F.col("m").alias("m_2"))
-    if not hot.isEmpty():
+    if not sizes.isEmpty():
+        hot = cut_lineage(sizes.select("formulation_id", F.lit(True).alias("hot")))
         one = F.when(F.col("hot"), F.pmod(F.xxhash64("comp_1"), F.lit(SALTS)).cast("int")).otherwise(0)
         every = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
         left = left.join(hot, "formulation_id", "left").withColumn("salt", one).drop("hot")

@@ -21,8 +21,8 @@ def hot_keys(facts: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame
     planned for salting when nothing is hot.
     """
     counts = facts.select(key).where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    hot = cut_lineage(counts.where(F.col("_n") > hot_rows).select(key))
-    return None if hot.isEmpty() else hot
+    hot = counts.where(F.col("_n") > hot_rows).select(key)
+    return None if hot.isEmpty() else cut_lineage(hot)
 
 
 def lookup_with(

@@ -10,7 +10,7 @@ from evidra.session import build_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("local[8]", 4)
+    session = build_session("local[8]", 2)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
