@@ -47,3 +47,30 @@ def op10_packing(spark, sf_dir):
     from evidra.llm.packing import packed
 
     return packed(table(spark, sf_dir, "documents"), bpe_file(), end_id=0)
+
+
+_WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+_ASCII = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_ASCII)} AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS g
+  FROM w
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (
+  SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE 100 * common >= 75 * (x.n + y.n - common)
+),
+r AS (SELECT a AS doc_id, a AS seen FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.seen)
+SELECT w.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, coalesce(min(r.seen), w.doc_id)::BIGINT AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id) GROUP BY w.doc_id
+""")
+def op7_jaccard_join(spark, sf_dir):
+    from evidra.llm.jaccard import similar_documents
+
+    return similar_documents(table(spark, sf_dir, "documents"))
