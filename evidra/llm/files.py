@@ -24,7 +24,7 @@ def new_name(folder: str, suffix: str) -> str:
 def create(uri: str):
     system, path = resolve(uri)
     system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    return system.open_output_stream(path)
+    return system.open_output_stream(path, compression=None)
 
 
 def open_random(uri: str):

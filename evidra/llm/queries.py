@@ -74,3 +74,24 @@ def op7_jaccard_join(spark, sf_dir):
     from evidra.llm.jaccard import similar_documents
 
     return similar_documents(table(spark, sf_dir, "documents"))
+
+
+@query("""
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM f
+""")
+def op3_warc_index(spark, sf_dir):
+    from evidra.llm.warc import archived
+
+    return archived(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op9_string_tiling(spark, sf_dir):
+    from evidra.llm.tiling import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
