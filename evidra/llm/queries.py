@@ -95,3 +95,10 @@ def op9_string_tiling(spark, sf_dir):
     from evidra.llm.tiling import contaminated
 
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op8_quality_rules(spark, sf_dir):
+    from evidra.llm.weak_quality import quality
+
+    return quality(table(spark, sf_dir, "documents"))
