@@ -102,3 +102,10 @@ def op8_quality_rules(spark, sf_dir):
     from evidra.llm.weak_quality import quality
 
     return quality(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op1_language_id(spark, sf_dir):
+    from evidra.llm.langid import languages
+
+    return languages(table(spark, sf_dir, "documents"))
