@@ -109,3 +109,10 @@ def op1_language_id(spark, sf_dir):
     from evidra.llm.langid import languages
 
     return languages(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op6_main_text(spark, sf_dir):
+    from evidra.llm.html_main import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
