@@ -48,11 +48,13 @@ class Reader:
         return out
 
 
-def run(p: dict, symbols: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list]:
-    """All states of a window, and what backpropagation needs."""
+def run(p: dict, symbols: np.ndarray, h: np.ndarray, keep: np.ndarray | None = None) -> tuple[np.ndarray, list]:
+    """All states of a window, and what backpropagation needs; where ``keep`` is 0 the state starts anew."""
     u = h.shape[-1]
     states, kept = np.empty((len(symbols), *h.shape), np.float32), []
     for t, s in enumerate(symbols):
+        if keep is not None:
+            h = h * keep[t][:, None]
         a, g = p["table"][s], h @ p["hidden"]
         zr = _gate(a[:, : 2 * u] + g[:, : 2 * u])
         z, r, gn = zr[:, :u], zr[:, u:], g[:, 2 * u :]
@@ -63,7 +65,7 @@ def run(p: dict, symbols: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list]:
     return states, kept
 
 
-def back(p: dict, symbols: np.ndarray, kept: list, d_states: np.ndarray) -> dict[str, np.ndarray]:
+def back(p: dict, symbols: np.ndarray, kept: list, d_states: np.ndarray, keep: np.ndarray | None = None) -> dict[str, np.ndarray]:
     """Gradients of a loss with the given gradients at the states; the state before the window is fixed."""
     u = d_states.shape[-1]
     d_hidden = np.zeros_like(p["hidden"])
@@ -79,6 +81,8 @@ def back(p: dict, symbols: np.ndarray, kept: list, d_states: np.ndarray) -> dict
         dg = np.concatenate([dz, dr, dn * r], 1)
         d_hidden += h.T @ dg
         carried = d * z + dg @ p["hidden"].T
+        if keep is not None:
+            carried = carried * keep[t][:, None]
     return {"table": rows_summed(symbols.ravel(), d_inputs.reshape(-1, 3 * u), len(p["table"])), "hidden": d_hidden}
 
 

@@ -32,7 +32,9 @@ WORDS = 5
 BANDS, ROWS = 4, 3
 #: A shingle that is met this often is listed last, as far as the table of the most frequent ones goes.
 FREQUENT, FREQUENT_MOST = 32, 1 << 18
-CHUNK = 2_000_000
+CHUNK = 1_000_000
+#: Index entries that a task holds before it hands them on, and candidate pairs likewise.
+HELD, HELD_PAIRS = 1_000_000, 250_000
 BUCKET_ENTRIES = 1_000_000
 BLOCK = 128
 SKETCH = "kind int, doc_id long, rid long, key binary, n long, " + ", ".join(f"b{i} long" for i in range(BANDS))
@@ -100,15 +102,14 @@ def _sketch(batches):
         yield repeated()
 
 
-def _pack(token, rid, n, pos):
+def _pack(token: np.ndarray, at: np.ndarray, pos: np.ndarray, rids: np.ndarray, sizes: np.ndarray) -> bytes:
     """Entries of one bucket: the documents once, then token, document and position of each entry."""
-    doc, at = np.unique(rid, return_inverse=True)
-    size = np.zeros(len(doc), np.uint32)
-    size[at] = n
+    doc, at = np.unique(at, return_inverse=True)
     wide = "<u2" if len(doc) < 1 << 16 else "<u4"
-    far = "<u2" if len(pos) == 0 or pos.max() < 1 << 16 else "<u4"
+    far = "<u2" if pos.max() < 1 << 16 else "<u4"
     head = struct.pack("<IIBB", len(doc), len(token), int(wide[-1]), int(far[-1]))
-    return head + doc.astype("<i8").tobytes() + size.astype("<u4").tobytes() + token.astype("<u8").tobytes() + at.astype(wide).tobytes() + pos.astype(far).tobytes()
+    parts = rids[doc].astype("<i8"), sizes[doc].astype("<u4"), token.astype("<u8"), at.astype(wide), pos.astype(far)
+    return head + b"".join(p.tobytes() for p in parts)
 
 
 def _unpack(data: bytes):
@@ -124,32 +125,42 @@ def _unpack(data: bytes):
 
 def _entries(frequent: np.ndarray, bits: int):
     def index(batches):
-        held: list = []
+        held: list[np.ndarray] = []
+        rids: list[int] = []
+        sizes: list[int] = []
         count = 0
 
         def flush():
-            token, rid, n, pos = (np.concatenate(x) for x in zip(*held))
+            token = np.concatenate(held)
+            lengths = np.array([len(x) for x in held])
+            at = np.repeat(np.arange(len(held), dtype=np.int32), lengths)
+            pos = (np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
             bucket = (token >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(token), np.int32)
             order = np.argsort(bucket, kind="stable")
-            token, rid, n, pos, bucket = token[order], rid[order], n[order], pos[order], bucket[order]
+            bucket = bucket[order]
             cut = np.flatnonzero(np.diff(bucket)) + 1
-            parts = zip(*(np.split(x, cut) for x in (token, rid, n, pos)))
-            return batch("bucket int, data binary", bucket[np.concatenate([[0], cut])], [_pack(*p) for p in parts])
+            begins = np.concatenate([[0], cut])
+            docs = np.array(rids, np.int64), np.array(sizes, np.int64)
+            packed = [_pack(token[o], at[o], pos[o], *docs) for o in np.split(order, cut)]
+            held.clear(), rids.clear(), sizes.clear()
+            return batch("bucket int, data binary", bucket[begins], packed)
 
         for rows in batches:
             for part in slices(rows, "text"):
                 for s, rid in zip(sets_of(texts_of(part.column("text"))), part.column("rid").to_pylist()):
                     if not len(s):
                         continue
+                    p = prefix_length(len(s))
+                    sizes.append(len(s))
                     if len(frequent):
                         often = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
                         s = np.concatenate([s[~often], s[often]])
-                    p = prefix_length(len(s))
-                    held.append((s[:p], np.full(p, rid), np.full(p, len(s)), np.arange(p)))
+                    held.append(s[:p].copy())
+                    rids.append(rid)
                     count += p
-                if count >= CHUNK // 2:
+                if count >= HELD:
                     yield flush()
-                    held, count = [], 0
+                    count = 0
         if held:
             yield flush()
 
@@ -220,11 +231,13 @@ def _pairs(batches):
             ok = (comp[x] != comp[y]) & (4 * high[x] >= 3 * low[y]) & (4 * high[y] >= 3 * low[x])
             ok &= 7 * np.minimum(rest[x], rest[y]) >= needed(low[x], low[y])
             found.append(np.stack([rows["ball"][x[ok]], rows["ball"][y[ok]]], 1))
+        if sum(map(len, found)) > HELD_PAIRS:
+            yield flush()
         for a, b in zip(begins[size > 16].tolist(), ends[size > 16].tolist()):
             order = np.argsort(rows["low"][a:b], kind="stable") + a
             for pairs in _list_pairs({c: rows[c][order] for c in names}):
                 found.append(pairs)
-                if sum(map(len, found)) > CHUNK:
+                if sum(map(len, found)) > HELD_PAIRS:
                     yield flush()
 
     def flush():

@@ -116,3 +116,10 @@ def op6_main_text(spark, sf_dir):
     from evidra.llm.html_main import main_text
 
     return main_text(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op2_lm_scores(spark, sf_dir):
+    from evidra.llm.lm import scored
+
+    return scored(table(spark, sf_dir, "documents"))

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from evidra.llm.common import mixed
 
 #: A batch is cut to slices of about this many bytes; arrays of eight bytes a character are made of them.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
 _STEP = 2048
