@@ -21,6 +21,8 @@ from evidra.llm.textcols import Hasher, Texts, texts_of
 _ENCODERS: dict[str, "Encoder"] = {}
 CACHE_TOKENS = 1_000_000
 LONG = 64
+#: Bytes of text encoded at a time; each time the table of pre-tokens grows once.
+TOKEN_SLICE = 4 << 20
 _NONE = np.int64(1) << np.int64(40)
 _LETTER, _DIGIT, _OTHER, _SPACE, _DISPUTED = range(1, 6)
 

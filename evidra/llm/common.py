@@ -6,8 +6,6 @@ Executors import this package; on a cluster ship it with ``--py-files`` (a zip o
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -16,13 +14,18 @@ from evidra.session import cut_lineage, ensure_checkpoint_dir
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 _BREAKS = str.maketrans("\t\n\x0b\x0c\r", "     ")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-#: Rows from Python workers are handed to the JVM in batches of about this many bytes or rows.
-BATCH_ROWS = 4096
-MASK64 = (1 << 64) - 1
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts go to Python workers in batches of at most ``BATCH_BYTES``, rather than by row count."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"  # 64 MB where nobody has set it
+    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -33,6 +36,7 @@ def work_dir(spark: SparkSession, what: str) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder, so that later passes and lost executors reread it."""
+    bounded_batches(df.sparkSession)
     return cut_lineage(df)
 
 
@@ -41,32 +45,11 @@ def words(text: str) -> list[str]:
     return [w for w in text.translate(_BREAKS).split(" ") if w]
 
 
-def lower_ascii(text: str) -> str:
-    """Only A-Z change, whatever the text's language."""
-    return text.lower() if text.isascii() else text.translate(_LOWER)
-
-
 def crc_part(column: Column, parts: int) -> Column:
     """The row's remainder of the unsigned CRC-32 of its id as text; a null id counts as empty."""
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
-def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
-    """A batch's strings, null as empty."""
-    column = batch.column(batch.schema.get_field_index(name))
-    return [t or "" for t in column.to_pylist()]
-
-
-def sliced(batches: Iterable[pa.RecordBatch], max_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches cut to about ``max_bytes``, so that a worker's memory does not follow text length."""
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        rows = max(1, int(batch.num_rows * max_bytes // max(batch.nbytes, 1)))
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijective scramble of unsigned 64-bit values."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -74,40 +57,6 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, filled as words come; emptied when it holds ``limit`` words."""
-
-    def __init__(self, normal=None, limit: int = 400_000):
-        super().__init__()
-        self.normal, self.limit = normal, limit
-
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        if len(self) >= self.limit:
-            self.clear()
-        plain = self.normal(word) if self.normal else word
-        value = xxhash.xxh64_intdigest(plain.encode("utf-8", "surrogatepass")) if plain else 0
-        self[word] = value
-        return value
-
-    def of(self, items: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, items), np.uint64, len(items))
-
-
-def shingle_hashes(hashed: np.ndarray, k: int) -> np.ndarray:
-    """The hash of every run of ``k`` words, in text order; the whole sequence if it is shorter."""
-    n = len(hashed)
-    if n == 0:
-        return hashed
-    k = min(k, n)
-    out = np.zeros(n - k + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(k):
-            out = out * np.uint64(0x9E3779B97F4A7C15) + mixed(hashed[i : n - k + 1 + i] + np.uint64(i + 1))
-        return mixed(out + np.uint64(k))
-
-
 def lookup_bounded(facts: DataFrame, lookup: DataFrame, key: str, rows: Column, hot_share: float = 0.002) -> DataFrame:
     """``facts LEFT JOIN lookup`` on ``key`` where the lookup knows how many facts a key has.
 

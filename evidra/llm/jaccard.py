@@ -32,9 +32,10 @@ WORDS = 5
 BANDS, ROWS = 4, 3
 #: A shingle that is met this often is listed last, as far as the table of the most frequent ones goes.
 FREQUENT, FREQUENT_MOST = 32, 1 << 18
-CHUNK = 1_000_000
+CHUNK = 500_000
 #: Index entries that a task holds before it hands them on, and candidate pairs likewise.
-HELD, HELD_PAIRS = 1_000_000, 250_000
+HELD, HELD_PAIRS = 500_000, 250_000
+SLICE = 1 << 20
 BUCKET_ENTRIES = 1_000_000
 BLOCK = 128
 SKETCH = "kind int, doc_id long, rid long, key binary, n long, " + ", ".join(f"b{i} long" for i in range(BANDS))
@@ -85,7 +86,7 @@ def _sketch(batches):
         return batch(SKETCH, np.ones(n, np.int32), none, values[often].view(np.int64), pa.nulls(n, pa.binary()), counts[often], *[none] * BANDS)
 
     for rows in batches:
-        for part in slices(rows, "text"):
+        for part in slices(rows, "text", SLICE):
             sets = sets_of(texts_of(part.column("text")))
             keys = [hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets]
             bands = [_bands(s) if len(s) else [None] * BANDS for s in sets]
@@ -146,7 +147,7 @@ def _entries(frequent: np.ndarray, bits: int):
             return batch("bucket int, data binary", bucket[begins], packed)
 
         for rows in batches:
-            for part in slices(rows, "text"):
+            for part in slices(rows, "text", SLICE):
                 for s, rid in zip(sets_of(texts_of(part.column("text"))), part.column("rid").to_pylist()):
                     if not len(s):
                         continue
@@ -269,7 +270,7 @@ VERIFIED = "a long, b long, common long, n long, m long"
 def _compare(batches):
     """The overlap of each row's two texts."""
     for rows in batches:
-        for part in slices(rows, "text_a", 2 << 20):
+        for part in slices(rows, "text_a", SLICE):
             left = sets_of(texts_of(part.column("text_a")))
             b = part.column("b").to_numpy()
             ids, first, which = np.unique(b, return_index=True, return_inverse=True)
@@ -293,7 +294,26 @@ def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row.
+    """Every row's component; see :func:`components_of`, which also says which row is which."""
+    return components_of(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def unique_documents(docs: DataFrame) -> DataFrame:
+    """One row of each component, with all its columns: of those with the smallest doc_id, the one with the
+    smallest hash of id and text. Rows with an empty set all stay."""
+    found = components_of(docs)
+    stay = found.where("first OR n_shingles = 0").select(F.col("rid").alias("_rid")).distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    marked = docs.select(row, F.xxhash64("doc_id", "text").alias("_rid"), (F.trim(F.translate(F.coalesce("text", F.lit("")), "\t\n\u000b\f\r", "     ")) != "").alias("_set"))
+    kept = marked.join(stay, "_rid", "left_semi")
+    # Rows equal in id and text are copies of each other: one of them stays, whatever their other columns.
+    once = kept.where("_set").dropDuplicates(["_rid"]).select("_row.*")
+    return once.unionByName(kept.where("NOT _set").select("_row.*"))
+
+
+def components_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, rid, first, n_shingles, component_id) of every row; ``rid`` is the hash of its id and text,
+    and ``first`` marks the row that stands for its component.
 
     A null or blank text has an empty set and is linked with nothing, its component_id is its own
     doc_id; a text of fewer than five words has its whole sequence as one shingle. Null ids count as the
@@ -375,8 +395,13 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 
     # Back from roots to classes to rows.
     placed = classes.select("key", "doc_id", "rid", "size").join(roots.withColumnRenamed("node", "rid"), "rid", "left")
-    placed = written(placed.select("key", "doc_id", "size", F.coalesce("root", "rid").alias("root")))
-    smallest = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("classes"))
-    named = lookup_bounded(placed.drop("doc_id"), smallest, "root", F.col("classes"))
-    out = lookup_bounded(rows.select("doc_id", "n", "key"), named.select("key", "component_id", "size"), "key", F.col("size"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    placed = written(placed.select("key", "doc_id", "rid", "size", F.coalesce("root", "rid").alias("root")))
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
+    heads = placed.groupBy("root").agg(head.alias("head"), F.count("*").alias("classes"))
+    named = lookup_bounded(placed.select("key", "size", "root"), heads, "root", F.col("classes"))
+    out = lookup_bounded(rows.select("doc_id", "rid", "n", "key"), named.select("key", "head", "size"), "key", F.col("size"))
+    alone = F.col("n") == 0
+    return out.select(
+        "doc_id", "rid", (~alone & (F.col("rid") == F.col("head.rid"))).alias("first"), F.col("n").alias("n_shingles"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("component_id"),
+    )

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from evidra.llm.bpe import encoder
+from evidra.llm.bpe import TOKEN_SLICE, encoder
 from evidra.llm.common import batch, written
 from evidra.llm.textcols import slices
 
@@ -201,7 +201,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAP
     def cut(batches):
         enc = encoder(tokenizer)
         for rows in batches:
-            for part in slices(rows, "text"):
+            for part in slices(rows, "text", TOKEN_SLICE):
                 flat, n = enc.encode_column(part.column("text"))
                 ids = np.insert(flat, np.cumsum(n), end_id).astype("<u4")
                 total = n + 1

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from evidra.llm.bpe import encoder
+from evidra.llm.bpe import TOKEN_SLICE, encoder
 from evidra.llm.common import batch, work_dir, written
 from evidra.llm.files import create, new_name, open_random
 from evidra.llm.textcols import slices
@@ -174,7 +174,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, folder: str, file_id
             return rows
 
         for rows in batches:
-            for part in slices(rows, "text"):
+            for part in slices(rows, "text", TOKEN_SLICE):
                 flat, n = enc.encode_column(part.column("text"))
                 ends = np.cumsum(n)
                 ids.append(np.insert(flat, ends, end_id).astype(np.uint16))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from evidra.llm.bpe import encoder
+from evidra.llm.bpe import TOKEN_SLICE, encoder
 from evidra.llm.common import batch
 from evidra.llm.textcols import slices, texts_of
 
@@ -24,7 +24,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFra
     def count(batches):
         enc = encoder(tokenizer)
         for rows in batches:
-            for part in slices(rows, "text"):
+            for part in slices(rows, "text", TOKEN_SLICE):
                 text = part.column("text")
                 _, n = enc.encode_column(text)
                 yield batch(COUNTS, part.column("doc_id"), np.diff(texts_of(text).start), n, n > limit)
