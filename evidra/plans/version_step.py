@@ -1,4 +1,4 @@
-"""One version step: previous snapshot plus new rows, written as the next version."""
+"""One version step: new rows are written as a delta of the previous version."""
 
 from __future__ import annotations
 
@@ -6,27 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from evidra.operators import summaries as SU
 from evidra.sources import snapshot
+from evidra.sources.normalize import KEYS, one_per_key
 
-KEYS = {
-    "molecules": ["id"], "molecule_roles": ["molecule_id", "role"], "formulations": ["id"],
-    "measurements": ["id"], "provenance": ["id"], "sources": ["id"],
-    "components": ["formulation_id", "molecule_id", "component_type", "position"],
-    "relations": ["subject", "predicate", "object"],
-}
 
-
-def combine(previous: DataFrame, new: DataFrame, name: str) -> DataFrame:
-    """Previous rows and the new rows whose key is not there yet."""
+def delta(previous: DataFrame, new: DataFrame, name: str) -> DataFrame:
+    """The new rows whose key is not there yet."""
     keys = KEYS[name]
-    fresh = new.dropDuplicates(keys).join(previous.select(*keys), keys, "left_anti")
-    return previous.unionByName(fresh, allowMissingColumns=True)
+    return one_per_key(new, keys).join(previous.select(*keys), keys, "left_anti").select(*new.columns)
 
 
 def step(spark: SparkSession, root: str, old: str, new: str, incoming: dict[str, DataFrame], description: str = "") -> DataFrame:
-    """Write version ``new`` from ``old`` and ``incoming``; returns (metric, before, after, delta)."""
-    before = {n: snapshot.load_table(spark, root, n, old) for n in incoming}
-    snapshot.save_tables({n: combine(before[n], df, n) for n, df in incoming.items()}, root, new)
-    after = {n: snapshot.load_table(spark, root, n, new) for n in incoming}
+    """Write version ``new`` as what ``incoming`` adds to ``old``; returns (metric, before, after, delta).
+
+    Rows of earlier versions are not written again: a version is its own folder and those of its parents.
+    """
+    before = {n: snapshot.load_version(spark, root, n, old) for n in incoming}
+    snapshot.save_tables({n: delta(before[n], df, n) for n, df in incoming.items()}, root, new)
+    snapshot.set_parent(spark, root, new, old)
+    after = {n: snapshot.load_version(spark, root, n, new) for n in incoming}
     counts = SU.counts(**after)
     snapshot.append_version(spark, root, new, old, counts, description)
     return SU.stats_delta(SU.counts(**before), counts)

@@ -136,6 +136,11 @@ def _tables(mentioned, formulations, components, measured, relations, provenance
     return SourceTables(molecules, roles, formulations, components, measured, relations, provenance, rejects)
 
 
+def _place(df: DataFrame) -> Column:
+    """What says which of two rows comes first: the place in the scan where a reader gives it."""
+    return F.col("row_no") if "row_no" in df.columns else F.col("row_id")
+
+
 def _num(df: DataFrame, name: str) -> Column:
     return scalar.lenient_double(F.col(f"`{name}`")) if name in df.columns else F.lit(None).cast("double")
 
@@ -276,7 +281,7 @@ def literature_rows(raw: DataFrame) -> DataFrame:
     joined = rows.join(F.broadcast(known), "norm_name", "left")
     title = F.when(F.coalesce("Title", F.lit("")) != "", F.substring("Title", 1, 100)).otherwise(F.concat(F.lit("DOI:"), "DOI"))
     return joined.select(
-        "row_id", "smiles", F.col("Name").alias("name"), scalar.material_role(F.col("Name")).alias("role"),
+        "row_id", *[c for c in ("row_no",) if c in raw.columns], "smiles", F.col("Name").alias("name"), scalar.material_role(F.col("Name")).alias("role"),
         F.coalesce(molecule_id(F.col("smiles")), F.concat(F.lit("mol-"), F.substring(F.md5("norm_name"), 1, 12))).alias("molecule_id"),
         F.lit("ionic_conductivity").alias("property_type"), scaled.alias("value"), F.lit("S/cm").alias("unit"),
         F.coalesce("DOI", F.lit("")).alias("doi"), title.alias("title"), scalar.publication_date(F.col("Date").cast("string")).alias("published_on"),
@@ -289,7 +294,7 @@ def literature_rows(raw: DataFrame) -> DataFrame:
 def literature_sources(rows: DataFrame) -> DataFrame:
     """One source per DOI; title and date of its first kept record."""
     kept = rows.where(F.col("reject_reason").isNull() & F.col("value_reject").isNull())
-    return kept.groupBy("doi").agg(F.min_by(F.struct("title", "published_on"), F.col("row_id")).alias("s")).select(
+    return kept.groupBy("doi").agg(F.min_by(F.struct("title", "published_on"), _place(rows)).alias("s")).select(
         F.concat(F.lit("doi:"), "doi").alias("id"), F.lit("paper").alias("source_type"), F.col("s.title").alias("name"), "doi", "s.published_on")
 
 
@@ -299,7 +304,7 @@ def genome_rows(raw: DataFrame) -> DataFrame:
     units = F.create_map(*[F.lit(x) for pair in vocab.GENOME_PROPERTIES for x in pair])
     with_structure = raw.where(F.coalesce("smiles", F.lit("")) != "")
     first = with_structure.groupBy("smiles").agg(
-        F.min_by(F.struct("row_id", "task_id", "formula", "molecular_weight", *columns), F.col("row_id")).alias("r")
+        F.min_by(F.struct("row_id", "task_id", "formula", "molecular_weight", *columns), _place(raw)).alias("r")
     ).select("smiles", "r.*")
     name = F.coalesce("formula", F.substring("smiles", 1, 50))
     long = first.select("row_id", "smiles", name.alias("name"), *columns).unpivot(
@@ -388,32 +393,34 @@ def prediction_tables(raw: DataFrame) -> SourceTables:
     return molecule_tables(prediction_rows(raw), "predictions", _doi("predictions"), "ml_prediction", 0.6)
 
 
-def method_dimension(spark: SparkSession) -> DataFrame:
-    """Measurement methods of the datasets."""
-    rows = [
-        ("composition", "EIS", "Electrochemical Impedance Spectroscopy"),
-        ("atlas", "Conductivity-Literature", "Ionic conductivity from literature compilation"),
-        ("experimental", "DFT-IonizationEnergy", "Vertical ionization energy from DFT calculations"),
-        ("literature", "Literature-Extracted", "Conductivity values auto-extracted from literature"),
-        ("genome", "DFT-B3LYP", "Density Functional Theory calculation"),
-        ("curated", "Literature-DFT", "DFT computed properties from literature"),
-        ("predictions", "ML-Predicted-Conductivity", "Ionic conductivity predicted by a model ensemble"),
-        ("predictions", "ML-Predicted-IE", "Ionization energy predicted by a model"),
-        ("predictions", "ML-Predicted-CE", "Coulombic efficiency predicted by a model"),
-    ]
-    return spark.createDataFrame(rows, "source_id string, name string, description string")
+#: What makes two rows of a table the same thing.
+KEYS = {
+    "molecules": ["id"], "molecule_roles": ["molecule_id", "role"], "formulations": ["id"],
+    "measurements": ["id"], "provenance": ["id"], "sources": ["id"],
+    "components": ["formulation_id", "molecule_id", "component_type", "position"],
+    "relations": ["subject", "predicate", "object"],
+}
+
+
+def one_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each key, by the order of the rows' values: the same whatever the partitioning."""
+    if set(keys) == set(df.columns):
+        return df.distinct()
+    row = F.struct(*df.columns)
+    return df.groupBy(*keys).agg(F.min_by(row, F.to_json(row, {"ignoreNullFields": "false"})).alias("_row")).select("_row.*")
 
 
 def union_tables(parts: list[SourceTables]) -> dict[str, DataFrame]:
-    """The tables of several sources together; a molecule named twice keeps the smaller name."""
+    """The tables of several sources together, with one row for each key.
+
+    A molecule named twice keeps the smaller name. A formulation that several sources list has its
+    components and relations once and a provenance record for each source.
+    """
     def all_of(name: str) -> DataFrame | None:
         found = [getattr(p, name) for p in parts if getattr(p, name) is not None]
         return reduce(DataFrame.unionByName, found) if found else None
 
-    out = {n: all_of(n) for n in ("formulations", "components", "measurements", "relations", "provenance")}
+    out = {n: all_of(n) for n in ("formulations", "components", "measurements", "relations", "provenance", "molecule_roles")}
+    out = {n: one_per_key(df, KEYS[n]) for n, df in out.items() if df is not None}
     out["molecules"] = all_of("molecules").groupBy("id").agg(F.min("name").alias("name"), F.min("smiles").alias("smiles"))
-    out["molecule_roles"] = all_of("molecule_roles").distinct()
-    for n in ("formulations", "provenance"):
-        if out[n] is not None:
-            out[n] = out[n].dropDuplicates(["id"])
-    return {k: v for k, v in out.items() if v is not None}
+    return out

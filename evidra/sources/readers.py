@@ -1,12 +1,14 @@
 """Raw scans. Columns stay as written; parsing and rejection happen in ``normalize``.
 
-Every reader adds ``row_id`` at the scan, before any shuffle: a file split always numbers its
-rows the same way, so a retried task gives the same ids.
+Every reader adds ``row_id``: the hash of the row's values and, for the second and later of equal
+rows, which one it is. The ids of a file do not depend on how it is split or laid out, and rows of
+different files share an id only if they are equal. ``row_no`` is the place in the scan.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import MapType
 
 CURATED_SCHEMA = """
     solvents array<struct<name:string, abbreviation:string, smiles:string, cas_number:string, pubchem_cid:bigint,
@@ -33,8 +35,21 @@ SPECIES_FIELDS = {
 SPECIES_RENAMED = {"SMILES": "smiles_alt", "InChI": "inchi_alt", "molecule.spin_multiplicity": "nested_spin"}
 
 
+def content_id(*columns: Column) -> Column:
+    """A hash of values; nulls and empty strings differ."""
+    return F.substring(F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})), 1, 20)
+
+
 def numbered(df: DataFrame) -> DataFrame:
-    return df.withColumn("row_id", F.monotonically_increasing_id())
+    """``df`` with ``row_id`` and its place ``row_no``, which only says what comes first. Equal rows are counted map-side and spread out again, so a row that makes
+    up a third of a file is no group of that size."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    maps = [f.name for f in df.schema if isinstance(f.dataType, MapType)]  # cannot be grouped by; equal where the hash is
+    placed = df.withColumns({"_id": content_id(*columns), "row_no": F.monotonically_increasing_id()})
+    counted = placed.groupBy("_id", *[F.col(f"`{c}`") for c in df.columns if c not in maps]).agg(
+        F.count("*").alias("_n"), F.min("row_no").alias("row_no"), *[F.any_value(c).alias(c) for c in maps])
+    which = counted.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    return which.select(*columns, "row_no", F.when(F.col("_k") == 1, F.col("_id")).otherwise(F.concat_ws("-", "_id", "_k")).alias("row_id"))
 
 
 def _csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
@@ -72,12 +87,9 @@ def literature_csv(spark: SparkSession, path: str) -> DataFrame:
 def curated_json(spark: SparkSession, path: str) -> DataFrame:
     """(kind, entry): the solvents and salts of a curated document."""
     doc = spark.read.schema(CURATED_SCHEMA).json(path, multiLine=True)
-    kinds = [
-        doc.select(F.lit(kind).alias("role"), F.posexplode(column).alias("pos", "m"))
-        for kind, column in (("solvent", "solvents"), ("salt", "salts"))
-    ]
+    kinds = [doc.select(F.lit(kind).alias("role"), F.explode(column).alias("m")) for kind, column in (("solvent", "solvents"), ("salt", "salts"))]
     rows = kinds[0].unionByName(kinds[1])
-    return rows.select(F.concat_ws("-", "role", "pos").alias("row_id"), "role", "m.*")
+    return numbered(rows.select("role", "m.*"))
 
 
 def genome_json(spark: SparkSession, path: str) -> DataFrame:
@@ -112,8 +124,9 @@ def species(spark: SparkSession, path: str, max_species: int | None = None) -> D
         raw = spark.read.csv(path, header=True)
     else:
         raw = _species_json(spark, path)
-    rows = numbered(raw)
-    return rows if max_species is None else rows.orderBy("row_id").limit(max_species)
+    if max_species is not None:
+        raw = raw.withColumn("_at", F.monotonically_increasing_id()).orderBy("_at").limit(max_species).drop("_at")
+    return numbered(raw)
 
 
 def abbreviations(spark: SparkSession, path: str) -> DataFrame:

@@ -24,6 +24,28 @@ def load_table(spark: SparkSession, root: str, name: str, version: str | None =
     return spark.read.parquet(f"{root}/{name}/version={version}")
 
 
+def set_parent(spark: SparkSession, root: str, version: str, parent: str) -> None:
+    """Record that ``version`` holds only what it adds to ``parent``; a version has one parent."""
+    spark.createDataFrame([(version, parent)], "version string, parent string").write.mode("overwrite").parquet(f"{root}/_parents/of={version}")
+
+
+def lineage(spark: SparkSession, root: str, version: str) -> list[str]:
+    """The version and its parents, newest first; a version without a record stands alone."""
+    probe = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/_parents")
+    if not probe.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(probe):
+        return [version]
+    parents = {r.version: r.parent for r in spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/_parents").collect()}  # a row per version
+    chain = [version]
+    while parents.get(chain[-1]) is not None and parents[chain[-1]] not in chain:
+        chain.append(parents[chain[-1]])
+    return chain
+
+
+def load_version(spark: SparkSession, root: str, name: str, version: str) -> DataFrame:
+    """All rows of a table as of a version: its delta and those of its parents, each read once."""
+    return spark.read.option("mergeSchema", "true").parquet(*[f"{root}/{name}/version={v}" for v in lineage(spark, root, version)])
+
+
 def append_version(spark: SparkSession, root: str, version: str, parent: str | None, counts: DataFrame, description: str = "") -> None:
     """Append a version record with its (metric, n) counts."""
     row = counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "n")))).alias("counts")).select(

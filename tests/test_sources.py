@@ -138,6 +138,48 @@ def test_version_step_is_repeatable(spark, tmp_path):
     assert SN.load_table(spark, root, "molecules").select("version").distinct().count() == 2
 
 
+def test_versions_from_unrelated_files_lose_nothing(spark, tmp_path):
+    head = "m_EC,m_PC,m_EMC,m_LiPF6,temperature,conductivity\n"
+    files = [head + "1,0,2,1,15,0.01\n", head + "3,1,2,1,45,0.02\n", head + "3,1,2,1,45,0.02\n1,0,2,1,15,0.03\n"]
+    parts = [N.union_tables([N.composition_tables(RD.composition_csv(spark, write(tmp_path / f"{i}.csv", f)))]) for i, f in enumerate(files)]
+    root = str(tmp_path / "kg")
+    SN.save_tables(parts[0], root, "1")
+    for i in (1, 2):
+        V.step(spark, root, str(i), str(i + 1), parts[i])
+    load = lambda n: SN.load_version(spark, root, n, "3")
+    found = load("measurements").join(load("formulations").select(F.col("id").alias("owner_id"), F.col("source_row_id").alias("first_row")), "owner_id")
+    assert sorted((r["temperature"], r["value"]) for r in found.collect()) == [(15.0, 0.01), (15.0, 0.03), (45.0, 0.02)]
+    edges = {(r["subject"], r["object"]) for r in load("relations").where("predicate = 'hasMeasurement'").collect()}
+    assert edges == {(r["owner_id"], r["id"]) for r in found.collect()}
+    about = {r["entity_id"] for r in load("provenance").collect()}
+    assert about >= {r["id"] for r in found.collect()} | {r["owner_id"] for r in found.collect()}
+    # Only what is new is written.
+    assert [SN.load_table(spark, root, "measurements", v).count() for v in "123"] == [1, 1, 1]
+
+
+def test_ids_do_not_follow_the_layout(spark, tmp_path):
+    rows = [f"{i % 7},0,2,1,15,0.0{i % 3 + 1}" for i in range(40)]
+    head = "m_EC,m_PC,m_EMC,m_LiPF6,temperature,conductivity\n"
+    one = write(tmp_path / "one/a.csv", head + "\n".join(rows) + "\n")
+    for i in range(4):
+        write(tmp_path / f"four/{i}.csv", head + "\n".join(rows[i::4]) + "\n")
+    ids = lambda df: sorted(r["id"] for r in N.composition_tables(df).measurements.collect())
+    want = ids(RD.composition_csv(spark, one))
+    assert len(set(want)) == 40
+    assert ids(RD.composition_csv(spark, str(tmp_path / "four"))) == want
+    again = spark.read.csv(one, header=True)
+    assert all(ids(RD.numbered(again.repartition(n))) == want for n in (1, 4, 50))
+
+
+def test_overlapping_sources_count_once(spark, tmp_path):
+    p = write(tmp_path / "s.csv", "m_EC,m_PC,m_EMC,m_LiPF6,temperature,conductivity\n1,0,2,1,15,0.01\n")
+    raw = RD.composition_csv(spark, p)
+    both = N.union_tables([N.composition_tables(raw), N.composition_tables(raw), N.formulation_tables(N.composition_rows(raw), "other", None, "ionic_conductivity", "S/cm")])
+    assert (both["formulations"].count(), both["components"].count(), both["measurements"].count()) == (1, 3, 2)
+    owner = both["formulations"].first()["id"]
+    assert sorted(r["activity_id"] or str(r["source_ids"]) for r in both["provenance"].where(F.col("entity_id") == owner).collect()).__len__() == 2
+
+
 def test_quick_discovery_preset(spark, sf):
     from evidra.catalog.curating import loop_inputs
 
