@@ -82,18 +82,18 @@ def role_upsert(spark, sf):
 
 
 @query("resolve_by_key", "W-38", """
-    WITH known AS (SELECT trim(p_name) AS key, CAST(min(p_partkey) AS VARCHAR) AS id FROM part WHERE p_size <= 10 GROUP BY 1)
+    WITH known AS (SELECT trim(p_name) AS key, CAST(min(p_partkey) AS VARCHAR) AS id FROM part WHERE length(p_name) % 2 = 0 GROUP BY 1)
     SELECT p_partkey AS id, coalesce(known.id, 'mol-' || substr(md5(trim(p_name)), 1, 12)) AS molecule_id, known.id IS NOT NULL AS matched
     FROM part LEFT JOIN known ON known.key = trim(p_name)""")
 def resolve_by_key(spark, sf):
     parts = B.parts(spark, sf)
-    known = B.table(spark, sf, "part").where("p_size <= 10").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("smiles"))
+    known = B.table(spark, sf, "part").where("length(p_name) % 2 = 0").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("smiles"))
     return I.resolve_by_key(parts.select("id", "smiles"), known).select("id", "molecule_id", "matched")
 
 
 @query("resolve_by_key_or_name", "W-39 W-138", """
-    WITH byk AS (SELECT p_name AS key, CAST(min(p_partkey) AS VARCHAR) AS kid FROM part WHERE p_size = 1 GROUP BY 1),
-    byn AS (SELECT lower(p_name || ' ' || p_brand) AS nn, CAST(min(p_partkey) AS VARCHAR) AS nid FROM part WHERE p_size = 1 GROUP BY 1),
+    WITH byk AS (SELECT p_name AS key, CAST(min(p_partkey) AS VARCHAR) AS kid FROM part WHERE length(p_name) % 2 = 0 GROUP BY 1),
+    byn AS (SELECT lower(p_name || ' ' || p_brand) AS nn, CAST(min(p_partkey) AS VARCHAR) AS nid FROM part WHERE length(p_name) % 2 = 0 GROUP BY 1),
     inc AS (SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN p_name END AS key, lower(p_name || ' ' || p_brand) AS nn FROM part)
     SELECT id, coalesce(kid, nid, 'mol-' || substr(md5(nn), 1, 12)) AS molecule_id,
            CASE WHEN kid IS NOT NULL THEN 'key' WHEN nid IS NOT NULL THEN 'name' ELSE 'new' END AS matched_by
@@ -102,19 +102,19 @@ def resolve_by_key_or_name(spark, sf):
     part = B.table(spark, sf, "part")
     name = F.concat(F.upper("p_name"), F.lit("   "), F.col("p_brand"), F.lit(" @ C"))
     incoming = part.select(F.col("p_partkey").alias("id"), name.alias("name"), F.when(F.col("p_size") % 2 == 0, F.col("p_name")).alias("smiles"))
-    known = part.where("p_size = 1").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand").alias("name"), F.col("p_name").alias("smiles"))
+    known = part.where("length(p_name) % 2 = 0").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand").alias("name"), F.col("p_name").alias("smiles"))
     return I.resolve_by_key_or_name(incoming, known).select("id", "molecule_id", "matched_by")
 
 
 @query("resolve_with_variations", "W-40", """
-    WITH idx AS (SELECT trim(p_name) AS key, CAST(max(p_partkey) AS VARCHAR) AS mid FROM part WHERE p_size <= 2 GROUP BY 1),
+    WITH idx AS (SELECT trim(p_name) AS key, CAST(max(p_partkey) AS VARCHAR) AS mid FROM part WHERE length(p_name) % 2 = 0 GROUP BY 1),
     inc AS (SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN replace(p_name, ' ', '= ') ELSE p_name END AS key FROM part)
     SELECT id, coalesce(a.mid, b.mid) AS molecule_id FROM inc LEFT JOIN idx a ON a.key = inc.key LEFT JOIN idx b ON b.key = replace(inc.key, '=', '')""")
 def resolve_with_variations(spark, sf):
     part = B.table(spark, sf, "part")
     incoming = part.select(F.col("p_partkey").alias("id"), F.when(
         F.col("p_size") % 2 == 0, F.replace("p_name", F.lit(" "), F.lit("= "))).otherwise(F.col("p_name")).alias("smiles"))
-    known = part.where("p_size <= 2").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("smiles"))
+    known = part.where("length(p_name) % 2 = 0").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("smiles"))
     return I.resolve_with_variations(incoming, known).select("id", "molecule_id")
 
 
@@ -204,7 +204,7 @@ def _registry(spark, sf):
         F.transform(F.sequence(F.lit(1), F.lit(7)), lambda i: F.concat(F.lit("syn"), c, F.lit("-"), i)).alias("synonyms"))
 
 
-@query("enriched_molecules", "W-52", """
+ENRICHED = """
     WITH reg AS (SELECT *, c_mktsegment || c_nationkey AS smiles, 'Supplier#' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS rname FROM customer),
     mol AS (SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_nationkey % 3 = 0 THEN s_suppkey * 2 END AS cid,
             CASE WHEN s_nationkey % 3 = 1 THEN ' BUILDING' || s_nationkey END AS smiles FROM supplier),
@@ -213,19 +213,27 @@ def _registry(spark, sf):
           LEFT JOIN reg a ON a.c_custkey = cid LEFT JOIN by_s b ON b.smiles = trim(mol.smiles) LEFT JOIN by_n c ON c.n = lower(trim(name)))
     SELECT id, CASE WHEN k1 IS NOT NULL THEN 'registry id' WHEN k2 IS NOT NULL THEN 'structure' WHEN k3 IS NOT NULL THEN 'name' END AS matched_by,
            coalesce(cid, k) AS pubchem_cid, 'InChI' || k AS inchi, CASE WHEN k % 2 = 0 THEN 'KEY' || k END AS inchi_key, 'cas' || k AS cas_number, c_acctbal AS molecular_weight,
-           CASE WHEN k IS NULL THEN 'own' ELSE 'own|' || array_to_string(list_transform(range(1, 6), lambda i: 'syn' || k || '-' || i), '|') END AS synonyms
-    FROM m LEFT JOIN customer ON c_custkey = k""")
-def enriched_molecules(spark, sf):
+           CASE WHEN k IS NULL THEN 'own' ELSE 'own|' || array_to_string(list_transform(range(1, {last}), lambda i: 'syn' || k || '-' || i), '|') END AS synonyms
+    FROM m LEFT JOIN customer ON c_custkey = k"""
+
+
+@query("enriched_molecules", "W-52", ENRICHED.replace("{last}", "8"))
+def enriched_molecules(spark, sf, new_synonyms=None):
     nation = F.col("s_nationkey")
     mol = B.table(spark, sf, "supplier").select(
         F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.when(nation % 3 == 0, F.col("s_suppkey") * 2).alias("pubchem_cid"),
         F.when(nation % 3 == 1, F.concat(F.lit(" BUILDING"), nation)).alias("smiles"),
         *[F.lit(None).cast(t).alias(c) for c, t in (("inchi", "string"), ("inchi_key", "string"), ("cas_number", "string"), ("molecular_weight", "double"))],
         F.array(F.lit("own")).alias("synonyms"))
-    out = E.enrich(mol, _registry(spark, sf))
+    out = E.enrich(mol, _registry(spark, sf), new_synonyms)
     return out.select("id", "matched_by", *I.MERGED_FIELDS, F.array_join("synonyms", "|").alias("synonyms"))
 
 
+@query("enriched_molecules_few_synonyms", "W-52", ENRICHED.replace("{last}", "6"))
+def enriched_molecules_few_synonyms(spark, sf):
+    return enriched_molecules(spark, sf, 5)
+
+
 @query("enrichment_provenance", "W-52 W-127", """
     SELECT 'prov-' || md5('enrich:' || s_suppkey) AS id, CAST(s_suppkey AS VARCHAR) AS entity_id, 'Molecule' AS entity_type,
            CASE WHEN s_suppkey IN (SELECT c_custkey FROM customer) THEN 'registry' ELSE '' END AS source_ids,

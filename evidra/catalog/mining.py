@@ -126,21 +126,31 @@ LIFT_CTES = dict(
     freq="SELECT molecule_id, count(*) AS f FROM sets GROUP BY 1",
     top="""SELECT x.molecule_id AS comp_1, y.molecule_id AS comp_2, count(*) AS pair_count
            FROM sets x JOIN sets y ON x.formulation_id = y.formulation_id AND x.molecule_id < y.molecule_id
-           GROUP BY ALL ORDER BY pair_count DESC, comp_1, comp_2 LIMIT 100""",
+           GROUP BY ALL""",
     lifted="""SELECT comp_1, comp_2, pair_count, a.f AS freq_1, b.f AS freq_2,
               (pair_count * 1.0 / n) / ((a.f * 1.0 / n) * (b.f * 1.0 / n)) AS lift, pair_count * 100.0 / n AS support_pct
               FROM top JOIN freq a ON a.molecule_id = comp_1 JOIN freq b ON b.molecule_id = comp_2, tot WHERE pair_count >= 5""")
 
 
-@query("association_lift", "W-80", with_("components", """
+LIFTED = """
     SELECT comp_1, comp_2, pair_count, freq_1, freq_2, round(lift, 6) AS lift, round(least(1.0, lift / 2), 6) AS confidence,
            round(support_pct, 6) AS support_pct
-    FROM lifted WHERE least(1.0, lift / 2) >= 0.5""", **LIFT_CTES))
+    FROM lifted WHERE least(1.0, lift / 2) >= 0.5"""
+
+
+@query("association_lift", "W-80", with_("components", LIFTED, **LIFT_CTES))
 def association_lift(spark, sf):
     out = M.association_lift(B.components(spark, sf), min_confidence=0.5)
     return rounded(out, 6, "lift", "confidence", "support_pct")
 
 
+@query("association_lift_of_top_pairs", "W-80", with_("components", LIFTED, **LIFT_CTES | {
+    "top": LIFT_CTES["top"] + " ORDER BY pair_count DESC, comp_1, comp_2 LIMIT 100"}))
+def association_lift_of_top_pairs(spark, sf):
+    out = M.association_lift(B.components(spark, sf), min_confidence=0.5, top_pairs=100)
+    return rounded(out, 6, "lift", "confidence", "support_pct")
+
+
 CORR_CTES = dict(
     em="SELECT entity_id, property_type, avg(value) AS v FROM entity_measurements GROUP BY ALL",
     pr="""SELECT a.property_type AS property_1, b.property_type AS property_2, count(*) AS n, corr(a.v, b.v) AS r

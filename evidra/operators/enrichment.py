@@ -11,9 +11,6 @@ from pyspark.sql import DataFrame, functions as F
 from evidra.operators.identity import MERGED_FIELDS
 from evidra.operators.skew import salted_lookups
 
-NEW_SYNONYMS = 5
-
-
 def match_registry(molecules: DataFrame, registry: DataFrame) -> DataFrame:
     """Molecules with the matched registry row ``r`` and ``matched_by``."""
     payload = F.struct(*[c for c in registry.columns])
@@ -38,17 +35,16 @@ def match_registry(molecules: DataFrame, registry: DataFrame) -> DataFrame:
     )
 
 
-def enrich(molecules: DataFrame, registry: DataFrame) -> DataFrame:
-    """Missing identifiers filled and at most five new synonyms appended."""
+def enrich(molecules: DataFrame, registry: DataFrame, new_synonyms: int | None = None) -> DataFrame:
+    """Missing identifiers filled and the registry's synonyms appended, all or the first ``new_synonyms``."""
     matched = match_registry(molecules, registry)
     fills = {
         "pubchem_cid": "registry_id",
         **{c: c for c in MERGED_FIELDS if c != "pubchem_cid"},
     }
     none = F.array().cast("array<string>")
-    synonyms = F.array_union(
-        F.coalesce("synonyms", none), F.coalesce(F.slice("r.synonyms", 1, NEW_SYNONYMS), none)
-    )
+    found = F.col("r.synonyms") if new_synonyms is None else F.slice("r.synonyms", 1, new_synonyms)
+    synonyms = F.array_union(F.coalesce("synonyms", none), F.coalesce(found, none))
     return matched.withColumns(
         {c: F.coalesce(F.col(c), F.col(f"r.{source}")) for c, source in fills.items()}
     ).withColumn("synonyms", synonyms).drop("r")

@@ -62,7 +62,7 @@ def missing_link_counts(molecules: DataFrame, relations: DataFrame) -> DataFrame
     members = F.col("members")
     return (
         sizes.join(linked, "smiles", "left")
-        .withColumn("pairs", F.floor(members * (members - 1) / 2).cast("bigint"))
+        .withColumn("pairs", F.shiftright(members * (members - 1), 1))
         .withColumn("linked", F.coalesce("linked", F.lit(0)).cast("bigint"))
         .withColumn("missing", F.col("pairs") - F.col("linked"))
     )

@@ -186,9 +186,10 @@ def same_as_of(seeds: DataFrame, molecules: DataFrame) -> DataFrame:
 
 
 def first_by(df: DataFrame, key: str, order: str) -> DataFrame:
-    """First row per key, combining map-side."""
+    """First row per key by ``order``, ties by the row's values; combines map-side."""
     others = [c for c in df.columns if c != key]
-    best = F.min_by(F.struct(*others), F.col(order)).alias("_first")
+    row = F.struct(*others)
+    best = F.min_by(row, F.struct(order, F.to_json(row))).alias("_first")
     return df.groupBy(key).agg(best).select(key, "_first.*")
 
 
@@ -210,7 +211,7 @@ def composition_groups(components: DataFrame) -> DataFrame:
     )
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) of an undirected ``edges(a, b)`` graph; the component is its smallest id.
 
     Alternates two re-wirings until every edge points from a node to its component's root:
@@ -229,7 +230,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         return row["n"], row["h"]
 
     before = None
-    for _ in range(max_rounds):
+    while True:  # rounds follow the logarithm of the longest chain
         sym = both_ways(current)
         low = sym.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         larger = sym.where(F.col("b") > F.col("a")).join(low, "a")  # hubs: AQE splits the edge side
@@ -245,7 +246,5 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("connected components did not settle; raise max_rounds")
     roots = current.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return nodes.join(roots, "id", "left").select("id", F.coalesce("component", "id").alias("component"))

@@ -173,7 +173,7 @@ def co_occurrence_rules(
     """
     mult = cut_lineage(multiplicities(components))
     counts = mult.groupBy("molecule_id").agg(
-        F.sum("m").alias("n"), F.sum(F.col("m") * (F.col("m") - 1) / 2).cast("bigint").alias("self_pairs")
+        F.sum("m").alias("n"), F.sum(F.shiftright(F.col("m") * (F.col("m") - 1), 1)).cast("bigint").alias("self_pairs")
     )
     distinct_pairs = pair_counts(mult, F.col("m_1") * F.col("m_2"))
     self_pairs = counts.where(F.col("self_pairs") > 0).select(
@@ -241,24 +241,22 @@ def threshold_rules(
 
 
 def association_lift(
-    components: DataFrame, min_support: int = 5, min_confidence: float = 0.6, top_pairs: int = 100
+    components: DataFrame, min_support: int = 5, min_confidence: float = 0.6, top_pairs: int | None = None
 ) -> DataFrame:
     """Lift of component pairs over component *sets*; confidence is half the lift, at most 1.
 
-    The most frequent ``top_pairs`` are cut before the support test, ties by name. Components
-    below the support cannot be part of a kept pair, so they are dropped before pairing.
+    Where ``top_pairs`` is given, only so many most frequent pairs are kept before the support test, ties
+    by name. Components below the support cannot be part of a kept pair, so they are dropped before pairing.
     """
     sets = cut_lineage(components.select("formulation_id", "molecule_id").distinct())
     n_forms = sets.agg(F.count_distinct("formulation_id").alias("n")).scalar()
     freq = sets.groupBy("molecule_id").agg(F.count("*").alias("freq"))
     rare = freq.where(F.col("freq") < min_support).select("molecule_id")
     frequent = sets.join(rare, "molecule_id", "left_anti").withColumn("m", F.lit(1))
-    top = (
-        pair_counts(frequent)
-        .orderBy(F.desc("pair_count"), "comp_1", "comp_2")
-        .limit(top_pairs)
-        .where(F.col("pair_count") >= min_support)
-    )
+    top = pair_counts(frequent)
+    if top_pairs is not None:
+        top = top.orderBy(F.desc("pair_count"), "comp_1", "comp_2").limit(top_pairs)
+    top = top.where(F.col("pair_count") >= min_support)
     f1 = freq.select(F.col("molecule_id").alias("comp_1"), F.col("freq").alias("freq_1"))
     f2 = freq.select(F.col("molecule_id").alias("comp_2"), F.col("freq").alias("freq_2"))
     p = lambda c: F.col(c) / n_forms

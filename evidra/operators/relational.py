@@ -50,10 +50,12 @@ def remove_triples(base: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def upsert(base: DataFrame, new: DataFrame, key: str, seq: str) -> DataFrame:
-    """Last write per key wins, by ``seq``. The rank limit is also applied before the shuffle."""
-    latest = Window.partitionBy(key).orderBy(F.desc(seq))
+    """Last write per key wins, by ``seq``, ties by the row's values. The rank limit is also applied
+    before the shuffle."""
+    both = base.unionByName(new, allowMissingColumns=True)
+    latest = Window.partitionBy(key).orderBy(F.desc(seq), F.to_json(F.struct(*both.columns)))
     return (
-        base.unionByName(new, allowMissingColumns=True)
+        both
         .withColumn("_rn", F.row_number().over(latest))
         .where(F.col("_rn") == 1)
         .drop("_rn")

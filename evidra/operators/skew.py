@@ -11,60 +11,70 @@ from evidra.session import cut_lineage
 
 HOT_ROWS = 5_000_000
 BROADCAST_ROWS = 50_000
-SALTS = 64
+#: Buckets that rows without a key are dealt to; they match nothing.
+NULL_SALTS = 1_024
 
 
-def hot_keys(facts: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """Keys with more than ``hot_rows`` facts, or None; at most rows / hot_rows of them exist.
+def hot_keys_of(facts: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> list[DataFrame | None]:
+    """For each key column: (key, _salts) of its values with more than ``hot_rows`` facts, or None.
 
-    The count combines map-side and is run at once, so that the join itself need not be
-    planned for salting when nothing is hot.
+    At most rows / hot_rows of them exist. All columns are counted in one pass that combines map-side; a
+    value gets a salt for every ``hot_rows`` of its rows, so no task takes more than about that many.
     """
-    counts = facts.select(key).where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    hot = counts.where(F.col("_n") > hot_rows).select(key)
-    return None if hot.isEmpty() else cut_lineage(hot)
+    listed = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(k).cast("string").alias("k")) for i, k in enumerate(keys)]))
+    counts = facts.select(listed.alias("c")).where("c.k is not null").groupBy("c.i", "c.k").agg(F.count("*").alias("n"))
+    hot = cut_lineage(counts.where(F.col("n") > hot_rows))
+    found = {r["i"] for r in hot.select("i").distinct().collect()}  # at most one row per key column
+    kinds = dict(facts.dtypes)
+    salts = F.ceil(F.col("n") / hot_rows).cast("int").alias("_salts")
+    return [hot.where(F.col("i") == i).select(F.col("k").cast(kinds[k]).alias(k), salts) if i in found else None for i, k in enumerate(keys)]
 
 
-def lookup_with(
-    facts: DataFrame, lookup: DataFrame, key: str, how: str = "left", hot: DataFrame | None = None, salts: int = SALTS
-) -> DataFrame:
-    """The join itself, for hot keys that are already known."""
+def hot_keys(facts: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """See :func:`hot_keys_of`."""
+    return hot_keys_of(facts, [key], hot_rows)[0]
+
+
+def lookup_with(facts: DataFrame, lookup: DataFrame, key: str, how: str = "left", hot: DataFrame | None = None) -> DataFrame:
+    """The join itself, for hot keys that are already known.
+
+    Rows without a key are kept or dropped as the join says, but dealt over ``NULL_SALTS`` buckets; a hot
+    key's rows over its salts, and only its lookup row is repeated, once per salt.
+    """
     if how not in ("left", "inner"):
         raise ValueError("facts must be the preserved side")
-    if hot is None:
-        return facts.join(lookup, key, how)
-    marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))  # few keys, see hot_keys
     hashable = [f.name for f in facts.schema if not isinstance(f.dataType, MapType)]
-    spread = F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int")
-    left = facts.join(marked, key, "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(0)).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = lookup.join(marked, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    spread = F.xxhash64(*hashable)
+    empty = F.pmod(spread, F.lit(NULL_SALTS)).cast("int")
+    if hot is None:
+        if how == "inner":
+            return facts.where(F.col(key).isNotNull()).join(lookup, key, how)
+        left = facts.withColumn("_salt", F.when(F.col(key).isNull(), empty).otherwise(0))
+        # Exploded, as a literal would be folded out of the join's keys.
+        return left.join(lookup.withColumn("_salt", F.explode(F.array(F.lit(0)))), [key, "_salt"], how).drop("_salt")
+    marked = F.broadcast(hot)  # few keys, see hot_keys_of
+    salt = F.when(F.col(key).isNull(), empty).when(F.col("_salts").isNotNull(), F.pmod(spread, F.col("_salts")).cast("int")).otherwise(0)
+    left = facts.join(marked, key, "left").withColumn("_salt", salt).drop("_salts")
+    copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    right = lookup.join(marked, key, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
-def salted_lookup(
-    facts: DataFrame, lookup: DataFrame, key: str, how: str = "left",
-    hot_rows: int = HOT_ROWS, salts: int = SALTS,
-) -> DataFrame:
-    """``facts.join(lookup, key, how)`` with keys of more than ``hot_rows`` facts split up.
-
-    Only hot keys have their lookup row repeated, once per salt.
-    """
-    return salted_lookups(facts, [(lookup, key)], how, hot_rows, salts)
+def salted_lookup(facts: DataFrame, lookup: DataFrame, key: str, how: str = "left", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``facts.join(lookup, key, how)`` with keys of more than ``hot_rows`` facts, and null keys, split up."""
+    return salted_lookups(facts, [(lookup, key)], how, hot_rows)
 
 
 def salted_lookups(
-    facts: DataFrame, lookups: Sequence[tuple[DataFrame, str]], how: str = "left",
-    hot_rows: int = HOT_ROWS, salts: int = SALTS,
+    facts: DataFrame, lookups: Sequence[tuple[DataFrame, str]], how: str = "left", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Several lookups in a row; hot keys are counted on the facts as they come in.
+    """Several lookups in a row; hot keys are counted on the facts as they come in, in one pass.
 
     A lookup has one row per key, so it adds no rows and the counts stay an upper bound.
     """
-    hot = [hot_keys(facts, key, hot_rows) for _, key in lookups]
     out = facts
-    for (lookup, key), h in zip(lookups, hot):
-        out = lookup_with(out, lookup, key, how, h, salts)
+    for (lookup, key), hot in zip(lookups, hot_keys_of(facts, [key for _, key in lookups], hot_rows)):
+        out = lookup_with(out, lookup, key, how, hot)
     return out
 
 

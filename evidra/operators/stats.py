@@ -162,7 +162,3 @@ def energy_gap(wide: DataFrame, low: str, high: str, out: str = "gap") -> DataFr
 
 def melt(wide: DataFrame, ids: list[str], columns: list[str], name: str, value: str) -> DataFrame:
     return wide.select(*ids, *columns).unpivot(ids, columns, name, value)
-
-
-def with_strength(df: DataFrame, r: str = "correlation") -> DataFrame:
-    return df.withColumn("strength", scalar.correlation_strength(F.col(r)))

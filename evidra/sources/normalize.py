@@ -279,7 +279,7 @@ def literature_rows(raw: DataFrame) -> DataFrame:
     value = _num(raw, "Value")
     scaled = value * scalar.conductivity_multiplier(F.coalesce("Raw_unit", F.lit("S/cm")))
     joined = rows.join(F.broadcast(known), "norm_name", "left")
-    title = F.when(F.coalesce("Title", F.lit("")) != "", F.substring("Title", 1, 100)).otherwise(F.concat(F.lit("DOI:"), "DOI"))
+    title = F.when(F.coalesce("Title", F.lit("")) != "", F.col("Title")).otherwise(F.concat(F.lit("DOI:"), "DOI"))
     return joined.select(
         "row_id", *[c for c in ("row_no",) if c in raw.columns], "smiles", F.col("Name").alias("name"), scalar.material_role(F.col("Name")).alias("role"),
         F.coalesce(molecule_id(F.col("smiles")), F.concat(F.lit("mol-"), F.substring(F.md5("norm_name"), 1, 12))).alias("molecule_id"),
@@ -306,7 +306,7 @@ def genome_rows(raw: DataFrame) -> DataFrame:
     first = with_structure.groupBy("smiles").agg(
         F.min_by(F.struct("row_id", "task_id", "formula", "molecular_weight", *columns), _place(raw)).alias("r")
     ).select("smiles", "r.*")
-    name = F.coalesce("formula", F.substring("smiles", 1, 50))
+    name = F.coalesce("formula", F.col("smiles"))
     long = first.select("row_id", "smiles", name.alias("name"), *columns).unpivot(
         ["row_id", "smiles", "name"], columns, "property_type", "value")
     return long.select(
@@ -326,7 +326,7 @@ def prediction_rows(raw: DataFrame) -> DataFrame:
     )
     rows = raw.select("row_id", smiles.alias("smiles"), F.inline(made))
     return rows.select(
-        "row_id", "smiles", F.substring("smiles", 1, 50).alias("name"), F.lit("solvent").alias("role"), "property_type", "value", "unit",
+        "row_id", "smiles", F.col("smiles").alias("name"), F.lit("solvent").alias("role"), "property_type", "value", "unit",
         F.when(F.col("smiles").isNull(), "no_structure").alias("reject_reason"), F.when(F.col("value").isNull(), "no_value").alias("value_reject"),
     )
 

@@ -8,14 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 # --- Fixed values: relation predicates ---
-RELATION_TYPES = [
-    "hasSolvent", "hasSalt", "hasAdditive", "hasComponent", "hasAmount",
-    "hasMeasurement", "measuresProperty", "measuredBy", "measuredAt", "derivedFrom",
-    "decomposesTo", "participatesInReaction", "associatedWithSEI", "formsSpecies",
-    "hypothesizedRelation", "evidenceFor", "validatedBy", "contradicts",
-    "isIsomerOf", "hasFunctionalGroup", "similarTo", "sameAs",
-    "increases", "decreases", "affects", "correlatesWith", "coOccursWith",
-]
 COMPONENT_PREDICATES = {"solvent": "hasSolvent", "salt": "hasSalt", "additive": "hasAdditive"}
 MOLECULE_PREDICATES = [
     "sameAs", "decomposesTo", "hasSolvent", "hasSalt",
@@ -35,39 +27,12 @@ RELATION_CONSTRAINTS = [
     ("coOccursWith", ["Molecule"], ["Molecule"]),
 ]
 
-# --- Fixed values: hypothesis life cycle and origin, curation outcomes, entity type order ---
+# --- Fixed values: hypothesis life cycle and origin, curation outcomes ---
 HYPOTHESIS_STATUSES = ["proposed", "under_evaluation", "validated", "rejected", "inconclusive"]
 HYPOTHESIS_SOURCES = ["kg_embedding", "rule_mining", "gnn_completion", "abduction", "human", "llm"]
 CURATION_OUTCOMES = ["approved", "rejected", "deferred"]
-ENTITY_TYPE_ORDER = [
-    "ElectrolyteFormulation", "Solvent", "Salt", "Additive",
-    "Molecule", "PropertyMeasurement", "InterphaseSpecies",
-]
 
-# --- Fixed values: property type | description | unit ---
-PROPERTY_TYPES = """
-ionic_conductivity|Measure of ion transport capability|S/cm
-activation_energy|Energy barrier for ionic conduction|eV
-resistance|Electrical resistance of electrolyte|Ohm
-viscosity|Resistance to flow|cP
-density|Mass per unit volume|g/cm³
-electrochemical_window|Stable voltage range|V
-ionization_energy|Energy to remove electron (vertical IE)|eV
-electron_affinity|Energy released when adding electron (vertical EA)|eV
-oxidation_potential_li|Oxidation potential vs Li/Li+ reference|V
-reduction_potential_li|Reduction potential vs Li/Li+ reference|V
-oxidation_potential_mg|Oxidation potential vs Mg/Mg2+ reference|V
-reduction_potential_mg|Reduction potential vs Mg/Mg2+ reference|V
-oxidation_potential_h|Oxidation potential vs H+/H2 reference|V
-reduction_potential_h|Reduction potential vs H+/H2 reference|V
-homo_energy|Highest occupied molecular orbital energy|eV
-lumo_energy|Lowest unoccupied molecular orbital energy|eV
-dielectric_constant|Relative permittivity of solvent|dimensionless
-thermal_stability|Thermal decomposition temperature|C
-lattice_energy|Energy to separate salt into ions|kJ/mol
-oxidation_stability|Voltage at which oxidation begins|V
-coulombic_efficiency|Ratio of discharge to charge capacity|dimensionless
-"""
+# --- Fixed values: properties expected of a solvent ---
 EXPECTED_SOLVENT_PROPERTIES = ["ionic_conductivity", "ionization_energy", "electron_affinity"]
 
 # --- Fixed values: curated property name | property type ---
@@ -156,8 +121,6 @@ ATLAS_SOLVENTS = [
     "Ethylbenzene", "Ethylmonoglyme", "Benzene", "g-Butyrolactone",
     "Cumene", "Propylsulfone", "Pseudocumeme", "TEOS", "m-Xylene", "o-Xylene",
 ]
-# --- Fixed values: solvents whose dominant-fraction conductivity is summarised ---
-SUMMARY_SOLVENTS = ["EC", "PC", "DMC", "EMC", "DEC", "DME", "DMSO", "AN", "FEC", "DOL", "THF"]
 
 # --- Fixed values: abbreviation | full name ---
 COMPOUND_NAMES = """
@@ -372,16 +335,3 @@ def rows(text: str) -> list[tuple]:
 def dimension(spark: SparkSession, text: str, columns: list[str]) -> DataFrame:
     """A lookup table as a (fixed-size) DataFrame of strings."""
     return spark.createDataFrame(rows(text), ", ".join(f"`{c}` string" for c in columns))
-
-
-def property_type_dimension(spark: SparkSession) -> DataFrame:
-    """The seeded property-type rows: id, name, description, unit."""
-    from evidra.functions.scalar import property_entity_id, title_case
-    from pyspark.sql import functions as F
-
-    base = dimension(spark, PROPERTY_TYPES, ["property_type", "description", "unit"])
-    return base.select(
-        property_entity_id(F.col("property_type")).alias("id"),
-        title_case(F.col("property_type")).alias("name"),
-        "property_type", "description", "unit",
-    )
