@@ -32,7 +32,8 @@ WORDS = 5
 BANDS, ROWS = 4, 3
 #: A shingle that is met this often is listed last, as far as the table of the most frequent ones goes.
 FREQUENT, FREQUENT_MOST = 32, 1 << 18
-CHUNK = 500_000
+#: Shingles, by the upper half of their hash, that a task looks through together for repeats.
+CHUNK = 8_000_000
 #: Index entries that a task holds before it hands them on, and candidate pairs likewise.
 HELD, HELD_PAIRS = 500_000, 250_000
 SLICE = 1 << 20
@@ -74,16 +75,23 @@ def _bands(hashes: np.ndarray) -> list[int]:
         return [int.from_bytes(hashlib.blake2b(least[i::BANDS].tobytes() + bytes([i]), digest_size=8).digest(), "little", signed=True) for i in range(BANDS)]
 
 
+def _upper(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(32)).astype(np.uint32)
+
+
 def _sketch(batches):
     """A row per document (kind 0), and the shingles met twice or more in a run of documents (kind 1)."""
     held, size = [], 0
 
     def repeated():
-        values, counts = np.unique(np.concatenate(held), return_counts=True)
+        flat = np.concatenate(held)
+        flat.sort()
+        begins = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+        counts = np.diff(np.append(begins, len(flat)))
         often = counts > 1
-        n = int(often.sum())
+        n, values = int(often.sum()), flat[begins].astype(np.int64)
         none = pa.nulls(n, pa.int64())
-        return batch(SKETCH, np.ones(n, np.int32), none, values[often].view(np.int64), pa.nulls(n, pa.binary()), counts[often], *[none] * BANDS)
+        return batch(SKETCH, np.ones(n, np.int32), none, values[often], pa.nulls(n, pa.binary()), counts[often], *[none] * BANDS)
 
     for rows in batches:
         for part in slices(rows, "text", SLICE):
@@ -94,7 +102,7 @@ def _sketch(batches):
                 SKETCH, np.zeros(len(sets), np.int32), part.column("doc_id"), part.column("rid"), keys, [len(s) for s in sets],
                 *[[b[i] for b in bands] for i in range(BANDS)],
             )
-            held += sets
+            held += [_upper(s) for s in sets]
             size += sum(map(len, sets))
             if size >= CHUNK:
                 yield repeated()
@@ -154,7 +162,8 @@ def _entries(frequent: np.ndarray, bits: int):
                     p = prefix_length(len(s))
                     sizes.append(len(s))
                     if len(frequent):
-                        often = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
+                        upper = _upper(s)
+                        often = frequent[np.minimum(np.searchsorted(frequent, upper), len(frequent) - 1)] == upper
                         s = np.concatenate([s[~often], s[often]])
                     held.append(s[:p].copy())
                     rids.append(rid)
@@ -293,6 +302,37 @@ def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return written(full.select("a", "b", "text_a", "text_b").sortWithinPartitions("b").mapInArrow(_compare, VERIFIED))
 
 
+def _rooted(links: DataFrame) -> DataFrame:
+    """(node, root) of the components of links from members (a) to their leaders (b).
+
+    A member hangs on its least leader, which stands for it; its other leaders are tied to that one. Only
+    the leaders, far fewer than the members, go through the rounds of :func:`components`.
+    """
+    links = written(links)
+    least = written(links.groupBy("a").agg(F.min("b").alias("p")))
+    leaders = links.select(F.col("b").alias("a")).distinct()
+    ties = links.join(least, "a").where("b <> p").select(F.col("b").alias("a"), F.col("p").alias("b"))
+    ties = ties.union(least.join(leaders, "a", "left_semi").select("a", F.col("p").alias("b")))
+    roots = components(ties.distinct())
+    hung = least.join(leaders, "a", "left_anti").join(roots.withColumnRenamed("node", "p"), "p", "left")
+    hung = hung.select(F.col("a").alias("node"), F.coalesce("root", "p").alias("root"))
+    alone = leaders.select(F.col("a").alias("node")).join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))
+    return written(hung.unionByName(roots).unionByName(alone))
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The roots after further links, which are drawn between the roots so far."""
+    def end(c: str) -> DataFrame:
+        return roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+
+    links = written(links.join(end("a"), "a", "left").join(end("b"), "b", "left"))
+    ends = written(links.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).distinct())
+    over = components(ends).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    known = roots.join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    fresh = over.select(F.col("root").alias("node"), F.col("top").alias("root")).join(roots, "node", "left_anti")
+    return written(known.unionByName(fresh))
+
+
 def similar_documents(docs: DataFrame) -> DataFrame:
     """Every row's component; see :func:`components_of`, which also says which row is which."""
     return components_of(docs).select("doc_id", "n_shingles", "component_id")
@@ -337,18 +377,17 @@ def components_of(docs: DataFrame) -> DataFrame:
     met = lookup_bounded(listed, leaders, "band", F.col("members"))
     met = met.where("lead is not null AND rid <> lead.rid AND 4 * n >= 3 * lead.n AND 4 * lead.n >= 3 * n")
     near = compared(met.select(F.col("rid").alias("a"), F.col("lead.rid").alias("b")).distinct(), docs)
-    edges = near.where(linked(F.col("common"), F.col("n"), F.col("m"))).select("a", "b")
+    first_roots = _rooted(near.where(linked(F.col("common"), F.col("n"), F.col("m"))).select("a", "b"))
     union = F.col("n") + F.col("m") - F.col("common")
     close = near.where(10 * F.col("common") >= 9 * union).withColumn("away", 1 - F.col("common") / union)
     followers = close.select(F.col("a").alias("b")).distinct()
     stars = close.join(followers, "b", "left_anti").groupBy("a").agg(F.min(F.struct("b", "away")).alias("s"))
     stars = written(stars.select(F.col("a").alias("rid"), F.col("s.b").alias("ball"), F.col("s.away").alias("away")))
-    first_roots = components(edges)
 
     # Index lists over all classes, frequent shingles last.
     often = sketch.where("kind = 1").groupBy("rid").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     often = often.orderBy(F.desc("n"), "rid").limit(FREQUENT_MOST)  # only an order: any set gives the same answer
-    frequent = np.sort(np.array([r[0] for r in often.select("rid").collect()], np.int64).view(np.uint64))
+    frequent = np.sort(np.array([r[0] for r in often.select("rid").collect()], np.int64).astype(np.uint32))
     total = classes.agg(F.sum("n")).first()[0] or 0
     bits = max(0, int(total // 4 // BUCKET_ENTRIES)).bit_length()
     blobs = docs.mapInArrow(_entries(frequent, bits), "bucket int, data binary")
@@ -365,8 +404,7 @@ def components_of(docs: DataFrame) -> DataFrame:
         .sortWithinPartitions("token").mapInArrow(_pairs, PAIR)
     )
     far = compared(lists.distinct(), docs)
-    edges = written(edges.union(far.where(linked(F.col("common"), F.col("n"), F.col("m"))).select("a", "b")))
-    roots = components(edges)
+    roots = _joined(first_roots, far.where(linked(F.col("common"), F.col("n"), F.col("m"))).select("a", "b"))
 
     # Balls whose leaders do not link but whose members may, unless they are connected by now.
     radius = stars.groupBy("ball").agg(F.max("away").alias("radius"))
@@ -390,8 +428,7 @@ def components_of(docs: DataFrame) -> DataFrame:
         )
         pairs = pairs.where("away <= 0.25 + da + db + 1e-9 AND da + db > 0").select(F.col("xa").alias("a"), F.col("xb").alias("b"))
         inner = compared(pairs.distinct(), docs)
-        edges = edges.union(inner.where(linked(F.col("common"), F.col("n"), F.col("m"))).select("a", "b"))
-        roots = components(edges)
+        roots = _joined(roots, inner.where(linked(F.col("common"), F.col("n"), F.col("m"))).select("a", "b"))
 
     # Back from roots to classes to rows.
     placed = classes.select("key", "doc_id", "rid", "size").join(roots.withColumnRenamed("node", "rid"), "rid", "left")
