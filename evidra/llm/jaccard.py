@@ -30,6 +30,8 @@ from evidra.llm.textcols import Texts, shingles_of, slices, texts_of, words_of
 
 WORDS = 5
 BANDS, ROWS = 4, 3
+#: Circles of about ``CIRCLE`` members of a band's group whose heads each member is compared with.
+CIRCLES, CIRCLE = 6, 8
 #: A shingle that is met this often is listed last, as far as the table of the most frequent ones goes.
 FREQUENT, FREQUENT_MOST = 32, 1 << 18
 #: Shingles, by the upper half of their hash, that a task looks through together for repeats.
@@ -374,8 +376,14 @@ def components_of(docs: DataFrame) -> DataFrame:
     # Balls: leaders by band, then exact similarity.
     listed = classes.select("rid", "n", F.posexplode(F.array(*bands)).alias("i", "b")).select("rid", "n", F.xxhash64("i", "b").alias("band"))
     leaders = listed.groupBy("band").agg(F.min(F.struct("rid", "n")).alias("lead"), F.count("*").alias("members")).where("members > 1")
-    met = lookup_bounded(listed, leaders, "band", F.col("members"))
-    met = met.where("lead is not null AND rid <> lead.rid AND 4 * n >= 3 * lead.n AND 4 * lead.n >= 3 * n")
+    met = written(lookup_bounded(listed, leaders, "band", F.col("members")).where("lead is not null").select("rid", "n", "band", "lead", "members"))
+    # In a large group the leader may itself be far from most members, so each also meets a few others.
+    shared = F.greatest(F.lit(1), F.ceil(F.col("members") / CIRCLE))
+    circles = met.select("rid", "n", "band", F.explode(F.array(*[F.lit(k) for k in range(CIRCLES)])).alias("k"), shared.alias("shared"))
+    circles = circles.select("rid", "n", F.xxhash64("band", "k", F.pmod(F.xxhash64("rid", "k"), F.col("shared"))).alias("circle"))
+    heads = circles.groupBy("circle").agg(F.min(F.struct("rid", "n")).alias("lead"))
+    met = met.select("rid", "n", "lead").unionByName(circles.join(heads, "circle").select("rid", "n", "lead"))
+    met = met.where("rid <> lead.rid AND 4 * n >= 3 * lead.n AND 4 * lead.n >= 3 * n")
     near = compared(met.select(F.col("rid").alias("a"), F.col("lead.rid").alias("b")).distinct(), docs)
     first_roots = _rooted(near.where(linked(F.col("common"), F.col("n"), F.col("m"))).select("a", "b"))
     union = F.col("n") + F.col("m") - F.col("common")
