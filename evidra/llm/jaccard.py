@@ -35,7 +35,7 @@ CIRCLES, CIRCLE = 6, 8
 #: A shingle that is met this often is listed last, as far as the table of the most frequent ones goes.
 FREQUENT, FREQUENT_MOST = 32, 1 << 18
 #: Shingles, by the upper half of their hash, that a task looks through together for repeats.
-CHUNK = 8_000_000
+CHUNK = 4_000_000
 #: Index entries that a task holds before it hands them on, and candidate pairs likewise.
 HELD, HELD_PAIRS = 500_000, 250_000
 SLICE = 1 << 20
@@ -87,13 +87,12 @@ def _sketch(batches):
 
     def repeated():
         flat = np.concatenate(held)
+        held.clear()
         flat.sort()
-        begins = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-        counts = np.diff(np.append(begins, len(flat)))
-        often = counts > 1
-        n, values = int(often.sum()), flat[begins].astype(np.int64)
+        values, counts = np.unique(flat[1:][flat[1:] == flat[:-1]], return_counts=True)
+        n = len(values)
         none = pa.nulls(n, pa.int64())
-        return batch(SKETCH, np.ones(n, np.int32), none, values[often], pa.nulls(n, pa.binary()), counts[often], *[none] * BANDS)
+        return batch(SKETCH, np.ones(n, np.int32), none, values.astype(np.int64), pa.nulls(n, pa.binary()), counts + 1, *[none] * BANDS)
 
     for rows in batches:
         for part in slices(rows, "text", SLICE):
@@ -108,7 +107,7 @@ def _sketch(batches):
             size += sum(map(len, sets))
             if size >= CHUNK:
                 yield repeated()
-                held, size = [], 0
+                size = 0
     if held:
         yield repeated()
 
