@@ -71,12 +71,13 @@ def back(p: dict, symbols: np.ndarray, kept: list, d_states: np.ndarray, keep: n
     d_hidden = np.zeros_like(p["hidden"])
     d_inputs = np.empty((*symbols.shape, 3 * u), np.float32)
     carried = np.zeros_like(d_states[0])
+    slope = d_states.dtype.type(0.25)
     for t in range(len(symbols) - 1, -1, -1):
         h, z, r, n, gn = kept[t]
         d = d_states[t] + carried
         dn = d * (1 - z) * (1 - n * n)
-        dz = d * (h - n) * (0.25 * ((z > 0) & (z < 1)))
-        dr = dn * gn * (0.25 * ((r > 0) & (r < 1)))
+        dz = d * (h - n) * (slope * ((z > 0) & (z < 1)))
+        dr = dn * gn * (slope * ((r > 0) & (r < 1)))
         d_inputs[t] = np.concatenate([dz, dr, dn], 1)
         dg = np.concatenate([dz, dr, dn * r], 1)
         d_hidden += h.T @ dg
@@ -119,3 +120,11 @@ class Adam:
 def log_softmax(x: np.ndarray) -> np.ndarray:
     x = x - x.max(-1, keepdims=True)
     return x - np.log(np.exp(x).sum(-1, keepdims=True))
+
+
+def softmax(x: np.ndarray) -> np.ndarray:
+    """Over the last axis, in place."""
+    x -= x.max(-1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(-1, keepdims=True)
+    return x

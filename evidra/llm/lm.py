@@ -7,9 +7,10 @@ every other word goes to one of ``TAILS`` buckets by its length and letters, whi
 and within its bucket has its smoothed share of the counts. A text's score is the sum over all its tokens,
 with the network's state carried from window to window, so it is the likelihood of the whole document.
 
-The network is trained where the data are: in each of ``ROUNDS`` rounds every task trains the shared
-weights on its part of a fixed share of the training documents, by truncated backpropagation, and the
-weights are averaged by the words they saw. So training grows with the input as the counts do.
+The network is trained where the data are: the training documents are dealt over ``ROUNDS`` rounds by a
+hash, and in each round every task trains the shared weights on its part of the round's documents, by
+truncated backpropagation; the weights are averaged by the words they saw. So each document is learned
+from once, and training grows with the input as the counts do.
 """
 
 from __future__ import annotations
@@ -31,9 +32,9 @@ VOCABULARY = CLASS * CLASSES - 1  # place 0 is the end of a document
 TAILS = 27
 #: Counts of so many most frequent words, at most, go to the tasks; those of the others are joined.
 HEAD = 1 << 20
-ROUNDS, SHARE = 3, 24
+ROUNDS = 3
 LANES, WINDOW = 1024, 32
-TRAIN_LANES, TRAIN_WINDOW, RATE = 32, 24, 0.01
+TRAIN_LANES, TRAIN_WINDOW, TRAIN_STEPS, RATE = 256, 24, 32, 0.02
 FAN_IN = 64
 _LN10 = math.log(10)
 COUNT = "h long, tail int, c long"
@@ -142,15 +143,16 @@ def start_weights(v: Vocabulary, seed: int = 0) -> dict[str, np.ndarray]:
 
 
 def train(p: dict[str, np.ndarray], symbols: np.ndarray, rate: float = RATE) -> None:
-    """One pass over texts joined end to end, in ``TRAIN_LANES`` streams; states start anew after an end."""
-    width = -(-len(symbols) // TRAIN_LANES)
-    if width < 2:
+    """One pass over texts joined end to end, in up to ``TRAIN_LANES`` streams; states start anew after an end."""
+    if not len(symbols):
         return
-    lanes = np.zeros(width * TRAIN_LANES, np.int64)
+    streams = max(1, min(TRAIN_LANES, len(symbols) // (TRAIN_WINDOW * TRAIN_STEPS)))  # few words make few streams
+    width = -(-len(symbols) // streams)
+    lanes = np.zeros(width * streams, np.int64)
     lanes[: len(symbols)] = symbols
-    lanes = lanes.reshape(TRAIN_LANES, width).T
-    before = np.concatenate([np.zeros((1, TRAIN_LANES), np.int64), lanes[:-1]])
-    adam, h = gru.Adam(p, rate), np.zeros((TRAIN_LANES, UNITS), np.float32)
+    lanes = lanes.reshape(streams, width).T
+    before = np.concatenate([np.zeros((1, streams), np.int64), lanes[:-1]])
+    adam, h = gru.Adam(p, rate), np.zeros((streams, UNITS), np.float32)
     steps = -(-width // TRAIN_WINDOW)
     for i in range(steps):
         x, y = (a[i * TRAIN_WINDOW : (i + 1) * TRAIN_WINDOW] for a in (before, lanes))
@@ -159,14 +161,16 @@ def train(p: dict[str, np.ndarray], symbols: np.ndarray, rate: float = RATE) ->
         h = states[-1]
         flat, target = states.reshape(-1, UNITS), y.ravel()
         klass = target // CLASS
-        d = np.exp(gru.log_softmax(flat @ p["class_w"] + p["class_b"]))
+        d = gru.softmax(flat @ p["class_w"] + p["class_b"])
         d[np.arange(len(d)), klass] -= 1
         d /= len(d)
         d_states = d @ p["class_w"].T
         grads = {"class_w": flat.T @ d, "class_b": d.sum(0), "word_w": np.zeros_like(p["word_w"]), "word_b": np.zeros_like(p["word_b"])}
-        for k in np.unique(klass).tolist():
-            rows, span = np.flatnonzero(klass == k), slice(k * CLASS, min((k + 1) * CLASS, len(p["word_b"])))
-            e = np.exp(gru.log_softmax(flat[rows] @ p["word_w"][span].T + p["word_b"][span]))
+        order = np.argsort(klass, kind="stable")
+        edges = np.searchsorted(klass[order], np.arange(CLASSES + 2))
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            rows, span = order[edges[k] : edges[k + 1]], slice(k * CLASS, min((k + 1) * CLASS, len(p["word_b"])))
+            e = gru.softmax(flat[rows] @ p["word_w"][span].T + p["word_b"][span])
             e[np.arange(len(rows)), target[rows] - k * CLASS] -= 1
             e /= len(d)
             grads["word_w"][span], grads["word_b"][span] = e.T @ flat[rows], e.sum(0)
@@ -259,9 +263,9 @@ def _averaged(rows: pa.Table) -> pa.Table:
     return pa.Table.from_batches([batch(WEIGHTS, [rows.column("part")[0].as_py()], [int(words.sum())], [mean.tobytes()])])
 
 
-def trained(sample: DataFrame, v, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Weights after all rounds; ``sample`` has text and the round of each document."""
-    context = sample.sparkSession.sparkContext
+def trained(learning: DataFrame, v, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Weights after all rounds; ``learning`` has text and the round of each document."""
+    context = learning.sparkSession.sparkContext
     p = like
     for number in range(ROUNDS):
         held = context.broadcast(p)
@@ -285,7 +289,7 @@ def trained(sample: DataFrame, v, like: dict[str, np.ndarray]) -> dict[str, np.n
             if seen:
                 yield batch(WEIGHTS, [TaskContext.get().partitionId()], [seen], [packed_weights(own)])
 
-        weights = written(sample.where(F.col("round") == number).select("text").mapInArrow(fit, WEIGHTS))
+        weights = written(learning.where(F.col("round") == number).select("text").mapInArrow(fit, WEIGHTS))
         while weights.count() > FAN_IN:
             group = F.floor(F.col("part") / FAN_IN).cast("long").alias("part")
             weights = written(weights.select(group, "words", "data").groupBy("part").applyInArrow(_averaged, WEIGHTS))
@@ -310,9 +314,8 @@ def scored(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
     counts = written(learning.select("text").mapInArrow(_counts, COUNT).groupBy("h").agg(F.min("tail").alias("tail"), F.sum("c").alias("c")))
     vocabulary = Vocabulary(counts, learning.count())
     v = context.broadcast(vocabulary)
-    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(SHARE)).alias("round")
-    sample = written(learning.select("text", part).where(F.col("round") < ROUNDS))
-    weights = context.broadcast(trained(sample, v, start_weights(vocabulary)))
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)).alias("round")
+    weights = context.broadcast(trained(learning.select("text", part), v, start_weights(vocabulary)))
 
     def score(batches):
         vocabulary, scorer = v.value, Scorer(weights.value)

@@ -382,6 +382,30 @@ def test_training_lowers_the_loss():
     assert lm.Scorer(p).score(text[:600], np.array([600]))[0] > 0.5 * before
 
 
+def test_every_training_document_is_learned_from_once(docs, rows, monkeypatch):
+    """A bounded share of the documents would reach few of the words."""
+    seen, real = [], lm.trained
+
+    def spy(learning, v, like):
+        seen.extend(learning.where(F.col("round").between(0, lm.ROUNDS - 1)).select("text").collect())
+        return real(learning, v, like)
+
+    monkeypatch.setattr(lm, "trained", spy)
+    lm.scored(docs).count()
+    assert Counter(r.text for r in seen) == Counter(t for i, t in rows if not held_out(i))
+
+
+def test_training_leaves_no_short_text_out():
+    class Counts:
+        unigrams = np.ones(lm.CLASS * lm.CLASSES + lm.TAILS)
+
+    for n in (1, 7, 30, 300):
+        p = lm.start_weights(Counts())
+        first = p["word_b"].copy()
+        lm.train(p, np.full(n, 5))
+        assert (p["word_b"] != first).any()
+
+
 def test_language_model_query(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     rows = QUERIES["op2_lm_scores"](spark, sf).collect()
