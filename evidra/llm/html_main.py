@@ -37,6 +37,8 @@ BLOCK = set(
     "h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
 RAW = set("script style noscript template textarea title svg math iframe object canvas noframes xmp".split())
+#: Without a close tag these run to the end of the page; the others' content is then read on as markup.
+TO_END = set("script style textarea title".split())
 OUTSIDE = set("nav header footer aside form menu dialog button select option fieldset head".split())
 NAMED = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|header|masthead|footer|sidebar|aside|cookies?|"
@@ -45,7 +47,7 @@ NAMED = re.compile(
 )
 ROLES = re.compile(r"^(?:navigation|banner|contentinfo|complementary|search|alert|dialog|form|menu|menubar)$", re.I)
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 #: Closing one of these is implied by the elements that cannot stand inside it.
 _IMPLIED = {"p": BLOCK - {"li", "html", "body", "head"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
 
@@ -53,14 +55,14 @@ _IMPLIED = {"p": BLOCK - {"li", "html", "body", "head"}, "li": {"li"}, "dt": {"d
 def _unwanted(name: str, attributes: str) -> bool:
     if name in OUTSIDE:
         return True
-    if not attributes:
+    if not attributes or name in ("html", "body", "article", "main"):
         return False
     for key, *values in _ATTRIBUTE.findall(attributes):
         value, key = "".join(values), key.lower()
         if key == "hidden" or key == "aria-hidden" and value == "true":
             return True
-        if ROLES.match(value) if key == "role" else NAMED.search(value):
-            return name not in ("html", "body", "article", "main")
+        if key == "role" and ROLES.match(value) or key in ("class", "id") and NAMED.search(value):
+            return True
     return False
 
 
@@ -99,9 +101,10 @@ def blocks_of(page: str) -> list[tuple[str, str]]:
                     pass
             continue
         if name in RAW:
-            close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             flush() if name == "title" else None
-            at = close.end() if close else n
+            if name in TO_END or not tag.group(3).endswith("/"):
+                close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+                at = close.end() if close else n if name in TO_END else at
             continue
         if name in BLOCK:
             flush()

@@ -100,6 +100,18 @@ def test_text_before_a_cut_end_stays():
     assert [t for t, _ in html_main.blocks_of("a < b")] == ["a < b"]
 
 
+@pytest.mark.parametrize("tag", ["<svg width='1'/>", "<math/>", "<object data='x'/>", "<svg>", "<noscript>", "<template>", "<canvas>"])
+def test_an_unclosed_element_does_not_drop_the_rest(tag):
+    assert [t for t, _ in html_main.blocks_of(f"<article><p>before{tag}<p>after</article><p>end")] == ["before", "after", "end"]
+
+
+@pytest.mark.parametrize("attribute", ["style='overflow:hidden'", "data-hidden='false'", "title='a hidden lake'", 'data-class="nav"'])
+def test_hidden_is_an_attribute_of_its_own(attribute):
+    for name in ("body", "div", "article"):
+        assert [k for _, k in html_main.blocks_of(f"<{name} {attribute}><p>text</{name}>")] != ["x"]
+    assert [k for _, k in html_main.blocks_of("<div lang=en hidden><p>text</div><div HIDDEN=''>more</div>")] == ["x", "x"]
+
+
 def test_suffix_ranks_are_those_of_sorted_runs():
     rng = np.random.default_rng(0)
     for _ in range(40):
