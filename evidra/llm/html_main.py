@@ -6,9 +6,10 @@ boilerplate. A block that such runs cover is left out, unless the page itself ma
 Menus, headers, footers, sidebars, notices, adverts, forms and reader comments that carry their own
 elements or names are left out as well, so a page alone on its host is cut too.
 
-A host is worked on in shards of about ``SHARD`` pages, in the order of a hash; hosts with a good share of
-all pages are split by that hash before the shuffle, so a host with a third of all pages is many tasks'
-work. What a host prints on its pages recurs in every shard.
+Runs are counted over the whole host, whatever its size. Each batch of pages sorts its own suffixes and
+hands on at most ``PAGES`` distinct owners of a (host, run); these are combined by run, so neither a large
+host nor a run on all of its pages is one task's work. Only runs that touch an unmarked block are handed on.
+An owner is a page.
 """
 
 from __future__ import annotations
@@ -18,18 +19,22 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from evidra.llm.common import batch, words, written
+from evidra.llm.common import batch, lookup_bounded, mixed, words, written
+from evidra.llm.textcols import _ODD, _VALUES, texts_of, words_of
 
-SHARD = 128
-#: Hosts with more than this share of all pages are split by the hash before the shuffle.
-HOT_SHARE = 0.002
-#: A run of at least so many words on at least so many pages of a shard is boilerplate.
+#: A run of at least so many words on at least so many distinct pages of a host is boilerplate.
 RUN, PAGES = 4, 3
 COVERED = 0.8
 TEXT = "page_id long, url string, text string, n_chars long"
-_BLOCKS = "_page long, url string, _host string, _shard int, _hash long, blocks array<string>, kinds string"
+#: Runs whose hash falls on no slot of a run that touches an unmarked block need no count.
+SLOTS = 1 << 20
+#: Up to so many repeated runs are broadcast; more are joined to the pages.
+AT_HAND = 1 << 20
+_BLOCKS = "_uid long, page_id long, url string, _host long, blocks array<string>, kinds string"
+_COUNTS = "k long, owner long, n long"
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set(
@@ -166,7 +171,7 @@ def repeated(stream: np.ndarray, page: np.ndarray) -> np.ndarray:
 
 
 def main_texts(pages: list[tuple[list[str], str]]) -> list[str]:
-    """The kept blocks of a shard's pages, one line each."""
+    """The kept blocks of one host's pages, one line each: the plain form of :func:`main_text`."""
     vocabulary: dict[str, int] = {}
     stream, owner, spans = [], [], []
     for p, (blocks, _) in enumerate(pages):
@@ -187,55 +192,145 @@ def main_texts(pages: list[tuple[list[str], str]]) -> list[str]:
     return ["\n".join(k) for k in kept]
 
 
+class Runs:
+    """The runs of ``RUN`` words inside the pages of a batch, those of a page one after another.
+
+    ``key`` is a hash of host and run, ``owner`` the page that a run counts for, ``touches``
+    whether it lies on a word of an unmarked block.
+    """
+
+    def __init__(self, rows: pa.RecordBatch):
+        self.blocks, self.kinds = rows.column("blocks").to_pylist(), rows.column("kinds").to_pylist()
+        n_blocks = np.array([len(b) for b in self.blocks], np.int64)
+        w = words_of(texts_of(pa.array([t for b in self.blocks for t in b], pa.string())), _VALUES)
+        self.kind = np.frombuffer("".join(self.kinds).encode(), np.uint8)
+        self.count, self.hashed = w.count, w.hashed
+        block_page = np.repeat(np.arange(len(n_blocks)), n_blocks)
+        self.block = np.repeat(np.arange(len(block_page)), w.count)
+        self.page = block_page[self.block]
+        self.start = np.zeros(0, np.int64)
+        if len(self.page) >= RUN:
+            self.start = np.flatnonzero(self.page[: len(self.page) - RUN + 1] == self.page[RUN - 1 :])
+        host = rows.column("_host").to_numpy().view(np.uint64)
+        key = np.zeros(len(self.start), np.uint64)
+        for i in range(RUN):
+            key = key * np.uint64(_ODD) + mixed(self.hashed[self.start + i] + np.uint64(i + 1))
+        self.host = host[self.page[self.start]]
+        self.key = mixed(key + mixed(self.host))
+        open_words = np.concatenate([[0], np.cumsum(self.kind[self.block] == ord("-"))])
+        self.touches = open_words[self.start + RUN] > open_words[self.start]
+        self.owner = mixed(rows.column("_uid").to_numpy().view(np.uint64))[self.page[self.start]]
+
+    def slot(self) -> np.ndarray:
+        return (self.key % np.uint64(SLOTS)).astype(np.int64)
+
+    def counts(self, wanted: np.ndarray):
+        """(key, owner, touching runs) of at most ``PAGES`` owners of each wanted run; the first has the sum."""
+        rank = suffix_array(np.unique(self.hashed, return_inverse=True)[1], RUN)[1][self.start[wanted]]
+        key, owner, host, touches = (x[wanted] for x in (self.key, self.owner, self.host, self.touches))
+        by = np.lexsort((owner, host, rank))
+        rank, host, owner, key = rank[by], host[by], owner[by], key[by]
+        new = np.concatenate([[True], (rank[1:] != rank[:-1]) | (host[1:] != host[:-1])])
+        head = np.flatnonzero(new)
+        pair = np.flatnonzero(new | np.concatenate([[True], owner[1:] != owner[:-1]]))
+        group = np.cumsum(new)[pair] - 1
+        place = np.arange(len(pair)) - np.searchsorted(group, group)
+        n = np.where(place == 0, np.add.reduceat(touches[by].astype(np.int64), head)[group], 0)
+        few = place < PAGES
+        return key[pair][few].view(np.int64), owner[pair][few].view(np.int64), n[few]
+
+    def texts(self, known: np.ndarray) -> list[str]:
+        """What stays of every page, where the runs with a key in ``known`` are repeated."""
+        starts = np.zeros(len(self.page) + 1, np.int64)
+        common = self.start[np.isin(self.key, known)]
+        np.add.at(starts, common, 1)
+        np.add.at(starts, common + RUN, -1)
+        covered = np.bincount(self.block, np.cumsum(starts[:-1]) > 0, len(self.kind))
+        keep = (self.kind == ord("a")) | (self.kind == ord("-")) & (covered < COVERED * self.count)
+        out, at = [], 0
+        for blocks in self.blocks:
+            out.append("\n".join(t for t, k in zip(blocks, keep[at : at + len(blocks)]) if k))
+            at += len(blocks)
+        return out
+
+
 def _parse(batches):
+    uid = TaskContext.get().partitionId() << 40
     for rows in batches:
         if rows.num_rows:
             parsed = [blocks_of(h or "") for h in rows.column("html").to_pylist()]
             yield batch(
-                _BLOCKS, rows.column("page_id"), rows.column("url"), rows.column("_host"), rows.column("_shard"), rows.column("_hash"),
+                _BLOCKS, uid + np.arange(rows.num_rows), rows.column("page_id"), rows.column("url"), rows.column("_host"),
                 pa.array([[t for t, _ in p] for p in parsed], pa.list_(pa.string())), ["".join(k for _, k in p) for p in parsed],
             )
+            uid += rows.num_rows
 
 
-def _extract(batches):
-    """Texts of rows sorted by host and shard: ``SHARD`` pages at a time, the last half shard joined to its
-    neighbour, so the cut follows the order of the pages and not the batches."""
-    held: list[tuple] = []
+def _slots(batches):
+    for rows in batches:
+        if any("-" in k for k in rows.column("kinds").to_pylist()):
+            runs = Runs(rows)
+            yield batch("slot long", np.unique(runs.slot()[runs.touches]))
 
-    def done(n: int):
-        part, held[:] = held[:n], held[n:]
-        texts = main_texts([(p[2], p[3]) for p in part])
-        return batch(TEXT, [p[0] for p in part], [p[1] for p in part], texts, [len(t) for t in texts])
 
-    key = None
+def _repeated_runs(parsed: DataFrame) -> DataFrame | None:
+    """(k, n): runs on ``PAGES`` owners of a host, and how often they touch unmarked blocks."""
+    slots = parsed.mapInArrow(_slots, "slot long").distinct().toArrow().column("slot").to_numpy()  # at most SLOTS rows
+    if not len(slots):
+        return None
+    mask = np.zeros(SLOTS, bool)
+    mask[slots] = True
+    held = parsed.sparkSession.sparkContext.broadcast(mask)
+
+    def count(batches):
+        for rows in batches:
+            runs = Runs(rows)
+            wanted = held.value[runs.slot()]
+            if wanted.any():
+                yield batch(_COUNTS, *runs.counts(wanted))
+
+    owners = parsed.mapInArrow(count, _COUNTS).groupBy("k", "owner").agg(F.sum("n").alias("n"))
+    runs = owners.groupBy("k").agg(F.count("*").alias("pages"), F.sum("n").alias("n"))
+    return written(runs.where((F.col("pages") >= PAGES) & (F.col("n") > 0)).select("k", "n"))
+
+
+def _touching(batches):
     for rows in batches:
-        columns = [rows.column(c).to_pylist() for c in ("_host", "_shard", "_page", "url", "blocks", "kinds")]
-        for host, shard, *page in zip(*columns):
-            if (host, shard) != key:
-                if held:
-                    yield done(len(held))
-                key = host, shard
-            held.append(tuple(page))
-            if len(held) >= SHARD * 3 // 2:
-                yield done(SHARD)
-    if held:
-        yield done(len(held))
-
-
-def main_text(pages: DataFrame, shard: int = SHARD) -> DataFrame:
+        runs = Runs(rows)
+        yield batch("_uid long, k long", rows.column("_uid").to_numpy()[runs.page[runs.start[runs.touches]]], runs.key[runs.touches].view(np.int64))
+
+
+def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page.
 
     A null or empty html, or one with boilerplate only, has the empty text; pages with a null or relative
     url are taken as one host. Repeated rows are pages of their own, with null ids or without; an empty
-    table gives no rows; only page_id, url and html are read.
+    table gives no rows; only page_id, url and html are read. Runs are told apart by 64-bit hashes.
     """
-    host = F.lower(F.coalesce(F.regexp_extract("url", "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))).alias("_host")
-    pages = pages.select("page_id", "url", "html", host, F.xxhash64("page_id", "url", "html").alias("_hash"))
-    counts = written(pages.groupBy("_host").agg(F.count("*").alias("_pages")))
-    total = counts.agg(F.sum("_pages")).first()[0] or 0
-    hot = counts.where(F.col("_pages") > int(total * HOT_SHARE))  # at most 1 / HOT_SHARE hosts
-    shards = F.greatest(F.lit(1), F.ceil(F.coalesce("_pages", F.lit(0)) / shard))
-    spread = pages.join(F.broadcast(hot), "_host", "left").withColumn("_shard", F.pmod("_hash", shards).cast("int"))
-    parsed = spread.select("page_id", "url", "_host", "_shard", "_hash", "html").mapInArrow(_parse, _BLOCKS)
-    ordered = parsed.repartition("_host", "_shard").sortWithinPartitions("_host", "_shard", "_hash", "_page")
-    return ordered.mapInArrow(_extract, TEXT)
+    host = F.xxhash64(F.lower(F.coalesce(F.regexp_extract("url", "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))).alias("_host")
+    parsed = written(pages.select("page_id", "url", "html", host).mapInArrow(_parse, _BLOCKS))
+    repeated_runs = _repeated_runs(parsed)
+    known = np.zeros(0, np.uint64)
+    joined = repeated_runs is not None and repeated_runs.count() > AT_HAND
+    if joined:
+        facts = lookup_bounded(parsed.mapInArrow(_touching, "_uid long, k long"), repeated_runs.withColumn("hit", F.lit(True)), "k", F.col("n"))
+        hits = facts.where("hit").groupBy("_uid").agg(F.collect_set("k").alias("hits"))
+        parsed = parsed.join(hits, "_uid", "left")
+    elif repeated_runs is not None:
+        known = repeated_runs.select("k").toArrow().column("k").to_numpy().view(np.uint64)
+    held = parsed.sparkSession.sparkContext.broadcast(known)
+
+    def extract(batches):
+        for rows in batches:
+            if rows.num_rows:
+                own = held.value
+                if joined:  # keys hold the host, so a batch's hits hold for all its pages
+                    own = np.unique(rows.column("hits").flatten().to_numpy(zero_copy_only=False)).astype(np.int64).view(np.uint64)
+                kinds = rows.column("kinds").to_pylist()
+                if any("-" in k for k in kinds):
+                    texts = Runs(rows).texts(own)
+                else:
+                    texts = ["\n".join(t for t, c in zip(b, k) if c == "a") for b, k in zip(rows.column("blocks").to_pylist(), kinds)]
+                yield batch(TEXT, rows.column("page_id"), rows.column("url"), texts, [len(t) for t in texts])
+
+    return parsed.mapInArrow(extract, TEXT)

@@ -149,6 +149,28 @@ def test_what_a_host_repeats_goes_and_unique_runs_stay():
     assert html_main.main_texts([([], ""), (["alone"], "-")]) == ["", "alone"]
 
 
+def html_of(blocks, kinds):
+    return "".join(f"<article><p>{t}</p></article>" if k == "a" else f"<div>{t}</div>" for t, k in zip(blocks, kinds))
+
+
+@pytest.mark.parametrize("at_hand", [1 << 20, 0])
+def test_hosts_of_every_size_follow_one_rule(spark, monkeypatch, at_hand):
+    """A bar on 1% of a large host's pages goes from all of them."""
+    monkeypatch.setattr(html_main, "AT_HAND", at_hand)
+    bar, rows, want = "sale ends on friday buy now", [], {}
+    for host, n in (("big", 600), ("small", 7)):
+        own = [([" ".join(f"{host}{p}x{j}" for j in range(20))], "-") for p in range(n)]
+        for p in range(0, n, 100 if host == "big" else 2):
+            own[p] = ([bar, *own[p][0]], "--")
+        own += [(["one page that stands on many urls of this host", "x y"], "--")] * 4 + [([bar, "its own article"], "-a")]
+        for (blocks, kinds), text in zip(own, html_main.main_texts(own)):
+            assert bar not in text
+            want[len(rows)] = text
+            rows.append((len(rows), f"http://{host}.example/{len(rows)}", html_of(blocks, kinds)))
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    assert {r.page_id: r.text for r in html_main.main_text(table).collect()} == want
+
+
 def test_awkward_pages(pages):
     got = html_main.main_text(pages).collect()
     assert len(got) == 13 and all(r.n_chars == len(r.text) for r in got)
