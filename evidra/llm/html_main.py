@@ -9,11 +9,12 @@ elements or names are left out as well, so a page alone on its host is cut too.
 Runs are counted over the whole host, whatever its size. Each batch of pages sorts its own suffixes and
 hands on at most ``PAGES`` distinct owners of a (host, run); these are combined by run, so neither a large
 host nor a run on all of its pages is one task's work. Only runs that touch an unmarked block are handed on.
-An owner is a page.
+An owner is a distinct page content: copies of an unmarked page on several urls of a host count once.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 
@@ -170,16 +171,22 @@ def repeated(stream: np.ndarray, page: np.ndarray) -> np.ndarray:
     return np.cumsum(starts[:-1]) > 0
 
 
+def _content(blocks: list[str]) -> int:
+    return int.from_bytes(hashlib.blake2b("\n".join(blocks).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
 def main_texts(pages: list[tuple[list[str], str]]) -> list[str]:
     """The kept blocks of one host's pages, one line each: the plain form of :func:`main_text`."""
     vocabulary: dict[str, int] = {}
+    owners: dict[tuple, int] = {}
     stream, owner, spans = [], [], []
-    for p, (blocks, _) in enumerate(pages):
+    for p, (blocks, kinds) in enumerate(pages):
         for b, text in enumerate(blocks):
             own = [vocabulary.setdefault(w, len(vocabulary)) for w in words(text)]
             spans.append((p, b, len(stream), len(stream) + len(own)))
             stream += own
-            owner += [p] * len(own)
+            once = kinds[b] == "a" or "a" not in kinds
+            owner += [owners.setdefault(tuple(blocks) if once else (p,), len(owners))] * len(own)
         stream.append(-1 - p)
         owner.append(-1)
     covered = np.concatenate([[0], np.cumsum(repeated(np.array(stream, np.int64), np.array(owner, np.int64)))])
@@ -195,8 +202,9 @@ def main_texts(pages: list[tuple[list[str], str]]) -> list[str]:
 class Runs:
     """The runs of ``RUN`` words inside the pages of a batch, those of a page one after another.
 
-    ``key`` is a hash of host and run, ``owner`` the page that a run counts for, ``touches``
-    whether it lies on a word of an unmarked block.
+    ``key`` is a hash of host and run, ``owner`` the page or content that a run counts for, ``touches``
+    whether it lies on a word of an unmarked block. A marked page's article is safe, so the rest of it
+    counts by page; all else counts by content.
     """
 
     def __init__(self, rows: pa.RecordBatch):
@@ -219,7 +227,11 @@ class Runs:
         self.key = mixed(key + mixed(self.host))
         open_words = np.concatenate([[0], np.cumsum(self.kind[self.block] == ord("-"))])
         self.touches = open_words[self.start + RUN] > open_words[self.start]
-        self.owner = mixed(rows.column("_uid").to_numpy().view(np.uint64))[self.page[self.start]]
+        content = np.array([_content(b) for b in self.blocks], np.uint64)
+        own = mixed(rows.column("_uid").to_numpy().view(np.uint64))
+        first, marked = self.page[self.start], np.array(["a" in k for k in self.kinds], bool)
+        by_page = marked[first] & (self.kind[self.block[self.start]] != ord("a"))
+        self.owner = np.where(by_page, own[first], content[first])
 
     def slot(self) -> np.ndarray:
         return (self.key % np.uint64(SLOTS)).astype(np.int64)
@@ -304,8 +316,9 @@ def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page.
 
     A null or empty html, or one with boilerplate only, has the empty text; pages with a null or relative
-    url are taken as one host. Repeated rows are pages of their own, with null ids or without; an empty
-    table gives no rows; only page_id, url and html are read. Runs are told apart by 64-bit hashes.
+    url are taken as one host. Repeated rows are pages of their own, with null ids or without, but an
+    unmarked content counts once on its host; an empty table gives no rows; only page_id, url and html are
+    read. Runs are told apart by 64-bit hashes.
     """
     host = F.xxhash64(F.lower(F.coalesce(F.regexp_extract("url", "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))).alias("_host")
     parsed = written(pages.select("page_id", "url", "html", host).mapInArrow(_parse, _BLOCKS))

@@ -149,13 +149,18 @@ def test_what_a_host_repeats_goes_and_unique_runs_stay():
     assert html_main.main_texts([([], ""), (["alone"], "-")]) == ["", "alone"]
 
 
+def test_copies_of_an_unmarked_page_keep_their_text():
+    text = [" ".join(f"w{j}" for j in range(50)), "and a last line of it"]
+    assert html_main.main_texts([(text, "--")] * 3) == ["\n".join(text)] * 3
+
+
 def html_of(blocks, kinds):
     return "".join(f"<article><p>{t}</p></article>" if k == "a" else f"<div>{t}</div>" for t, k in zip(blocks, kinds))
 
 
 @pytest.mark.parametrize("at_hand", [1 << 20, 0])
 def test_hosts_of_every_size_follow_one_rule(spark, monkeypatch, at_hand):
-    """A bar on 1% of a large host's pages goes from all of them."""
+    """A bar on 1% of a large host's pages goes from all of them, copies stay whole on both."""
     monkeypatch.setattr(html_main, "AT_HAND", at_hand)
     bar, rows, want = "sale ends on friday buy now", [], {}
     for host, n in (("big", 600), ("small", 7)):
