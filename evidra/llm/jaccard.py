@@ -133,7 +133,36 @@ def _unpack(data: bytes):
     return token, rid[which], size[which].astype(np.int64), pos.astype(np.int64)
 
 
-def _entries(frequent: np.ndarray, bits: int):
+def _prefixes(frequent: np.ndarray):
+    """A row per document: the shingles that it is listed under, in order."""
+
+    def prefix(batches):
+        for rows in batches:
+            for part in slices(rows, "text", SLICE):
+                rids, sizes, data = [], [], []
+                for s, rid in zip(sets_of(texts_of(part.column("text"))), part.column("rid").to_pylist()):
+                    if not len(s):
+                        continue
+                    rids.append(rid)
+                    sizes.append(len(s))
+                    p = prefix_length(len(s))
+                    if len(frequent):
+                        upper = _upper(s)
+                        often = frequent[np.minimum(np.searchsorted(frequent, upper), len(frequent) - 1)] == upper
+                        s = np.concatenate([s[~often], s[often]])
+                    data.append(s[:p].astype("<u8").tobytes())
+                yield batch(PREFIX, rids, sizes, data)
+
+    return prefix
+
+
+def prefixes_of(docs: DataFrame, classes: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """(rid, n, data) of each class's first document; copies go before any list is made."""
+    rows = docs.mapInArrow(_prefixes(frequent), PREFIX)
+    return rows.join(classes.select("rid"), "rid", "left_semi").dropDuplicates(["rid"])
+
+
+def _entries(bits: int):
     def index(batches):
         held: list[np.ndarray] = []
         rids: list[int] = []
@@ -156,19 +185,11 @@ def _entries(frequent: np.ndarray, bits: int):
             return batch("bucket int, data binary", bucket[begins], packed)
 
         for rows in batches:
-            for part in slices(rows, "text", SLICE):
-                for s, rid in zip(sets_of(texts_of(part.column("text"))), part.column("rid").to_pylist()):
-                    if not len(s):
-                        continue
-                    p = prefix_length(len(s))
-                    sizes.append(len(s))
-                    if len(frequent):
-                        upper = _upper(s)
-                        often = frequent[np.minimum(np.searchsorted(frequent, upper), len(frequent) - 1)] == upper
-                        s = np.concatenate([s[~often], s[often]])
-                    held.append(s[:p].copy())
-                    rids.append(rid)
-                    count += p
+            for rid, n, data in zip(*(rows.column(c).to_pylist() for c in ("rid", "n", "data"))):
+                held.append(np.frombuffer(data, "<u8"))
+                rids.append(rid)
+                sizes.append(n)
+                count += len(held[-1])
                 if count >= HELD:
                     yield flush()
                     count = 0
@@ -195,6 +216,7 @@ def _shared(rows: pa.Table) -> pa.Table:
 
 
 PAIR = "a long, b long"
+PREFIX = "rid long, n long, data binary"
 
 
 def _list_pairs(rows: dict[str, np.ndarray]):
@@ -397,7 +419,7 @@ def components_of(docs: DataFrame) -> DataFrame:
     frequent = np.sort(np.array([r[0] for r in often.select("rid").collect()], np.int64).astype(np.uint32))
     total = classes.agg(F.sum("n")).first()[0] or 0
     bits = max(0, int(total // 4 // BUCKET_ENTRIES)).bit_length()
-    blobs = docs.mapInArrow(_entries(frequent, bits), "bucket int, data binary")
+    blobs = prefixes_of(docs, classes, frequent).mapInArrow(_entries(bits), "bucket int, data binary")
     entries = blobs.groupBy("bucket").applyInArrow(_shared, ENTRY)
     info = (
         classes.select("rid").join(stars.select("rid", "ball"), "rid", "left")

@@ -101,6 +101,16 @@ def test_a_large_group_and_a_shared_passage(spark):
     assert similar(spark, rows) == key(brute_components(rows))
 
 
+def test_copies_make_no_index_entries(spark):
+    """Of exact copies under different ids, and of repeated rows, one is listed."""
+    rows = [(i, sentence(1)) for i in range(50)] + [(60, sentence(2))] * 20 + [(70, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("rid", F.xxhash64("doc_id", "text")).repartition(4)
+    classes = docs.where("doc_id IN (0, 60)").select("rid").distinct()
+    got = jaccard.prefixes_of(docs, classes, np.zeros(0, np.uint32)).collect()
+    assert key((r.rid, r.n) for r in got) == key((r.rid, 56) for r in classes.collect())
+    assert all(len(r.data) == 8 * jaccard.prefix_length(56) for r in got)
+
+
 def test_members_of_balls_may_link_where_leaders_do_not(spark):
     base = sentence(800, 104).split(" ")  # 100 shingles
     rows = []
