@@ -21,7 +21,7 @@ _INVERSE = pow(_ODD, -1, 1 << 64)
 _STEP = 2048
 
 
-def _powers(base: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(base: int) -> list[np.ndarray]:
     small, x = [], 1
     for _ in range(_STEP):
         small.append(x)
@@ -30,7 +30,14 @@ def _powers(base: int) -> tuple[np.ndarray, np.ndarray]:
     for _ in range(1 << 15):
         large.append(y)
         y = y * x % (1 << 64)
-    return np.array(small, np.uint64), np.array(large, np.uint64)
+    return [np.array(small, np.uint64), np.array(large, np.uint64)]
+
+
+def _reach(powers: list[np.ndarray], n: int) -> None:
+    """Double the large steps until they reach byte ``n``; 64 MB are there from the start."""
+    while len(powers[1]) <= n // _STEP:
+        large = powers[1]
+        powers[1] = np.concatenate([large, large * (large[-1:] * large[1:2])])
 
 
 _UP, _DOWN = _powers(_ODD), _powers(_INVERSE)
@@ -81,8 +88,8 @@ class Hasher:
 
     def __init__(self, raw: np.ndarray, values: np.ndarray = _VALUES):
         n = len(raw)
-        if n > _STEP << 15:
-            raise ValueError("one text is longer than 64 MB")
+        _reach(_UP, n)
+        _reach(_DOWN, n)
         with np.errstate(over="ignore"):
             powers = (_UP[1][: n // _STEP + 1, None] * _UP[0][None, :]).ravel()[:n]
             powers *= values[raw]

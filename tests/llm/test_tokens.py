@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from evidra.llm import packing, rans
+from evidra.llm import packing, rans, textcols
 from evidra.llm.bpe import Encoder, whole_tokens
 from evidra.llm.queries import QUERIES, bpe_file
 from evidra.llm.textcols import slices
@@ -52,6 +52,18 @@ def test_a_sliced_column_and_an_empty_one(encoder, encode):
     assert [s.num_rows for s in slices(batch, "text", 10)] == [1, 3] or sum(s.num_rows for s in slices(batch, "text", 10)) == 4
 
 
+def test_texts_longer_than_the_power_tables_hash_as_short_ones_do(monkeypatch):
+    raw = np.frombuffer(b"some words that come again " * 20_000, np.uint8)
+    start = np.arange(0, len(raw), 27)
+    want = textcols.Hasher(raw).of(start, start + 26)
+    monkeypatch.setattr(textcols, "_STEP", 4)
+    monkeypatch.setattr(textcols, "_UP", textcols._powers(textcols._ODD))
+    monkeypatch.setattr(textcols, "_DOWN", textcols._powers(textcols._INVERSE))
+    assert len(raw) > 2 * (4 << 15)
+    got = textcols.Hasher(raw).of(start, start + 26)
+    assert len(np.unique(got)) == 1 and (got == want).all()
+
+
 def test_the_table_starts_anew_when_it_is_full(encode, monkeypatch):
     from evidra.llm import bpe
 
