@@ -4,7 +4,8 @@ A text's UTF-8 bytes are cut into windows of about ``WINDOW`` bytes of equal siz
 window forwards, one backwards, and both states at a position give that position's probabilities of all
 languages. A document's probabilities are the mean over all positions of the whole text. The networks are
 trained in numpy, by backpropagation through time, on a bounded sample: up to ``PER_LANGUAGE`` stretches
-of ``STRETCH`` characters for each of the ``LANGUAGES`` most frequent labels.
+of ``STRETCH`` characters for each label, ``STRETCHES`` in all. Every label is a language; more than
+``MOST_LABELS`` are refused.
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ from evidra.llm.textcols import slices, texts_of
 UNITS = 8
 WINDOW = 256
 LANES = 1024
-PER_LANGUAGE, STRETCH, LANGUAGES = 1000, 512, 64
+PER_LANGUAGE, STRETCH, STRETCHES, MOST_LABELS = 1000, 512, 64_000, 1000
+#: Training steps and memory are set for so many languages; more take more steps and narrower strips.
+USUAL = 64
 TRAIN_WINDOW, TRAIN_LANES, TRAIN_STEPS, RATE = 64, 128, 500, 0.02
 UNKNOWN = "und"
 #: The pipeline drops documents whose best language has less than this pooled probability.
@@ -29,14 +32,17 @@ PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
 def sample(docs: DataFrame) -> list[tuple[str, str]]:
-    """(language, stretch of text) of labelled rows, a bounded number for each language."""
+    """(language, stretch of text) of labelled rows, a bounded number for each language and in all."""
     labelled = docs.where("lang is not null AND text is not null AND text <> ''")
-    top = labelled.groupBy("lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "lang").limit(LANGUAGES)
+    labels = labelled.select("lang").distinct().limit(MOST_LABELS + 1).count()
+    if labels > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} language labels")
+    most = min(PER_LANGUAGE, STRETCHES // max(labels, 1))
     at = F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.length("text") - STRETCH, F.lit(1))) + 1
     stretch = F.substring("text", at.cast("int"), F.lit(STRETCH)).alias("stretch")
     order = Window.partitionBy("lang").orderBy("_h", "stretch")
-    picked = labelled.join(F.broadcast(top.select("lang")), "lang", "left_semi").select("lang", F.xxhash64("doc_id", "text").alias("_h"), stretch)
-    rows = picked.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= PER_LANGUAGE).orderBy("lang", "_r")
+    picked = labelled.select("lang", F.xxhash64("doc_id", "text").alias("_h"), stretch)
+    rows = picked.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).orderBy("lang", "_r")
     return [(r.lang, r.stretch) for r in rows.select("lang", "stretch").collect()]
 
 
@@ -58,7 +64,8 @@ class Model:
             return
         names = {**{f"{k}{i}": v for i, way in enumerate(self.ways) for k, v in way.items()}, **self.out}
         adam = gru.Adam(names, RATE)
-        for done in range(TRAIN_STEPS):
+        steps = TRAIN_STEPS * max(USUAL, len(by)) // USUAL
+        for done in range(steps):
             window = np.zeros((TRAIN_WINDOW, TRAIN_LANES), np.uint8)
             target = np.zeros(TRAIN_LANES, np.int64)
             mask = np.zeros((TRAIN_WINDOW, TRAIN_LANES), np.float32)
@@ -81,7 +88,7 @@ class Model:
             d_both = d @ self.out["w"].T
             for i, g in enumerate((gru.back(self.ways[0], window, kept_a, d_both[:, :, :UNITS]), gru.back(self.ways[1], flipped, kept_b, d_both[::-1, :, UNITS:]))):
                 grads |= {f"{k}{i}": v for k, v in g.items()}
-            adam.update(grads, RATE * 0.05 ** (done / TRAIN_STEPS))
+            adam.update(grads, RATE * 0.05 ** (done / steps))
 
     def pooled(self, raw: np.ndarray, start: np.ndarray) -> np.ndarray:
         """Mean probabilities over all positions of each text; a text without bytes has zeros."""
@@ -119,8 +126,9 @@ class Model:
                     states[UNITS:, length[:n] - 1 - t, np.arange(n)] = h
         out = np.zeros((len(self.languages), lanes))
         w, bias = np.ascontiguousarray(self.out["w"].T), self.out["b"][:, None]
-        for t in range(0, steps, 32):
-            part = np.ascontiguousarray(states[:, t : t + 32])
+        strip = max(1, 32 * USUAL // max(USUAL, len(self.languages)))
+        for t in range(0, steps, strip):
+            part = np.ascontiguousarray(states[:, t : t + strip])
             x = w @ part.reshape(2 * UNITS, -1)  # one row per language
             x += bias
             x -= x.max(0)

@@ -337,6 +337,17 @@ def test_languages_of_held_out_documents(spark, sf):
     assert sum(r.lang_pred == docs[r.doc_id].lang for r in held) >= 0.95 * len(held)
 
 
+def test_every_label_is_a_language(spark, monkeypatch):
+    rows = [(i, f"text {i}", f"l{i % 70}") for i in range(210)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {lang for lang, _ in langid.sample(docs)} == {r[2] for r in rows}
+    monkeypatch.setattr(langid, "STRETCHES", 140)
+    assert set(Counter(lang for lang, _ in langid.sample(docs)).values()) == {2}
+    monkeypatch.setattr(langid, "MOST_LABELS", 69)
+    with pytest.raises(ValueError):
+        langid.sample(docs)
+
+
 def test_language_of_awkward_rows(docs, rows, empty):
     got = langid.languages(docs).collect()
     assert len(got) == len(rows)
