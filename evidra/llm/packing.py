@@ -4,14 +4,16 @@ Pieces of one length are alike, so the packing is worked out on the histogram of
 ``capacity`` numbers, whatever the corpus. Large lengths are sorted, cut into groups of equally many
 pieces and rounded up to each group's longest. A linear programme over configurations of those few sizes,
 by column generation, says how many sequences of each configuration to use. Actual lengths then take the
-places of the rounded ones, what is left over and all small lengths go best-fit into the free room, and
-the documents of each length are dealt to the places of that length by their rank.
+places of the rounded ones, the last of them fitted to the room that is really left; what is left over and
+all small lengths go best-fit into the free room, and the documents of each length are dealt to the places
+of that length by their rank.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Mapping
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -53,20 +55,29 @@ def best_configuration(sizes: np.ndarray, value: np.ndarray, capacity: int) -> t
     return float(used @ value), used
 
 
-def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 2000) -> list[tuple[np.ndarray, int]]:
-    """Configurations and how often to use each, rounded down: the relaxed programme's basic solution."""
+def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
+    """Configurations and how often to use each, rounded down: the relaxed programme's basic solution.
+
+    Columns come in until the best one's gain proves that less than half a sequence could still be saved.
+    """
     basis = np.diag(capacity // sizes).astype(float)
-    amount = demand / np.diag(basis)
-    for _ in range(rounds):
-        inverse = np.linalg.inv(basis)
-        prices = inverse.sum(0)
-        gain, used = best_configuration(sizes, prices, capacity)
-        if gain <= 1 + 1e-7:
+    inverse = np.diag(1 / np.diag(basis))
+    wanted = demand * (1 + 1e-9 * np.arange(1, len(demand) + 1))  # no two ratios tie, so no round repeats
+    for number in count():
+        amount = inverse @ wanted
+        gain, used = best_configuration(sizes, inverse.sum(0), capacity)
+        if gain <= 1 + 1e-7 or amount.sum() * (1 - 1 / gain) < 0.5:
             break
         change = inverse @ used
-        amount = inverse @ demand
         ratio = np.where(change > _EPS, amount / np.where(change > _EPS, change, 1), np.inf)
-        basis[:, int(ratio.argmin())] = used
+        out = int(ratio.argmin())
+        basis[:, out] = used
+        if number % 50 == 49:
+            inverse = np.linalg.inv(basis)
+            continue
+        row = inverse[out] / change[out]
+        inverse -= np.outer(change, row)
+        inverse[out] = row
     amount = np.linalg.solve(basis, demand.astype(float))
     return [(basis[:, j].round().astype(np.int64), int(a + 1e-6)) for j, a in enumerate(amount) if a >= 1 - 1e-6]
 
@@ -101,6 +112,24 @@ class Bins:
             self.add(1, ((length, pieces % each),))
 
 
+def grouped(left: Mapping[int, int], lengths: list[int], groups: int) -> list[list[int]]:
+    """``lengths``, longest first, in about ``groups`` runs of equally many pieces.
+
+    With few lengths, and for lengths that are common enough, a run is a single length.
+    """
+    if len(lengths) <= groups:
+        return [[n] for n in lengths]
+    per, held = sum(left[n] for n in lengths) / groups, 0.0
+    runs: list[list[int]] = [[]]
+    for n in lengths:
+        if runs[-1] and held + left[n] / 2 > per:
+            runs.append([])
+            held = 0.0
+        runs[-1].append(n)
+        held += left[n]
+    return runs
+
+
 def pack(histogram: Mapping[int, int], capacity: int = CAPACITY, large: float = LARGE, groups: int = GROUPS) -> list[tuple[int, tuple]]:
     """Bins for pieces of the given lengths: (number of equal bins, their (length, copies) runs)."""
     left = {n: c for n, c in sorted(histogram.items(), reverse=True) if c > 0}
@@ -108,67 +137,53 @@ def pack(histogram: Mapping[int, int], capacity: int = CAPACITY, large: float =
         raise ValueError("lengths must lie between 1 and the capacity")
     bins = Bins(capacity)
     bins.add(left.pop(capacity, 0), ((capacity, 1),))
-    lengths = [n for n in left if n > large * capacity]
-    total = sum(left[n] for n in lengths)
-    if total:
-        members: list[list[int]] = []  # lengths of each group, longest first
-        shares: list[dict[int, int]] = []
-        per, room = -(-total // groups), 0
-        for n in lengths:
-            rest = left[n]
-            while rest:
-                if not room:
-                    members.append([])
-                    shares.append({})
-                    room = per
-                take = min(rest, room)
-                members[-1].append(n)
-                shares[-1][n] = shares[-1].get(n, 0) + take
-                rest, room = rest - take, room - take
-        by_size: dict[int, list[tuple[int, int]]] = {}
-        for share in shares:
-            by_size.setdefault(max(share), []).extend(share.items())
-        sizes = np.array(sorted(by_size, reverse=True))
-        demand = np.array([sum(c for _, c in by_size[s]) for s in sizes.tolist()])
-        queues = [[list(x) for x in sorted(by_size[s], reverse=True)] for s in sizes.tolist()]
-        for used, times in configurations(sizes, demand, capacity):
-            need = [(i, k) for i, k in enumerate(used.tolist()) if k]
+    while True:  # what a programme's rounding down leaves is a smaller programme
+        lengths = [n for n in left if left[n] and n > large * capacity]
+        if not lengths:
+            break
+        runs = grouped(left, lengths, groups)
+        sizes = np.array([run[0] for run in runs])
+        demand = np.array([sum(left[n] for n in run) for run in runs])
+        before = demand.sum()
+        plans = [([i for i, k in enumerate(used.tolist()) for _ in range(k)], times) for used, times in configurations(sizes, demand, capacity)]
+        for where, times in sorted(plans, key=lambda x: x[0]):  # configurations of the longest first
             while times:
-                step, taken = _next_places(queues, need, times)
-                if not step:
+                taken = _actual(left, runs, where, capacity)
+                if taken is None:
                     break
-                for i, n, k in taken:
-                    front = next(x for x in queues[i] if x[0] == n)
-                    front[1] -= k * step
+                step = min(times, *(left[n] // k for n, k in taken))
+                for n, k in taken:
                     left[n] -= k * step
-                    if not front[1]:
-                        queues[i].remove(front)
-                bins.add(step, tuple((n, k) for _, n, k in taken))
+                bins.add(step, tuple(taken))
                 times -= step
+        if sum(left[n] for n in lengths) > before / 2:
+            break
     for n in sorted(left, reverse=True):
         if left[n]:
             bins.best_fit(n, left[n])
     return [b for room in bins.by_room for b in room]
 
 
-def _next_places(queues, need, times: int) -> tuple[int, list[tuple[int, int, int]]]:
-    """How many bins, up to ``times``, hold the same actual lengths: (group, length, copies) each.
+def _actual(left: dict[int, int], runs: list[list[int]], where: list[int], capacity: int) -> list[tuple[int, int]] | None:
+    """Actual lengths for a configuration's places, as (length, copies); None if a group has run out.
 
-    Where a place falls on the border between two lengths of a group, one bin is filled across it; 0 bins
-    if a group has too few pieces left.
+    A place takes its group's longest piece, the last place the longest piece of any group that fits
+    the room which is really left: so what rounding up wasted is given back.
     """
-    if any(sum(c for _, c in queues[i]) < k for i, k in need):
-        return 0, []
-    step = min(times, *(queues[i][0][1] // k for i, k in need))
-    if step:
-        return step, [(i, queues[i][0][0], k) for i, k in need]
-    taken = []
-    for i, k in need:
-        for n, c in queues[i]:
-            if k:
-                taken.append((i, n, min(c, k)))
-                k -= min(c, k)
-    return 1, taken
+    taken: dict[int, int] = {}
+
+    def longest(lengths, room: int) -> int | None:
+        return next((n for n in lengths if n <= room and left[n] > taken.get(n, 0)), None)
+
+    room = capacity
+    for at, i in enumerate(where):
+        run = runs[i] if at + 1 < len(where) else (n for j in range(len(runs)) for n in runs[j] if n <= room)
+        n = longest(run, room)
+        if n is None:
+            return None
+        taken[n] = taken.get(n, 0) + 1
+        room -= n
+    return list(taken.items())
 
 
 def places(bins: list[tuple[int, tuple]]) -> dict[str, np.ndarray]:
