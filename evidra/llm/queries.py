@@ -221,3 +221,10 @@ def op13_source_divergence(spark, sf_dir):
     from evidra.llm.divergence import source_divergence
 
     return source_divergence(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op11_personal_data(spark, sf_dir):
+    from evidra.llm.pii import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"))
