@@ -249,7 +249,8 @@ def reconciled(text: str, pieces: list[tuple[str, int, int, float, bool]], base:
     own = sorted((a, b) for _, a, b in base)
     found: dict[Span, float] = {}
     for kind, a, b, gain, _ in whole:
-        span = checked(kind, text, a, b)
+        kinds = (kind,) if kind == "email" else (kind, *(k for k in KINDS[1:] if k != kind))  # numbers are told apart by their checks
+        span = next(filter(None, (checked(k, text, a, b) for k in kinds)), None)
         if span and not any(x < span[2] and y > span[1] for x, y in own[max(0, bisect_right(own, (span[1], 0)) - 8) : bisect_right(own, (span[2], 0)) + 1]):
             found[span] = max(gain, found.get(span, 0.0))
     # Weighted interval scheduling over all spans of the text.
