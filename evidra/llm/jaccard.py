@@ -8,6 +8,8 @@ The answer is the connected components of "share at least three quarters of thei
 * Index lists: a set's shingles are ordered by hash, frequent ones last; a set is listed under the first
   quarter of them. Entries carry their position, and in long lists whole blocks are skipped where even
   the best position leaves too few shingles for the overlap that two sets need.
+* Lists that hold a single component are dropped where they are made. In the others neighbours are compared
+  first and connected, round by round, until a round connects nothing; then all pairs that are still open.
 * A ball is one entry of a list. Its answers are derived from those of its leader: leaders that link join
   their balls; leaders further apart than the radii allow rule out every pair of their members; only
   between these bounds are members compared, and only where the balls are not connected already.
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +45,7 @@ SLICE = 1 << 20
 BUCKET_ENTRIES = 1_000_000
 BLOCK = 128
 SKETCH = "kind int, doc_id long, rid long, key binary, n long, " + ", ".join(f"b{i} long" for i in range(BANDS))
-ENTRY = "token long, rid long, n int, pos int"
+ENTRY = "token long, ball long, comp long, low long, high long, rest long"
 
 
 def prefix_length(n: np.ndarray | int):
@@ -112,13 +115,13 @@ def _sketch(batches):
         yield repeated()
 
 
-def _pack(token: np.ndarray, at: np.ndarray, pos: np.ndarray, rids: np.ndarray, sizes: np.ndarray) -> bytes:
+def _pack(token: np.ndarray, at: np.ndarray, pos: np.ndarray, balls: np.ndarray, comps: np.ndarray, sizes: np.ndarray) -> bytes:
     """Entries of one bucket: the documents once, then token, document and position of each entry."""
     doc, at = np.unique(at, return_inverse=True)
     wide = "<u2" if len(doc) < 1 << 16 else "<u4"
     far = "<u2" if pos.max() < 1 << 16 else "<u4"
     head = struct.pack("<IIBB", len(doc), len(token), int(wide[-1]), int(far[-1]))
-    parts = rids[doc].astype("<i8"), sizes[doc].astype("<u4"), token.astype("<u8"), at.astype(wide), pos.astype(far)
+    parts = balls[doc].astype("<i8"), comps[doc].astype("<i8"), sizes[doc].astype("<u4"), token.astype("<u8"), at.astype(wide), pos.astype(far)
     return head + b"".join(p.tobytes() for p in parts)
 
 
@@ -126,11 +129,12 @@ def _unpack(data: bytes):
     docs, n, wide, far = struct.unpack_from("<IIBB", data)
     at = 10
     out = []
-    for kind, count in (("<i8", docs), ("<u4", docs), ("<u8", n), (f"<u{wide}", n), (f"<u{far}", n)):
+    for kind, count in (("<i8", docs), ("<i8", docs), ("<u4", docs), ("<u8", n), (f"<u{wide}", n), (f"<u{far}", n)):
         out.append(np.frombuffer(data, kind, count, at))
         at += out[-1].nbytes
-    rid, size, token, which, pos = out
-    return token, rid[which], size[which].astype(np.int64), pos.astype(np.int64)
+    ball, comp, size, token, which, pos = out
+    size = size[which].astype(np.int64)
+    return token, ball[which], comp[which], size, size, size - pos
 
 
 def _prefixes(frequent: np.ndarray):
@@ -157,16 +161,25 @@ def _prefixes(frequent: np.ndarray):
 
 
 def prefixes_of(docs: DataFrame, classes: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(rid, n, data) of each class's first document; copies go before any list is made."""
+    """(rid, n, data) of each class's first document, with the columns of ``classes``; copies go before any
+    list is made."""
     rows = docs.mapInArrow(_prefixes(frequent), PREFIX)
-    return rows.join(classes.select("rid"), "rid", "left_semi").dropDuplicates(["rid"])
+    return rows.join(classes, "rid").dropDuplicates(["rid"])
+
+
+def _collapsed(token: np.ndarray, ball: np.ndarray, comp: np.ndarray, low: np.ndarray, high: np.ndarray, rest: np.ndarray):
+    """One entry for each (token, ball): its smallest and largest set, and the most that may lie ahead."""
+    order = np.lexsort((ball, token))
+    token, ball = token[order], ball[order]
+    heads = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (ball[1:] != ball[:-1])]))
+    least, most, ahead = np.minimum.reduceat(low[order], heads), np.maximum.reduceat(high[order], heads), np.maximum.reduceat(rest[order], heads)
+    return token[heads], ball[heads], comp[order][heads], least, most, ahead
 
 
 def _entries(bits: int):
     def index(batches):
         held: list[np.ndarray] = []
-        rids: list[int] = []
-        sizes: list[int] = []
+        info: list[tuple[int, int, int]] = []
         count = 0
 
         def flush():
@@ -179,16 +192,15 @@ def _entries(bits: int):
             bucket = bucket[order]
             cut = np.flatnonzero(np.diff(bucket)) + 1
             begins = np.concatenate([[0], cut])
-            docs = np.array(rids, np.int64), np.array(sizes, np.int64)
+            docs = [np.array(x, np.int64) for x in zip(*info)]
             packed = [_pack(token[o], at[o], pos[o], *docs) for o in np.split(order, cut)]
-            held.clear(), rids.clear(), sizes.clear()
+            held.clear(), info.clear()
             return batch("bucket int, data binary", bucket[begins], packed)
 
         for rows in batches:
-            for rid, n, data in zip(*(rows.column(c).to_pylist() for c in ("rid", "n", "data"))):
+            for ball, comp, n, data in zip(*(rows.column(c).to_pylist() for c in ("ball", "comp", "n", "data"))):
                 held.append(np.frombuffer(data, "<u8"))
-                rids.append(rid)
-                sizes.append(n)
+                info.append((ball, comp, n))
                 count += len(held[-1])
                 if count >= HELD:
                     yield flush()
@@ -199,20 +211,21 @@ def _entries(bits: int):
     return index
 
 
-def _shared(rows: pa.Table) -> pa.Table:
-    """A bucket's entries of shingles that two sets or more are listed under."""
-    parts = [_unpack(d) for d in rows.column("data").to_pylist()]
-    token, rid, n, pos = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((rid, token))
-    token, rid, n, pos = token[order], rid[order], n[order], pos[order]
-    if len(token):
-        same = (token[1:] == token[:-1]) & (rid[1:] == rid[:-1])  # a repeated row
-        own = np.concatenate([[True], ~same])
-        token, rid, n, pos = token[own], rid[own], n[own], pos[own]
-        twice = token[1:] == token[:-1]
-        keep = np.concatenate([[False], twice]) | np.concatenate([twice, [False]])
-        token, rid, n, pos = token[keep], rid[keep], n[keep], pos[keep]
-    return pa.Table.from_batches([batch(ENTRY, token.view(np.int64), rid, n, pos)])
+def _opened(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bucket's lists that hold more than one component, one entry for each ball of a list."""
+    held: list[tuple] = []
+    for rows in batches:
+        for data in rows.column("data").to_pylist():
+            held.append(_collapsed(*_unpack(data)))
+            if len(held) > 1 and sum(len(x[0]) for x in held[1:]) > len(held[0][0]) + BUCKET_ENTRIES:
+                held = [_collapsed(*(np.concatenate(x) for x in zip(*held)))]
+    token, ball, comp, low, high, rest = _collapsed(*(np.concatenate(x) for x in zip(*held)))
+    heads = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    several = np.minimum.reduceat(comp, heads) != np.maximum.reduceat(comp, heads)
+    keep = np.repeat(several, np.diff(np.append(heads, len(token))))
+    for at in range(0, int(keep.sum()), HELD_PAIRS):
+        part = np.flatnonzero(keep)[at : at + HELD_PAIRS]
+        yield batch(ENTRY, token[part].view(np.int64), ball[part], comp[part], low[part], high[part], rest[part])
 
 
 PAIR = "a long, b long"
@@ -245,6 +258,29 @@ def _list_pairs(rows: dict[str, np.ndarray]):
                 yield np.stack([ball[a + p], ball[b + q]], 1)
 
 
+def _neighbours(batches):
+    """Of each list only the pairs of neighbours by ball that are not connected and may link: fewer than entries.
+
+    All lists have their balls in one order, so balls that share much are neighbours again and again, and what
+    links them is found by few pairs; the pairs of what is then connected never come up.
+    """
+    names = ("token", "ball", "comp", "low", "high", "rest")
+    before = None
+    for rows in batches:
+        if not rows.num_rows:
+            continue
+        cols = {c: rows.column(c).to_numpy() for c in names}
+        if before is not None:
+            cols = {c: np.concatenate([before[c], v]) for c, v in cols.items()}
+        before = {c: v[-1:] for c, v in cols.items()}
+        x, y = {c: v[:-1] for c, v in cols.items()}, {c: v[1:] for c, v in cols.items()}
+        ok = (x["token"] == y["token"]) & (x["comp"] != y["comp"])
+        ok &= (4 * x["high"] >= 3 * y["low"]) & (4 * y["high"] >= 3 * x["low"])
+        ok &= 7 * np.minimum(x["rest"], y["rest"]) >= needed(x["low"], y["low"])
+        pairs = np.unique(np.stack([x["ball"][ok], y["ball"][ok]], 1), axis=0)
+        yield batch(PAIR, pairs[:, 0], pairs[:, 1])
+
+
 def _pairs(batches):
     """Candidate pairs of balls from rows sorted by token; a list may go over several batches."""
     names = ("token", "ball", "comp", "low", "high", "rest")
@@ -419,21 +455,33 @@ def components_of(docs: DataFrame) -> DataFrame:
     frequent = np.sort(np.array([r[0] for r in often.select("rid").collect()], np.int64).astype(np.uint32))
     total = classes.agg(F.sum("n")).first()[0] or 0
     bits = max(0, int(total // 4 // BUCKET_ENTRIES)).bit_length()
-    blobs = prefixes_of(docs, classes, frequent).mapInArrow(_entries(bits), "bucket int, data binary")
-    entries = blobs.groupBy("bucket").applyInArrow(_shared, ENTRY)
     info = (
         classes.select("rid").join(stars.select("rid", "ball"), "rid", "left")
         .join(first_roots.withColumnRenamed("node", "rid"), "rid", "left")
         .select("rid", F.coalesce("ball", "rid").alias("ball"), F.coalesce("root", "rid").alias("comp"))
     )
-    lists = (
-        entries.join(info, "rid").repartition("token").groupBy("token", "ball")
-        .agg(F.min("comp").alias("comp"), F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("rest"))
-        .select("token", "ball", "comp", *[F.col(c).cast("long").alias(c) for c in ("low", "high", "rest")])
-        .sortWithinPartitions("token").mapInArrow(_pairs, PAIR)
-    )
-    far = compared(lists.distinct(), docs)
-    roots = _joined(first_roots, far.where(linked(F.col("common"), F.col("n"), F.col("m"))).select("a", "b"))
+    blobs = prefixes_of(docs, info, frequent).mapInArrow(_entries(bits), "bucket int, data binary")
+    lists = written(blobs.groupBy("bucket").applyInArrow(_opened, ENTRY))
+
+    # Rounds: neighbours are compared and what links is contracted, so a connected group's pairs never arise.
+    # When a round connects nothing more, all pairs between components that are still open are compared.
+    roots, far, last = first_roots, None, False
+    while True:
+        tops = roots.select(F.col("node").alias("ball"), "root")
+        dealt = lists.drop("comp").join(tops, "ball", "left").withColumn("comp", F.coalesce("root", "ball")).select(*lists.columns)
+        dealt = dealt.repartition("token").sortWithinPartitions("token", "ball")
+        pairs = dealt.mapInArrow(_pairs if last else _neighbours, PAIR).distinct()
+        if far is not None:
+            pairs = pairs.join(far.select("a", "b"), ["a", "b"], "left_anti")
+        met = compared(pairs, docs)
+        far = met if far is None else far.unionByName(met)
+        links = met.where(linked(F.col("common"), F.col("n"), F.col("m"))).select("a", "b")
+        found = not links.isEmpty()
+        if found:
+            roots = _joined(roots, links)
+        if last:
+            break
+        last = not found
 
     # Balls whose leaders do not link but whose members may, unless they are connected by now.
     radius = stars.groupBy("ball").agg(F.max("away").alias("radius"))
