@@ -3,7 +3,7 @@
 The answer is the connected components of "share at least three quarters of their union".
 
 * Equal sets are one class; only its first document goes on.
-* A class finds a leader by MinHash bands. The pair's similarity is then computed from the two texts; a
+* A class finds the leader that it shares most MinHash bands with. The pair's similarity is then computed from the two texts; a
   class that shares nine tenths with a leader joins the leader's ball, and its radius is known.
 * Index lists: a set's shingles are ordered by hash, frequent ones last; a set is listed under the first
   quarter of them. Entries carry their position, and in long lists whole blocks are skipped where even
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from evidra.llm.common import batch, lookup_bounded, mixed, written
 from evidra.llm.components import components
@@ -33,8 +33,8 @@ from evidra.llm.textcols import Texts, shingles_of, slices, texts_of, words_of
 
 WORDS = 5
 BANDS, ROWS = 4, 3
-#: Circles of about ``CIRCLE`` members of a band's group whose heads each member is compared with.
-CIRCLES, CIRCLE = 6, 8
+#: Partners that a ball is compared with in a round of neighbours; the last round has no such bound.
+PARTNERS = 2
 #: A shingle that is met this often is listed last, as far as the table of the most frequent ones goes.
 FREQUENT, FREQUENT_MOST = 32, 1 << 18
 #: Shingles, by the upper half of their hash, that a task looks through together for repeats.
@@ -229,6 +229,7 @@ def _opened(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> It
 
 
 PAIR = "a long, b long"
+MET = f"{PAIR}, times long"
 PREFIX = "rid long, n long, data binary"
 
 
@@ -277,8 +278,8 @@ def _neighbours(batches):
         ok = (x["token"] == y["token"]) & (x["comp"] != y["comp"])
         ok &= (4 * x["high"] >= 3 * y["low"]) & (4 * y["high"] >= 3 * x["low"])
         ok &= 7 * np.minimum(x["rest"], y["rest"]) >= needed(x["low"], y["low"])
-        pairs = np.unique(np.stack([x["ball"][ok], y["ball"][ok]], 1), axis=0)
-        yield batch(PAIR, pairs[:, 0], pairs[:, 1])
+        pairs, times = np.unique(np.stack([x["ball"][ok], y["ball"][ok]], 1), axis=0, return_counts=True)
+        yield batch(MET, pairs[:, 0], pairs[:, 1], times)
 
 
 def _pairs(batches):
@@ -433,14 +434,10 @@ def components_of(docs: DataFrame) -> DataFrame:
     # Balls: leaders by band, then exact similarity.
     listed = classes.select("rid", "n", F.posexplode(F.array(*bands)).alias("i", "b")).select("rid", "n", F.xxhash64("i", "b").alias("band"))
     leaders = listed.groupBy("band").agg(F.min(F.struct("rid", "n")).alias("lead"), F.count("*").alias("members")).where("members > 1")
-    met = written(lookup_bounded(listed, leaders, "band", F.col("members")).where("lead is not null").select("rid", "n", "band", "lead", "members"))
-    # In a large group the leader may itself be far from most members, so each also meets a few others.
-    shared = F.greatest(F.lit(1), F.ceil(F.col("members") / CIRCLE))
-    circles = met.select("rid", "n", "band", F.explode(F.array(*[F.lit(k) for k in range(CIRCLES)])).alias("k"), shared.alias("shared"))
-    circles = circles.select("rid", "n", F.xxhash64("band", "k", F.pmod(F.xxhash64("rid", "k"), F.col("shared"))).alias("circle"))
-    heads = circles.groupBy("circle").agg(F.min(F.struct("rid", "n")).alias("lead"))
-    met = met.select("rid", "n", "lead").unionByName(circles.join(heads, "circle").select("rid", "n", "lead"))
-    met = met.where("rid <> lead.rid AND 4 * n >= 3 * lead.n AND 4 * lead.n >= 3 * n")
+    met = written(lookup_bounded(listed, leaders, "band", F.col("members")).where("lead is not null").select("rid", "n", "lead"))
+    # A member meets only the leader that it has most bands in common with; others meet in the lists.
+    met = met.where("rid <> lead.rid AND 4 * n >= 3 * lead.n AND 4 * lead.n >= 3 * n").groupBy("rid", "n", "lead").agg(F.count("*").alias("times"))
+    met = met.groupBy("rid").agg(F.max_by("lead", F.struct("times", -F.col("lead.n"), "lead.rid")).alias("lead"))
     near = compared(met.select(F.col("rid").alias("a"), F.col("lead.rid").alias("b")).distinct(), docs)
     first_roots = _rooted(near.where(linked(F.col("common"), F.col("n"), F.col("m"))).select("a", "b"))
     union = F.col("n") + F.col("m") - F.col("common")
@@ -470,7 +467,12 @@ def components_of(docs: DataFrame) -> DataFrame:
         tops = roots.select(F.col("node").alias("ball"), "root")
         dealt = lists.drop("comp").join(tops, "ball", "left").withColumn("comp", F.coalesce("root", "ball")).select(*lists.columns)
         dealt = dealt.repartition("token").sortWithinPartitions("token", "ball")
-        pairs = dealt.mapInArrow(_pairs if last else _neighbours, PAIR).distinct()
+        if last:
+            pairs = dealt.mapInArrow(_pairs, PAIR).distinct()
+        else:
+            often = Window.partitionBy("a").orderBy(F.desc("times"), "b")
+            pairs = dealt.mapInArrow(_neighbours, MET).groupBy("a", "b").agg(F.sum("times").alias("times"))
+            pairs = pairs.withColumn("_r", F.row_number().over(often)).where(F.col("_r") <= PARTNERS).select("a", "b")
         if far is not None:
             pairs = pairs.join(far.select("a", "b"), ["a", "b"], "left_anti")
         met = compared(pairs, docs)
