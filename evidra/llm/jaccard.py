@@ -40,9 +40,9 @@ FREQUENT, FREQUENT_MOST = 32, 1 << 18
 #: Shingles, by the upper half of their hash, that a task looks through together for repeats.
 CHUNK = 4_000_000
 #: Index entries that a task holds before it hands them on, and candidate pairs likewise.
-HELD, HELD_PAIRS = 500_000, 250_000
+HELD, HELD_PAIRS = 250_000, 100_000
 SLICE = 1 << 20
-BUCKET_ENTRIES = 1_000_000
+BUCKET_ENTRIES = 400_000
 BLOCK = 128
 SKETCH = "kind int, doc_id long, rid long, key binary, n long, " + ", ".join(f"b{i} long" for i in range(BANDS))
 ENTRY = "token long, ball long, comp long, low long, high long, rest long"
