@@ -12,6 +12,7 @@ from evidra.catalog.common import rounded
 from evidra.catalog.evaluating import vectors
 from evidra.operators import provenance as P, summaries as SU
 from evidra.plans import version_step as V
+from evidra.sources import changelog as CL
 from evidra.session import ensure_checkpoint_dir
 from evidra.sources import normalize as N, snapshot as SN
 
@@ -287,6 +288,40 @@ def version_step(spark, sf):
     return V.step(spark, root, "6", "7", {"relations": edges}, "adds the third flag")
 
 
+@query("versioned_upserts", "W-129 W-160", """
+    WITH w AS (SELECT user_id, event_id, event_id % 3 AS v, event_type AS last_type, event_type AS first_type, CASE WHEN event_type <> 'view' THEN value END AS value FROM events),
+    live AS (SELECT * FROM w WHERE NOT (user_id % 7 = 0 AND v < 1) AND NOT (user_id % 5 = 0 AND v < 2))
+    SELECT user_id, arg_max(last_type, (v, event_id)) AS last_type, arg_min(first_type, (v, event_id)) AS first_type,
+           arg_max(value, (v, event_id)) FILTER (value IS NOT NULL) AS value FROM live GROUP BY 1""")
+def versioned_upserts(spark, sf):
+    """Three versions of a table of users: inserts, updates, deletes in two of them, and compaction between."""
+    root, keys, rules = _scratch(spark), ["user_id"], {"users": {"first_type": "first"}}
+    events = B.table(spark, sf, "events")
+    writes = events.select("user_id", "event_id", (F.col("event_id") % 3).alias("_v"), F.col("event_type").alias("last_type"),
+                           F.col("event_type").alias("first_type"), F.when(F.col("event_type") != "view", F.col("value")).alias("value"))
+    for v, divisor in ((0, None), (1, 7), (2, 5)):
+        gone = None if divisor is None else events.where(F.col("user_id") % divisor == 0).select("user_id")
+        CL.append(spark, root, "users", str(v), str(v - 1) if v else None, writes.where(F.col("_v") == v).drop("_v"), gone, keys, seq="event_id")
+        if v == 1:
+            CL.compact(spark, root, "users", "1", keys, rules)
+    return CL.load(spark, root, "users", "2", keys, rules).select("user_id", "last_type", "first_type", "value")
+
+
+@query("merged_molecule_versions", "W-129 W-122", """
+    WITH m AS (SELECT p_brand AS id, p_name AS name, CASE WHEN p_size % 4 = 0 THEN p_type END AS smiles, p_size % 3 AS v FROM part),
+    f AS (SELECT id, v, arg_min(smiles, smiles) FILTER (smiles IS NOT NULL) AS smiles FROM m GROUP BY ALL)
+    SELECT m.id, arg_min(name, (regexp_matches(name, '[][()=#@+/\\\\-]'), -length(name), name)) AS name, any_value(s.smiles) AS smiles
+    FROM m LEFT JOIN (SELECT id, arg_min(smiles, v) FILTER (smiles IS NOT NULL) AS smiles FROM f GROUP BY id) s USING (id) GROUP BY m.id""")
+def merged_molecule_versions(spark, sf):
+    """Molecules that later files name again: the better name stays, and gaps are filled."""
+    root = _scratch(spark)
+    parts = B.table(spark, sf, "part").select(
+        F.col("p_brand").alias("id"), F.col("p_name").alias("name"), F.when(F.col("p_size") % 4 == 0, F.col("p_type")).alias("smiles"), (F.col("p_size") % 3).alias("v"))
+    for v in range(3):
+        CL.append(spark, root, "molecules", str(v), str(v - 1) if v else None, parts.where(F.col("v") == v).drop("v"))
+    return CL.load(spark, root, "molecules", "2")
+
+
 @query("exported_hypotheses", "W-14 W-15 W-16", """
     SELECT 'hypotheses' AS metric, count(*) AS n FROM documents UNION ALL SELECT 'summary', 11 UNION ALL SELECT 'decisions', count(*) FROM labels UNION ALL SELECT 'run_stages', 2""")
 def exported_hypotheses(spark, sf):

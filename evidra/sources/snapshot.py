@@ -42,8 +42,10 @@ def lineage(spark: SparkSession, root: str, version: str) -> list[str]:
 
 
 def load_version(spark: SparkSession, root: str, name: str, version: str) -> DataFrame:
-    """All rows of a table as of a version: its delta and those of its parents, each read once."""
-    return spark.read.option("mergeSchema", "true").parquet(*[f"{root}/{name}/version={v}" for v in lineage(spark, root, version)])
+    """A table as of a version: its change log and those of its parents, merged by key."""
+    from evidra.sources import changelog
+
+    return changelog.load(spark, root, name, version)
 
 
 def append_version(spark: SparkSession, root: str, version: str, parent: str | None, counts: DataFrame, description: str = "") -> None:
