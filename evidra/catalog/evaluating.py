@@ -231,10 +231,47 @@ def entity_types(spark, sf):
     ]).select("id", "entity_type")
 
 
-@query("translation_training", "W-93")
+def _training_sql(dim: int, rate: float, margin: float | None = None, epochs: int = 2) -> str:
+    """Losses of the first epochs, one row of a vector per position, from the same md5 digits."""
+    digits = "('0x' || substr(md5({}), 1, 8))::BIGINT"
+    start = f"SELECT id, i, {digits.format("{seed} || ':' || id || ':' || i")} / 2147483648.0 - 1 AS x FROM {{ids}}, range({dim}) d(i)"
+    unit = "SELECT id, i, x / CASE WHEN sum(x * x) OVER (PARTITION BY id) > 0 THEN sqrt(sum(x * x) OVER (PARTITION BY id)) ELSE 1 END AS x FROM ({})"
+    parts = {
+        "e": "SELECT entity, row_number() OVER (ORDER BY entity) - 1 AS id FROM (SELECT subject AS entity FROM relations UNION SELECT object FROM relations)",
+        "p": "SELECT predicate, row_number() OVER (ORDER BY predicate) - 1 AS id FROM (SELECT DISTINCT predicate FROM relations)",
+        "ed": "SELECT a.id AS h, p.id AS r, b.id AS t, count(*) AS w FROM relations JOIN e a ON a.entity = subject JOIN e b ON b.entity = object JOIN p USING (predicate) GROUP BY ALL",
+        "v0": unit.format(start.format(seed=42, ids="e")), "r0": start.format(seed=43, ids="p"),
+    }
+    losses = []
+    for k in range(1, epochs + 1):
+        drawn = digits.format(f"h || ':' || r || ':' || t || ':{k}'")
+        wrong = f"(t + 1 + {drawn} % ((SELECT count(*) FROM e) - 1)) % (SELECT count(*) FROM e)" if margin else "t"
+        parts[f"n{k}"] = f"SELECT *, {wrong} AS c FROM ed"
+        v, r = f"v{k - 1}", f"r{k - 1}"
+        parts[f"s{k}"] = f"""SELECT h, r, t, c, w, a.i, a.x + b.x - d.x AS e, a.x + b.x - f.x AS f FROM n{k} JOIN {v} a ON a.id = h JOIN {r} b ON b.id = r AND b.i = a.i
+            JOIN {v} d ON d.id = t AND d.i = a.i JOIN {v} f ON f.id = c AND f.i = a.i"""
+        loss = f"greatest(0, {margin} + sum(e * e) - sum(f * f))" if margin else "sum(e * e)"
+        parts[f"h{k}"] = f"SELECT h, r, t, c, w, {loss} AS loss FROM s{k} GROUP BY ALL"
+        losses.append(f"SELECT {k} AS epoch, round(sum(loss * w) / sum(w), 6) AS loss FROM h{k}")
+        ends = [(0, "h", "2 * (e - f)"), (0, "t", "-2 * e"), (0, "c", "2 * f"), (1, "r", "2 * (e - f)")] if margin else [(0, "h", "2 * e"), (0, "t", "-2 * e"), (1, "r", "2 * e")]
+        parts[f"g{k}"] = f"SELECT kind, id, i, sum(g * w) / sum(w) AS g FROM (" + " UNION ALL ".join(
+            f"SELECT {kind} AS kind, {end} AS id, i, {g} AS g, w FROM s{k} JOIN h{k} USING (h, r, t, c, w) WHERE loss > 0" for kind, end, g in ends) + ") GROUP BY ALL"
+        moved = f"SELECT o.id, o.i, o.x - {rate} * coalesce(g, 0) AS x FROM {{}} o LEFT JOIN g{k} g ON g.kind = {{}} AND g.id = o.id AND g.i = o.i"
+        parts[f"v{k}"], parts[f"r{k}"] = unit.format(moved.format(v, 0)), moved.format(r, 1)
+    return with_("relations", " UNION ALL ".join(losses), **parts)
+
+
+@query("translation_training", "W-93", _training_sql(8, 0.1))
 def translation_training(spark, sf):
     """Loss per epoch over the whole edge table."""
     _, _, edges = L.encode_triples(B.relations(spark, sf))
-    _, _, losses = L.train_transe(edges, dim=8, epochs=2, learning_rate=0.1)
-    rows = [spark.range(1).select(F.lit(i + 1).alias("epoch"), F.lit(v).alias("loss")) for i, v in enumerate(losses)]
+    _, _, losses = L.train_transe(edges, dim=8, epochs=2, learning_rate=0.1, initial=L.digit_vectors)
+    rows = [spark.range(1).select(F.lit(i + 1).alias("epoch"), F.round(F.lit(v), 6).alias("loss")) for i, v in enumerate(losses)]
     return reduce(DataFrame.unionByName, rows)
+
+
+@query("margin_training", "W-93", _training_sql(8, 0.1, margin=1.0))
+def margin_training(spark, sf):
+    """Ranking loss per epoch against one wrong tail for each edge."""
+    entities, _, edges = L.encode_triples(B.relations(spark, sf))
+    return rounded(L.train_margin(edges, entities.count(), dim=8, epochs=2, learning_rate=0.1)[2], 6, "loss")

@@ -10,6 +10,7 @@ k per query, so neither a hot group nor all pairs ever meet in one task.
 from __future__ import annotations
 
 import sys
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -64,6 +65,20 @@ def initial_vectors(ids: DataFrame, dim: int, seed: int = 42, scale: float = 0.1
     return ids.select("id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), normal).alias("vec"))
 
 
+def digit_vectors(ids: DataFrame, dim: int, seed: int = 42) -> DataFrame:
+    """Vectors between -1 and 1 from the md5 digits of "seed:id:position", the same in any engine."""
+    def digit(k: Column) -> Column:
+        text = F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"), k.cast("string"))
+        return _digits(text) / F.lit(float(2**31)) - 1
+
+    return ids.select("id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), digit).alias("vec"))
+
+
+def _digits(text: Column) -> Column:
+    """The first 32 bits of a text's md5 as a whole number."""
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+
 def norm(vec: Column) -> Column:
     return F.sqrt(F.aggregate(vec, F.lit(0.0), lambda a, x: a + x * x))
 
@@ -81,7 +96,7 @@ def _sum_vectors(column: str, dim: int) -> Column:
 
 
 def train_transe(
-    edges: DataFrame, dim: int = 64, epochs: int = 100, learning_rate: float = 0.01, seed: int = 42,
+    edges: DataFrame, dim: int = 64, epochs: int = 100, learning_rate: float = 0.01, seed: int = 42, initial=initial_vectors,
 ) -> tuple[DataFrame, DataFrame, list[float]]:
     """(entity vectors, relation vectors, mean loss per epoch) of ``edges(h, r, t)``.
 
@@ -91,8 +106,8 @@ def train_transe(
     """
     edges = cut_lineage(edges.select("h", "r", "t"))
     ids = edges.select(F.explode(F.array("h", "t")).alias("id")).distinct()
-    entities = cut_lineage(normalised(initial_vectors(ids, dim, seed)))
-    relations = cut_lineage(initial_vectors(edges.select(F.col("r").alias("id")).distinct(), dim, seed + 1))
+    entities = cut_lineage(normalised(initial(ids, dim, seed)))
+    relations = cut_lineage(initial(edges.select(F.col("r").alias("id")).distinct(), dim, seed + 1))
     # Edges do not change, so their hot keys are found once for all epochs.
     hot = {end: hot_keys(edges, end) for end in ("h", "t")}
     few_relations = relations.count() <= BROADCAST_ROWS
@@ -129,6 +144,75 @@ def train_transe(
     return entities, relations, losses
 
 
+def corrupted(edges: DataFrame, entities: int, epoch: int) -> DataFrame:
+    """``edges(h, r, t)`` with a wrong tail ``c``, drawn anew each epoch by the md5 of the edge and the epoch.
+
+    Entity ids are 0 to ``entities`` - 1; every other entity than t is as likely.
+    """
+    drawn = _digits(F.concat_ws(":", F.col("h").cast("string"), F.col("r").cast("string"), F.col("t").cast("string"), F.lit(str(epoch))))
+    return edges.withColumn("c", F.pmod(F.col("t") + 1 + drawn % (entities - 1), F.lit(entities)))
+
+
+def train_margin(
+    edges: DataFrame, entities: int, dim: int = 64, epochs: int = 100, learning_rate: float = 0.01, margin: float = 1.0, seed: int = 42,
+    initial=digit_vectors,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entity vectors, relation vectors, (epoch, loss)) of ``edges(h, r, t)`` by ranking loss against wrong tails.
+
+    The loss of an edge is max(0, margin + |h + r - t|^2 - |h + r - c|^2) with one wrong tail c of ``corrupted``.
+    Equal edges are one row with a weight. Wrong tails are spread evenly over all entities, so their lookup has no
+    hot key; those of heads and tails are found once. Gradient sums combine map-side, and a vector moves by the
+    mean over the active edges it is part of; the loss is one more group of that sum, so no epoch waits for a
+    number on the driver. Ids run from 0 to ``entities`` - 1, at least two; an entity without edges is learned
+    as a wrong tail.
+    """
+    if entities < 2:
+        raise ValueError("a wrong tail needs a second entity")
+    spark = edges.sparkSession
+    edges = cut_lineage(edges.groupBy("h", "r", "t").agg(F.count("*").alias("w")))
+    vectors = cut_lineage(normalised(initial(spark.range(entities), dim, seed)))
+    relations = cut_lineage(initial(edges.select(F.col("r").alias("id")).distinct(), dim, seed + 1))
+    hot = {end: hot_keys(edges, end) for end in ("h", "t")}
+    few_relations = relations.count() * dim <= BROADCAST_ROWS
+    hot_r = None if few_relations else hot_keys(edges, "r")
+    none = F.array(*[F.lit(0.0)] * dim)
+    losses: list[DataFrame] = []
+    for epoch in range(1, epochs + 1):
+        named = lambda table, end: table.select(F.col("id").alias(end), F.col("vec").alias(f"{end}v"))
+        rows = lookup_with(corrupted(edges, entities, epoch), named(vectors, "h"), "h", "inner", hot["h"])
+        rows = lookup_with(rows, named(vectors, "t"), "t", "inner", hot["t"])
+        by_relation = named(relations, "r")
+        rows = lookup_with(rows, F.broadcast(by_relation) if few_relations else by_relation, "r", "inner", hot_r)
+        rows = rows.join(named(vectors, "c"), "c")
+        sums = F.zip_with("hv", "rv", lambda a, b: a + b)
+        rows = rows.select("h", "r", "t", "c", "w", F.zip_with(sums, "tv", lambda a, b: a - b).alias("e"), F.zip_with(sums, "cv", lambda a, b: a - b).alias("f"))
+        square = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x)
+        rows = rows.withColumn("hinge", F.greatest(F.lit(0.0), margin + square("e") - square("f")))
+        both = F.zip_with("e", "f", lambda a, b: a - b)
+
+        def part(kind: int, id_: str | Column, g: Column, n: Column, loss: Column) -> Column:
+            id_ = F.col(id_) if isinstance(id_, str) else id_
+            return F.struct(F.lit(kind).alias("kind"), id_.alias("id"), g.alias("g"), n.alias("n"), loss.alias("loss"))
+
+        weighted = lambda v, k: F.transform(v, lambda x: x * (k * F.col("w")))
+        zero = F.lit(0.0)
+        active = F.when(F.col("hinge") > 0, F.array(
+            part(0, "h", weighted(both, 2), F.col("w"), zero), part(0, "t", weighted("e", -2), F.col("w"), zero),
+            part(0, "c", weighted("f", 2), F.col("w"), zero), part(1, "r", weighted(both, 2), F.col("w"), zero),
+        )).otherwise(F.array().cast("array<struct<kind:int,id:bigint,g:array<double>,n:bigint,loss:double>>"))
+        loss_row = F.array(part(2, F.lit(0).cast("long"), none, F.col("w"), F.col("hinge") * F.col("w")))
+        summed = cut_lineage(rows.select(F.inline(F.concat(active, loss_row))).groupBy("kind", "id").agg(
+            _sum_vectors("g", dim).alias("g"), F.sum("n").alias("n"), F.sum("loss").alias("loss")))
+        losses.append(summed.where("kind = 2").select(F.lit(epoch).alias("epoch"), (F.col("loss") / F.col("n")).alias("loss")))
+
+        def moved(table: DataFrame, kind: int) -> DataFrame:
+            step = F.when(F.col("g").isNotNull(), F.zip_with("vec", "g", lambda v, g: v - learning_rate * g / F.col("n"))).otherwise(F.col("vec"))
+            return table.join(summed.where(F.col("kind") == kind).select("id", "g", "n"), "id", "left").select("id", step.alias("vec"))
+
+        vectors, relations = cut_lineage(normalised(moved(vectors, 0))), cut_lineage(moved(relations, 1))
+    return vectors, relations, reduce(DataFrame.unionByName, losses)
+
+
 def score_triples(candidates: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
     """-|h + r - t| per (subject, predicate, object); -inf where an id has no vector."""
     h = entities.select(F.col("id").alias("subject"), F.col("vec").alias("_h"))
