@@ -8,6 +8,9 @@ The answer is the connected components of "share at least three quarters of thei
 * Index lists: a set's shingles are ordered by hash, frequent ones last; a set is listed under the first
   quarter of them. Entries carry their position, and in long lists whole blocks are skipped where even
   the best position leaves too few shingles for the overlap that two sets need.
+* Before texts are fetched, a pair's sets are held against each other by their parities: as many bits as four to
+  eight times the set, each telling whether an odd number of shingles falls there. Bits that differ are fewer than
+  the shingles that only one set has, so they bound the overlap; only pairs that may link by it are compared.
 * Lists that hold a single component are dropped where they are made. In the others neighbours are compared
   first and connected, round by round, until a round connects nothing; then all pairs that are still open.
 * A ball is one entry of a list. Its answers are derived from those of its leader: leaders that link join
@@ -44,7 +47,7 @@ HELD, HELD_PAIRS = 250_000, 100_000
 SLICE = 1 << 20
 BUCKET_ENTRIES = 400_000
 BLOCK = 128
-SKETCH = "kind int, doc_id long, rid long, key binary, n long, " + ", ".join(f"b{i} long" for i in range(BANDS))
+SKETCH = "kind int, doc_id long, rid long, key binary, n long, bits binary, " + ", ".join(f"b{i} long" for i in range(BANDS))
 ENTRY = "token long, ball long, comp long, low long, high long, rest long"
 
 
@@ -80,6 +83,20 @@ def _bands(hashes: np.ndarray) -> list[int]:
         return [int.from_bytes(hashlib.blake2b(least[i::BANDS].tobytes() + bytes([i]), digest_size=8).digest(), "little", signed=True) for i in range(BANDS)]
 
 
+def parities(hashes: np.ndarray) -> bytes:
+    """Whether an odd number of a set's hashes falls on each of a power of two of places, at least four for each."""
+    places = max(64, 1 << (4 * len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def most_common(a: bytes, b: bytes, n: int, m: int) -> int:
+    """The most that sets of sizes ``n`` and ``m`` can share by their parities; the longer ones are folded."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    differ = np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum()
+    return min(n, m, (n + m - int(differ)) // 2)
+
+
 def _upper(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(32)).astype(np.uint32)
 
@@ -95,7 +112,7 @@ def _sketch(batches):
         values, counts = np.unique(flat[1:][flat[1:] == flat[:-1]], return_counts=True)
         n = len(values)
         none = pa.nulls(n, pa.int64())
-        return batch(SKETCH, np.ones(n, np.int32), none, values.astype(np.int64), pa.nulls(n, pa.binary()), counts + 1, *[none] * BANDS)
+        return batch(SKETCH, np.ones(n, np.int32), none, values.astype(np.int64), pa.nulls(n, pa.binary()), counts + 1, pa.nulls(n, pa.binary()), *[none] * BANDS)
 
     for rows in batches:
         for part in slices(rows, "text", SLICE):
@@ -104,7 +121,7 @@ def _sketch(batches):
             bands = [_bands(s) if len(s) else [None] * BANDS for s in sets]
             yield batch(
                 SKETCH, np.zeros(len(sets), np.int32), part.column("doc_id"), part.column("rid"), keys, [len(s) for s in sets],
-                *[[b[i] for b in bands] for i in range(BANDS)],
+                [parities(s) if len(s) else None for s in sets], *[[b[i] for b in bands] for i in range(BANDS)],
             )
             held += [_upper(s) for s in sets]
             size += sum(map(len, sets))
@@ -336,6 +353,16 @@ def _pairs(batches):
 VERIFIED = "a long, b long, common long, n long, m long"
 
 
+def _bounded(batches):
+    """The most that each row's two sets may share."""
+    for rows in batches:
+        a, b, n, m, left, right = (rows.column(c) for c in ("a", "b", "n", "m", "bits_a", "bits_b"))
+        common = [
+            most_common(x.as_buffer(), y.as_buffer(), i, j) for x, y, i, j in zip(left, right, n.to_pylist(), m.to_pylist())
+        ]
+        yield batch(VERIFIED, a, b, common, n, m)
+
+
 def _compare(batches):
     """The overlap of each row's two texts."""
     for rows in batches:
@@ -348,18 +375,24 @@ def _compare(batches):
             yield batch(VERIFIED, part.column("a"), part.column("b"), common, [len(x) for x in left], [len(right[i]) for i in which.tolist()])
 
 
-def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def compared(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     """Overlaps of pairs of documents (a, b), whose texts are fetched by ``rid``; written.
 
-    The texts of ``a`` travel with their pair to the text of ``b``, so give the side that few pairs share
-    as ``a``.
+    ``sets(rid, n, bits)`` has sizes and parities. Of pairs that cannot link by their parities ``common`` is the
+    bound and no text is fetched. The texts of ``a`` travel with their pair to the text of ``b``, so give the side
+    that few pairs share as ``a``.
     """
-    pairs = written(pairs)
+    for side, size in (("a", "n"), ("b", "m")):
+        pairs = pairs.join(sets.select(F.col("rid").alias(side), F.col("n").alias(size), F.col("bits").alias(f"bits_{side}")), side)
+    bounds = written(pairs.mapInArrow(_bounded, VERIFIED))
+    may = linked(F.col("common"), F.col("n"), F.col("m"))
+    pairs = bounds.where(may).select("a", "b")
     ids = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
     texts = docs.join(ids, "rid", "left_semi").dropDuplicates(["rid"])
     left = pairs.join(texts.select(F.col("rid").alias("a"), F.col("text").alias("text_a")), "a")
     full = left.join(texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b")), "b")
-    return written(full.select("a", "b", "text_a", "text_b").sortWithinPartitions("b").mapInArrow(_compare, VERIFIED))
+    exact = written(full.select("a", "b", "text_a", "text_b").sortWithinPartitions("b").mapInArrow(_compare, VERIFIED))
+    return exact.unionByName(bounds.where(~may))
 
 
 def _rooted(links: DataFrame) -> DataFrame:
@@ -427,10 +460,12 @@ def components_of(docs: DataFrame) -> DataFrame:
     bands = [f"b{i}" for i in range(BANDS)]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("_f")
     classes = written(
-        rows.where("n > 0").groupBy("key").agg(first, F.count("*").alias("size"), *[F.min(c).alias(c) for c in ("n", *bands)])
-        .select("key", F.col("_f.doc_id").alias("doc_id"), F.col("_f.rid").alias("rid"), "size", "n", *bands)
+        rows.where("n > 0").groupBy("key").agg(first, F.count("*").alias("size"), *[F.min(c).alias(c) for c in ("n", "bits", *bands)])
+        .select("key", F.col("_f.doc_id").alias("doc_id"), F.col("_f.rid").alias("rid"), "size", "n", "bits", *bands)
     )
 
+    sets = classes.select("rid", "n", "bits")
+
     # Balls: leaders by band, then exact similarity.
     listed = classes.select("rid", "n", F.posexplode(F.array(*bands)).alias("i", "b")).select("rid", "n", F.xxhash64("i", "b").alias("band"))
     leaders = listed.groupBy("band").agg(F.min(F.struct("rid", "n")).alias("lead"), F.count("*").alias("members")).where("members > 1")
@@ -438,7 +473,7 @@ def components_of(docs: DataFrame) -> DataFrame:
     # A member meets only the leader that it has most bands in common with; others meet in the lists.
     met = met.where("rid <> lead.rid AND 4 * n >= 3 * lead.n AND 4 * lead.n >= 3 * n").groupBy("rid", "n", "lead").agg(F.count("*").alias("times"))
     met = met.groupBy("rid").agg(F.max_by("lead", F.struct("times", -F.col("lead.n"), "lead.rid")).alias("lead"))
-    near = compared(met.select(F.col("rid").alias("a"), F.col("lead.rid").alias("b")).distinct(), docs)
+    near = compared(met.select(F.col("rid").alias("a"), F.col("lead.rid").alias("b")).distinct(), docs, sets)
     first_roots = _rooted(near.where(linked(F.col("common"), F.col("n"), F.col("m"))).select("a", "b"))
     union = F.col("n") + F.col("m") - F.col("common")
     close = near.where(10 * F.col("common") >= 9 * union).withColumn("away", 1 - F.col("common") / union)
@@ -475,7 +510,7 @@ def components_of(docs: DataFrame) -> DataFrame:
             pairs = pairs.withColumn("_r", F.row_number().over(often)).where(F.col("_r") <= PARTNERS).select("a", "b")
         if far is not None:
             pairs = pairs.join(far.select("a", "b"), ["a", "b"], "left_anti")
-        met = compared(pairs, docs)
+        met = compared(pairs, docs, sets)
         far = met if far is None else far.unionByName(met)
         links = met.where(linked(F.col("common"), F.col("n"), F.col("m"))).select("a", "b")
         found = not links.isEmpty()
@@ -506,7 +541,7 @@ def components_of(docs: DataFrame) -> DataFrame:
             "away", *[F.coalesce(f"x{s}", s).alias(f"x{s}") for s in "ab"], *[F.coalesce(f"d{s}", F.lit(0.0)).alias(f"d{s}") for s in "ab"]
         )
         pairs = pairs.where("away <= 0.25 + da + db + 1e-9 AND da + db > 0").select(F.col("xa").alias("a"), F.col("xb").alias("b"))
-        inner = compared(pairs.distinct(), docs)
+        inner = compared(pairs.distinct(), docs, sets)
         roots = _joined(roots, inner.where(linked(F.col("common"), F.col("n"), F.col("m"))).select("a", "b"))
 
     # Back from roots to classes to rows.

@@ -481,3 +481,16 @@ def test_sql_of_queries(spark, sf):
 def test_plans_have_no_cross_product(spark, sf, name):
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_parities_bound_the_overlap_of_sets_of_any_sizes():
+    rng = np.random.default_rng(5)
+    for n, m, shared in ((1, 1, 1), (1, 1, 0), (7, 9, 7), (300, 330, 290), (300, 900, 120), (3_000, 40, 40), (20_000, 21_000, 15_000)):
+        pool = np.unique(rng.integers(0, 1 << 63, n + m + 50, dtype=np.int64).astype(np.uint64))
+        rng.shuffle(pool)
+        a, b = pool[:n], np.concatenate([pool[:shared], pool[n : n + m - shared]])
+        bound = jaccard.most_common(jaccard.parities(a), jaccard.parities(b), n, m)
+        assert bound == jaccard.most_common(jaccard.parities(b), jaccard.parities(a), m, n)
+        assert shared <= bound <= min(n, m)
+        if min(n, m) >= 300 and max(n, m) < 2 * min(n, m):  # of sizes that may link, the bound is close
+            assert bound - shared < 0.2 * (n + m - 2 * shared) + 5
