@@ -8,11 +8,11 @@ The answer is the connected components of "share at least three quarters of thei
 * Index lists: a set's shingles are ordered by hash, frequent ones last; a set is listed under the first
   quarter of them. Entries carry their position, and in long lists whole blocks are skipped where even
   the best position leaves too few shingles for the overlap that two sets need.
-* Before texts are fetched, a pair's sets are held against each other by their parities: as many bits as four to
-  eight times the set, each telling whether an odd number of shingles falls there. Bits that differ are fewer than
+* Before texts are fetched, a pair's sets are held against each other by their parities: as many bits as two to
+  four times the set, each telling whether an odd number of shingles falls there. Bits that differ are fewer than
   the shingles that only one set has, so they bound the overlap; only pairs that may link by it are compared.
 * Lists that hold a single component are dropped where they are made. In the others neighbours are compared
-  first and connected, round by round, until a round connects nothing; then all pairs that are still open.
+  first and connected, round by round, while half of them link; then all pairs that are still open.
 * A ball is one entry of a list. Its answers are derived from those of its leader: leaders that link join
   their balls; leaders further apart than the radii allow rule out every pair of their members; only
   between these bounds are members compared, and only where the balls are not connected already.
@@ -84,8 +84,8 @@ def _bands(hashes: np.ndarray) -> list[int]:
 
 
 def parities(hashes: np.ndarray) -> bytes:
-    """Whether an odd number of a set's hashes falls on each of a power of two of places, at least four for each."""
-    places = max(64, 1 << (4 * len(hashes) - 1).bit_length())
+    """Whether an odd number of a set's hashes falls on each of a power of two of places, at least two for each."""
+    places = max(64, 1 << (2 * len(hashes) - 1).bit_length())
     odd = np.bincount((hashes & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
     return np.packbits(odd.astype(bool)).tobytes()
 
@@ -356,7 +356,7 @@ VERIFIED = "a long, b long, common long, n long, m long"
 def _bounded(batches):
     """The most that each row's two sets may share."""
     for rows in batches:
-        a, b, n, m, left, right = (rows.column(c) for c in ("a", "b", "n", "m", "bits_a", "bits_b"))
+        a, b, n, m, left, right = (rows.column(c) for c in ("a", "b", "n_a", "n_b", "bits_a", "bits_b"))
         common = [
             most_common(x.as_buffer(), y.as_buffer(), i, j) for x, y, i, j in zip(left, right, n.to_pylist(), m.to_pylist())
         ]
@@ -382,8 +382,8 @@ def compared(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     bound and no text is fetched. The texts of ``a`` travel with their pair to the text of ``b``, so give the side
     that few pairs share as ``a``.
     """
-    for side, size in (("a", "n"), ("b", "m")):
-        pairs = pairs.join(sets.select(F.col("rid").alias(side), F.col("n").alias(size), F.col("bits").alias(f"bits_{side}")), side)
+    for side in "ab":  # the same columns renamed, so both sides share one exchange
+        pairs = pairs.join(sets.select(F.col("rid").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")), side)
     bounds = written(pairs.mapInArrow(_bounded, VERIFIED))
     may = linked(F.col("common"), F.col("n"), F.col("m"))
     pairs = bounds.where(may).select("a", "b")
@@ -496,7 +496,8 @@ def components_of(docs: DataFrame) -> DataFrame:
     lists = written(blobs.groupBy("bucket").applyInArrow(_opened, ENTRY))
 
     # Rounds: neighbours are compared and what links is contracted, so a connected group's pairs never arise.
-    # When a round connects nothing more, all pairs between components that are still open are compared.
+    # When less than half of a round's pairs link, contraction pays no longer: all pairs between components that are
+    # still open are compared.
     roots, far, last = first_roots, None, False
     while True:
         tops = roots.select(F.col("node").alias("ball"), "root")
@@ -513,12 +514,12 @@ def components_of(docs: DataFrame) -> DataFrame:
         met = compared(pairs, docs, sets)
         far = met if far is None else far.unionByName(met)
         links = met.where(linked(F.col("common"), F.col("n"), F.col("m"))).select("a", "b")
-        found = not links.isEmpty()
+        found, tried = links.count(), met.count()
         if found:
             roots = _joined(roots, links)
         if last:
             break
-        last = not found
+        last = 2 * found < tried
 
     # Balls whose leaders do not link but whose members may, unless they are connected by now.
     radius = stars.groupBy("ball").agg(F.max("away").alias("radius"))
