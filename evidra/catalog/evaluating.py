@@ -86,6 +86,20 @@ def time_slice_summary(spark, sf):
     return rounded(out, 6, "avg_hit_rate", "avg_mrr")
 
 
+MONTHS = [f"{year}-{month:02d}-01" for year in range(2017, 2025) for month in range(1, 13)]
+
+
+@query("monthly_time_slices", "W-75 W-100 W-101", with_("hypotheses provenance sources", """
+    SELECT strftime(c, '%Y-%m-%d') AS cutoff, count(*) AS num_hypotheses, count(*) FILTER (first_seen > c) AS num_appeared_after,
+           round(count(*) FILTER (first_seen > c) * 1.0 / count(*), 6) AS hit_rate, round(coalesce(avg(rank) FILTER (first_seen > c), 'inf'::DOUBLE), 4) AS avg_rank,
+           round(coalesce(avg(1.0 / rank) FILTER (first_seen > c), 0), 6) AS mrr
+    FROM (SELECT rank, first_seen FROM ranked LEFT JOIN first_seen USING (subject, predicate, object)),
+         (SELECT unnest(generate_series(DATE '2017-01-01', DATE '2024-12-01', INTERVAL 1 MONTH))::DATE AS c) GROUP BY c""", **DATED))
+def monthly_time_slices(spark, sf):
+    out = E.time_slice_experiment(B.hypotheses(spark, sf), dated_edges(spark, sf), MONTHS)
+    return rounded(rounded(out, 6, "hit_rate", "mrr"), 4, "avg_rank")
+
+
 FEATURES = dict(
     lastly="""SELECT formulation_id, molecule_id, amount FROM components QUALIFY row_number() OVER (PARTITION BY formulation_id, molecule_id ORDER BY position DESC, amount DESC) = 1""",
     cols="SELECT molecule_id, row_number() OVER (ORDER BY molecule_id) - 1 AS i FROM (SELECT DISTINCT molecule_id FROM components)")

@@ -336,6 +336,23 @@ def test_time_slice_ranks_only_hits(spark):
     assert empty["hit_rate"] == 0 and math.isinf(empty["avg_rank"])
 
 
+def test_many_cut_offs_equal_one_at_a_time(spark):
+    rows = [(f"h{i}", f"s{i % 7}", "p", f"{i % 11}", (i * 37 % 100) / 100, "proposed") for i in range(60)] + [("n", None, "p", "1", 0.5, "proposed")]
+    h = spark.createDataFrame(rows, "id string, subject string, predicate string, object string, confidence double, status string")
+    dated = [(f"s{i % 7}", "p", f"{i % 11}", f"2020-{i % 12 + 1:02d}-15" if i % 5 else None) for i in range(40)] + [(None, "p", "1", "2020-12-31")]
+    edges = spark.createDataFrame(dated, "subject string, predicate string, object string, d string").withColumn("edge_date", F.to_date("d"))
+    cutoffs = ["2020-06-15", "2019-01-01"] + [f"2020-{m:02d}-{d}" for m in range(1, 13) for d in ("01", "15")] + ["2020-06-15"]
+    for some in (h, h.limit(0)):
+        got = EV.time_slice_experiment(some, edges, cutoffs).collect()
+        assert sorted(r["cutoff"] for r in got) == sorted(cutoffs)
+        ranked, seen = EV.rank_by_confidence(some).cache(), EV.first_seen(edges).cache()
+        for cutoff in ("2019-01-01", "2020-06-15", "2020-12-15"):
+            post = EV.time_split(seen, cutoff).where("slice = 'post'")
+            want = EV.time_slice_result(EV.mark_time_slice(ranked, post), cutoff).collect()[0]
+            for r in (r for r in got if r["cutoff"] == cutoff):
+                assert r.asDict() == pytest.approx(want.asDict())
+
+
 @pytest.mark.parametrize("pivots,block", [(1, 64), (5, 16), (12, 1000)])
 def test_nearest_is_exact(spark, pivots, block):
     rng = np.random.default_rng(5)
