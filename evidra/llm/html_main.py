@@ -29,6 +29,8 @@ from evidra.llm.textcols import _ODD, _VALUES, texts_of, words_of
 #: A run of at least so many words on at least so many distinct pages of a host is boilerplate.
 RUN, PAGES = 4, 3
 COVERED = 0.8
+#: A block goes if repeated stretches of at least so many words cover ``COVERED`` of it, or repeated words all of it.
+LONG = 8
 TEXT = "page_id long, url string, text string, n_chars long"
 #: Runs whose hash falls on no slot of a run that touches an unmarked block need no count.
 SLOTS = 1 << 20
@@ -46,10 +48,21 @@ RAW = set("script style noscript template textarea title svg math iframe object
 #: Without a close tag these run to the end of the page; the others' content is then read on as markup.
 TO_END = set("script style textarea title".split())
 OUTSIDE = set("nav header footer aside form menu dialog button select option fieldset head".split())
-NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|header|masthead|footer|sidebar|aside|cookies?|"
-    r"consent|notice|alert|popup|modal|newsletter|subscribe|signup|share|social|related|recommended|comments?|disqus|replies|widget|login|search)"
-    r"(?:$|[\s_-])", re.I,
+#: A class or id is page furniture if the whole of it is such a word, with a place before or a box after it: ``site-header``,
+#: ``share-buttons``; ``no-sidebar``, ``entry-header`` and ``related-work`` are not.
+_FURNITURE = (
+    "ads?|adverts?|advertis\\w+|sponsor\\w*|promos?|promotions?|banners?|nav|navbar|navigation|menus?|breadcrumbs?|footer|sidebar|aside|cookies?|"
+    "consent|notices?|alerts?|popup|modal|newsletter|subscribe|signup|share|sharing|social|related|recommended|comments?|disqus|replies|widgets?|login|search"
+)
+_PLACES = "site|main|top|bottom|left|right|primary|secondary|global|mobile|sub|side|page|user|reader|google"
+_BOXES = (
+    "box|bar|block|list|links?|buttons?|icons?|container|wrapper|wrap|section|area|slot|unit|form|panel|posts?|articles?|stories|items?|thread|feed|"
+    "inner|media|toggle|[0-9]+"
+)
+#: The header of a site is furniture, that of an article is part of it.
+_HEADS = "header|masthead"
+NAMED_INSIDE, NAMED = (
+    re.compile(rf"(?:^|\s)(?:(?:{_PLACES})[_-]+)*(?:{w})(?:[_-]+(?:{w}|{_BOXES}))*(?:$|\s)", re.I) for w in (_FURNITURE, f"{_FURNITURE}|{_HEADS}")
 )
 ROLES = re.compile(r"^(?:navigation|banner|contentinfo|complementary|search|alert|dialog|form|menu|menubar)$", re.I)
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
@@ -58,34 +71,39 @@ _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^
 _IMPLIED = {"p": BLOCK - {"li", "html", "body", "head"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
 
 
-def _unwanted(name: str, attributes: str) -> bool:
-    if name in OUTSIDE:
-        return True
+def _unwanted(name: str, attributes: str, article: bool) -> str:
+    """``h`` if the element is hidden, ``x`` if it is page furniture by element, role or name, else empty."""
+    found = "x" if name in OUTSIDE and not (article and name == "header") else ""
     if not attributes or name in ("html", "body", "article", "main"):
-        return False
+        return found
+    named = NAMED_INSIDE if article else NAMED
     for key, *values in _ATTRIBUTE.findall(attributes):
         value, key = "".join(values), key.lower()
         if key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
-        if key == "role" and ROLES.match(value) or key in ("class", "id") and NAMED.search(value):
-            return True
-    return False
+            return "h"
+        if key == "role" and ROLES.match(value) or key in ("class", "id") and named.search(value):
+            found = "x"
+    return found
 
 
 def blocks_of(page: str) -> list[tuple[str, str]]:
     """(text, kind) of every block in page order; kind is ``a`` inside an article, ``x`` inside an unwanted
-    element and ``-`` elsewhere. A page header inside an article is part of it."""
-    out: list[tuple[str, str]] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, unwanted, article
+    element and ``-`` elsewhere. A page header inside an article is part of it. What holds the page's largest
+    article is a wrapper and not unwanted, whatever its element or names, unless it is hidden."""
+    out: list[tuple[str, tuple, int]] = []
+    stack: list[tuple[str, tuple, int]] = []  # element, unwanted elements around, outermost article around or 0
     held: list[str] = []
-    at, n = 0, len(page)
+    sizes: dict[int, tuple[int, tuple]] = {}  # article: characters of its text, unwanted elements around it
+    at, n, elements = 0, len(page), 0
 
     def flush() -> None:
         text = " ".join("".join(held).split())
         held.clear()
         if text:
-            bad, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            out.append((text, "x" if bad else "a" if article else "-"))
+            bad, article = stack[-1][1:] if stack else ((), 0)
+            out.append((text, bad, article))
+            if article and bad == sizes[article][1]:
+                sizes[article] = (sizes[article][0] + len(text), bad)
 
     while at < n:
         tag = _TAG.search(page, at)
@@ -120,10 +138,19 @@ def blocks_of(page: str) -> list[tuple[str, str]]:
             held.append(" ")
         if name in VOID or tag.group(3).endswith("/"):
             continue
-        bad, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        stack.append((name, bad or (_unwanted(name, tag.group(3)) and not (article and name == "header")), article or name in ("article", "main")))
+        bad, article = stack[-1][1:] if stack else ((), 0)
+        mark = _unwanted(name, tag.group(3), bool(article))
+        elements += 1
+        if mark:
+            bad = (*bad, (elements, mark))
+        if name in ("article", "main") and not article:
+            article = elements
+            sizes[article] = (0, bad)
+        stack.append((name, bad, article))
     flush()
-    return out
+    around = max(sizes.values(), key=lambda s: s[0], default=(0, ()))[1]
+    wrappers = {e for e in around if e[1] != "h"}
+    return [(text, "x" if any(e not in wrappers for e in bad) else "a" if article else "-") for text, bad, article in out]
 
 
 def suffix_array(stream: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -171,6 +198,15 @@ def repeated(stream: np.ndarray, page: np.ndarray) -> np.ndarray:
     return np.cumsum(starts[:-1]) > 0
 
 
+def long_stretches(covered: np.ndarray, page: np.ndarray) -> np.ndarray:
+    """The covered words that lie in stretches of at least ``LONG`` of them on one page."""
+    if not len(covered):
+        return covered
+    first = np.flatnonzero(np.concatenate([[True], (covered[1:] != covered[:-1]) | (page[1:] != page[:-1])]))
+    length = np.diff(np.append(first, len(covered)))
+    return covered & (np.repeat(length, length) >= LONG)
+
+
 def _content(blocks: list[str]) -> int:
     return int.from_bytes(hashlib.blake2b("\n".join(blocks).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
@@ -179,7 +215,7 @@ def main_texts(pages: list[tuple[list[str], str]]) -> list[str]:
     """The kept blocks of one host's pages, one line each: the plain form of :func:`main_text`."""
     vocabulary: dict[str, int] = {}
     owners: dict[tuple, int] = {}
-    stream, owner, spans = [], [], []
+    stream, owner, page_of, spans = [], [], [], []
     for p, (blocks, kinds) in enumerate(pages):
         for b, text in enumerate(blocks):
             own = [vocabulary.setdefault(w, len(vocabulary)) for w in words(text)]
@@ -189,11 +225,14 @@ def main_texts(pages: list[tuple[list[str], str]]) -> list[str]:
             owner += [owners.setdefault(tuple(blocks) if once else (p,), len(owners))] * len(own)
         stream.append(-1 - p)
         owner.append(-1)
-    covered = np.concatenate([[0], np.cumsum(repeated(np.array(stream, np.int64), np.array(owner, np.int64)))])
+        page_of += [p] * (len(stream) - len(page_of))
+    common = repeated(np.array(stream, np.int64), np.array(owner, np.int64))
+    long = long_stretches(common, np.array(page_of, np.int64))
+    covered, stretched = (np.concatenate([[0], np.cumsum(c)]) for c in (common, long))
     kept: list[list[str]] = [[] for _ in pages]
     for p, b, lo, hi in spans:
         kind = pages[p][1][b]
-        boiler = kind == "-" and covered[hi] - covered[lo] >= COVERED * (hi - lo)
+        boiler = covered[hi] - covered[lo] == hi - lo or stretched[hi] - stretched[lo] >= COVERED * (hi - lo)
         if kind == "a" or kind == "-" and not boiler:
             kept[p].append(pages[p][0][b])
     return ["\n".join(k) for k in kept]
@@ -257,8 +296,10 @@ class Runs:
         common = self.start[np.isin(self.key, known)]
         np.add.at(starts, common, 1)
         np.add.at(starts, common + RUN, -1)
-        covered = np.bincount(self.block, np.cumsum(starts[:-1]) > 0, len(self.kind))
-        keep = (self.kind == ord("a")) | (self.kind == ord("-")) & (covered < COVERED * self.count)
+        covered = np.cumsum(starts[:-1]) > 0
+        whole, long = (np.bincount(self.block, c, len(self.kind)) for c in (covered, long_stretches(covered, self.page)))
+        boiler = (whole == self.count) | (long >= COVERED * self.count)
+        keep = (self.kind == ord("a")) | (self.kind == ord("-")) & ~boiler
         out, at = [], 0
         for blocks in self.blocks:
             out.append("\n".join(t for t, k in zip(blocks, keep[at : at + len(blocks)]) if k))

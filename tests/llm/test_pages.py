@@ -149,6 +149,28 @@ def test_what_a_host_repeats_goes_and_unique_runs_stay():
     assert html_main.main_texts([([], ""), (["alone"], "-")]) == ["", "alone"]
 
 
+@pytest.mark.parametrize("page, kept", [
+    ('<div id="page" class="site no-sidebar"><p>Story</div>', ["Story"]),
+    ('<article><div class="entry-header"><h1>Title</h1></div><p>Text</article>', ["Title", "Text"]),
+    ('<article><div class="header"><h1>Title</h1></div><div class="related-work"><p>Others</div><div class="related-posts"><p>Read on</div></article>', ["Title", "Others"]),
+    ('<form id="all"><div class="widget"><main><p>Story</main></div><p>Send</form>', ["Story", "Send"]),
+    ('<article><p>The long story</article><aside><article><p>Teaser</article></aside>', ["The long story"]),
+    ('<div class="site-header">Name</div><div id="main-nav">Menu</div><div class="comment-list">Me</div><p class="comments-open">Text', ["Text"]),
+    ('<div hidden><article><p>Draft</article></div><p>Text', ["Text"]),
+])
+def test_names_do_not_decide_on_wrappers_or_parts_of_articles(page, kept):
+    assert [t for t, k in html_main.blocks_of(page) if k != "x"] == kept
+
+
+def test_short_common_phrases_do_not_cut_prose():
+    """Four-word phrases on many pages of a host stay in texts; long repeats go, also where a block goes on."""
+    phrases = [" ".join(f"p{i}w{j}" for j in range(5)) for i in range(6)]
+    prose = [" own{} ".join(phrases[i % 6] for i in range(p, p + 4)).format(*(f"{p}a{j}" for j in range(3))) for p in range(12)]
+    bar = "one long notice that the whole host repeats on each page"
+    pages = [([t, f"{bar} on day{p}", f"{bar} then"], "---") for p, t in enumerate(prose)]
+    assert html_main.main_texts(pages) == prose
+
+
 def test_copies_of_an_unmarked_page_keep_their_text():
     text = [" ".join(f"w{j}" for j in range(50)), "and a last line of it"]
     assert html_main.main_texts([(text, "--")] * 3) == ["\n".join(text)] * 3
