@@ -7,10 +7,11 @@ every other word goes to one of ``TAILS`` buckets by its length and letters, whi
 and within its bucket has its smoothed share of the counts. A text's score is the sum over all its tokens,
 with the network's state carried from window to window, so it is the likelihood of the whole document.
 
-The network is trained where the data are: the training documents are dealt over ``ROUNDS`` rounds by a
-hash, and in each round every task trains the shared weights on its part of the round's documents, by
-truncated backpropagation; the weights are averaged by the words they saw. So each document is learned
-from once, and training grows with the input as the counts do.
+Training documents are dealt by a hash to ``ROUNDS`` rounds of blocks of about ``BLOCK_WORDS`` words, written
+once as symbols. In each round every block trains its copy of the shared weights by truncated backpropagation,
+its documents in the order of their hashes; the copies are averaged by the words they saw. So each document is
+learned from once, training grows with the input as the counts do, and the scores do not follow the layout of
+the input. (Only rows that repeat both id and text are dealt by where they stand, so that they fill no block.)
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evidra.llm import gru
-from evidra.llm.common import batch, crc_part, written
+from evidra.llm.common import batch, crc_part, mixed, written
 from evidra.llm.textcols import Words, slices, texts_of, words_of
 
 UNITS = 32
@@ -33,6 +34,7 @@ TAILS = 27
 #: Counts of so many most frequent words, at most, go to the tasks; those of the others are joined.
 HEAD = 1 << 20
 ROUNDS = 3
+BLOCK_WORDS = 1_000_000
 LANES, WINDOW = 1024, 32
 TRAIN_LANES, TRAIN_WINDOW, TRAIN_STEPS, RATE = 256, 24, 32, 0.02
 FAN_IN = 64
@@ -40,6 +42,7 @@ _LN10 = math.log(10)
 COUNT = "h long, tail int, c long"
 PART = "kind int, uid long, doc_id long, held boolean, h long, n long, known long, base double, score double"
 WEIGHTS = "part long, words long, data binary"
+SYMBOLS = "round long, block long, hash long, symbols binary"
 
 
 def tails_of(raw: np.ndarray, w: Words) -> np.ndarray:
@@ -160,25 +163,35 @@ def train(p: dict[str, np.ndarray], symbols: np.ndarray, rate: float = RATE) ->
         states, kept = gru.run(p, x, h, keep)
         h = states[-1]
         flat, target = states.reshape(-1, UNITS), y.ravel()
-        klass = target // CLASS
-        d = gru.softmax(flat @ p["class_w"] + p["class_b"])
-        d[np.arange(len(d)), klass] -= 1
-        d /= len(d)
-        d_states = d @ p["class_w"].T
-        grads = {"class_w": flat.T @ d, "class_b": d.sum(0), "word_w": np.zeros_like(p["word_w"]), "word_b": np.zeros_like(p["word_b"])}
+        klass, share = target // CLASS, np.float32(1 / target.size)
+        d = _softmax(p["class_w"].T @ flat.T + p["class_b"][:, None])
+        d[klass, np.arange(len(flat))] -= 1
+        d *= share
+        d_states = (p["class_w"] @ d).T
+        grads = {"class_w": (d @ flat).T, "class_b": d.sum(1), "word_w": np.zeros_like(p["word_w"]), "word_b": np.zeros_like(p["word_b"])}
         order = np.argsort(klass, kind="stable")
         edges = np.searchsorted(klass[order], np.arange(CLASSES + 2))
+        ordered, place, d_words = flat[order], target[order] % CLASS, np.empty_like(flat)
         for k in np.flatnonzero(np.diff(edges)).tolist():
-            rows, span = order[edges[k] : edges[k + 1]], slice(k * CLASS, min((k + 1) * CLASS, len(p["word_b"])))
-            e = gru.softmax(flat[rows] @ p["word_w"][span].T + p["word_b"][span])
-            e[np.arange(len(rows)), target[rows] - k * CLASS] -= 1
-            e /= len(d)
-            grads["word_w"][span], grads["word_b"][span] = e.T @ flat[rows], e.sum(0)
-            d_states[rows] += e @ p["word_w"][span]
+            a, b, span = edges[k], edges[k + 1], slice(k * CLASS, min((k + 1) * CLASS, len(p["word_b"])))
+            e = _softmax(p["word_w"][span] @ ordered[a:b].T + p["word_b"][span][:, None])
+            e[place[a:b], np.arange(b - a)] -= 1
+            e *= share
+            grads["word_w"][span], grads["word_b"][span] = e @ ordered[a:b], e.sum(1)
+            d_words[a:b] = e.T @ p["word_w"][span]
+        d_states[order] += d_words
         grads |= gru.back(p, x, kept, d_states.reshape(states.shape), keep)
         adam.update(grads, rate * min(1.0, 2 * (1 - i / steps)))
 
 
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """Over the rows of each column, in place."""
+    x -= x.max(0)
+    np.exp(x, out=x)
+    x /= x.sum(0)
+    return x
+
+
 class Scorer:
     """Log10 probabilities of symbol sequences under given weights."""
 
@@ -257,43 +270,75 @@ def unpacked_weights(data: bytes, like: dict[str, np.ndarray]) -> dict[str, np.n
 
 
 def _averaged(rows: pa.Table) -> pa.Table:
+    rows = rows.sort_by("part")
     words = np.array(rows.column("words").to_pylist(), np.float64)
     total = sum(np.frombuffer(d, np.float32) * np.float64(n) for d, n in zip(rows.column("data").to_pylist(), words))
     mean = (total / words.sum()).astype(np.float32)
-    return pa.Table.from_batches([batch(WEIGHTS, [rows.column("part")[0].as_py()], [int(words.sum())], [mean.tobytes()])])
+    return pa.Table.from_batches([batch(WEIGHTS, [rows.column("part")[0].as_py() // FAN_IN], [int(words.sum())], [mean.tobytes()])])
+
 
+def dealt(learning: DataFrame, v, blocks: int) -> DataFrame:
+    """The symbols of every training document with its round and block; ``learning`` has text and hash."""
 
-def trained(learning: DataFrame, v, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Weights after all rounds; ``learning`` has text and the round of each document."""
+    def symbols(batches):
+        task, number = np.uint64(TaskContext.get().partitionId()) << np.uint64(40), 0
+        for rows in batches:
+            for part in slices(rows, "text"):
+                texts = texts_of(part.column("text"))
+                w = words_of(texts)
+                flat = v.value.symbols(texts.raw, w)[0].astype(np.uint16).tobytes()
+                ends = 2 * np.cumsum(w.count + 1)
+                own = part.column("hash").to_numpy().view(np.uint64)
+                again = np.ones(len(own), bool)
+                again[np.unique(own, return_index=True)[1]] = False
+                place = np.where(again, task + np.arange(number, number + len(own), dtype=np.uint64), 0).astype(np.uint64)
+                number += len(own)
+                to = mixed(own ^ mixed(place)) % np.uint64(ROUNDS * blocks)
+                data = [flat[a:b] for a, b in zip((ends - 2 * (w.count + 1)).tolist(), ends.tolist())]
+                yield batch(SYMBOLS, (to % np.uint64(ROUNDS)).astype(np.int64), (to // np.uint64(ROUNDS)).astype(np.int64), own.view(np.int64), data)
+
+    return written(learning.select("text", "hash").mapInArrow(symbols, SYMBOLS))
+
+
+def trained(learning: DataFrame, like: dict[str, np.ndarray], blocks: int) -> dict[str, np.ndarray]:
+    """Weights after all rounds over the documents' symbols; ``learning`` is what :func:`dealt` gives."""
     context = learning.sparkSession.sparkContext
     p = like
     for number in range(ROUNDS):
         held = context.broadcast(p)
 
         def fit(batches, held=held, number=number):
-            own, seen, streams = {k: w.copy() for k, w in held.value.items()}, 0, []
+            """Copies of the blocks of this task, which come one after another; at most ``BLOCK_WORDS`` and a text are held."""
+            own, block, seen, waiting, size = None, None, 0, [], 0
 
             def learn():
-                train(own, np.concatenate(streams), RATE / (1 + number))
-                streams.clear()
+                train(own, np.concatenate(waiting).astype(np.int64), RATE / (1 + number))
+                waiting.clear()
 
             for rows in batches:
-                for part in slices(rows, "text"):
-                    texts = texts_of(part.column("text"))
-                    streams.append(v.value.symbols(texts.raw, words_of(texts))[0])
-                    seen += len(streams[-1])
-                    if sum(map(len, streams)) > 1_000_000:
+                of, data = rows.column("block").to_pylist(), rows.column("symbols")
+                for b, text in zip(of, data):
+                    if b != block:
+                        if seen:
+                            learn() if waiting else None
+                            yield batch(WEIGHTS, [block], [seen], [packed_weights(own)])
+                        own, block, seen, size = {k: w.copy() for k, w in held.value.items()}, b, 0, 0
+                    waiting.append(np.frombuffer(text.as_buffer(), np.uint16))
+                    seen, size = seen + len(waiting[-1]), size + len(waiting[-1])
+                    if size > 2 * BLOCK_WORDS:
                         learn()
-            if streams:
-                learn()
+                        size = 0
             if seen:
-                yield batch(WEIGHTS, [TaskContext.get().partitionId()], [seen], [packed_weights(own)])
+                learn() if waiting else None
+                yield batch(WEIGHTS, [block], [seen], [packed_weights(own)])
 
-        weights = written(learning.where(F.col("round") == number).select("text").mapInArrow(fit, WEIGHTS))
+        now = learning.where(F.col("round") == number).select("block", "hash", "symbols")
+        now = now.repartition(blocks, "block").sortWithinPartitions("block", "hash", "symbols")
+        weights = written(now.mapInArrow(fit, WEIGHTS))
         while weights.count() > FAN_IN:
-            group = F.floor(F.col("part") / FAN_IN).cast("long").alias("part")
-            weights = written(weights.select(group, "words", "data").groupBy("part").applyInArrow(_averaged, WEIGHTS))
-        rows = weights.orderBy("part").toArrow()  # at most FAN_IN rows
+            group = F.floor(F.col("part") / FAN_IN).alias("group")
+            weights = written(weights.withColumn("group", group).groupBy("group").applyInArrow(lambda t: _averaged(t.drop_columns("group")), WEIGHTS))
+        rows = weights.toArrow()  # at most FAN_IN rows
         if rows.num_rows:
             p = unpacked_weights(_averaged(rows).column("data")[0].as_py(), like)
     return p
@@ -314,8 +359,9 @@ def scored(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
     counts = written(learning.select("text").mapInArrow(_counts, COUNT).groupBy("h").agg(F.min("tail").alias("tail"), F.sum("c").alias("c")))
     vocabulary = Vocabulary(counts, learning.count())
     v = context.broadcast(vocabulary)
-    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)).alias("round")
-    weights = context.broadcast(trained(learning.select("text", part), v, start_weights(vocabulary)))
+    blocks = max(1, round(vocabulary.words / (ROUNDS * BLOCK_WORDS)))
+    symbols = dealt(learning.select("text", F.xxhash64("doc_id", "text").alias("hash")), v, blocks)
+    weights = context.broadcast(trained(symbols, start_weights(vocabulary), blocks))
 
     def score(batches):
         vocabulary, scorer = v.value, Scorer(weights.value)

@@ -407,13 +407,28 @@ def test_every_training_document_is_learned_from_once(docs, rows, monkeypatch):
     """A bounded share of the documents would reach few of the words."""
     seen, real = [], lm.trained
 
-    def spy(learning, v, like):
-        seen.extend(learning.where(F.col("round").between(0, lm.ROUNDS - 1)).select("text").collect())
-        return real(learning, v, like)
+    def spy(learning, like, blocks):
+        seen.extend(learning.where(F.col("round").between(0, lm.ROUNDS - 1)).where(F.col("block").between(0, blocks - 1)).collect())
+        return real(learning, like, blocks)
 
     monkeypatch.setattr(lm, "trained", spy)
+    monkeypatch.setattr(lm, "BLOCK_WORDS", 50)
     lm.scored(docs).count()
-    assert Counter(r.text for r in seen) == Counter(t for i, t in rows if not held_out(i))
+    assert Counter(len(r.symbols) // 2 for r in seen) == Counter(len(words(t)) + 1 for i, t in rows if not held_out(i))
+
+
+@pytest.mark.parametrize("block_words", [1_000_000, 150])
+def test_scores_do_not_follow_the_layout(spark, monkeypatch, block_words):
+    """One block, and so many that copies are averaged in groups."""
+    monkeypatch.setattr(lm, "BLOCK_WORDS", block_words)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{w}" for w in rng.zipf(1.4, 60 + i % 50) % 3000) for i in range(400)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    first = None
+    for parts in (1, 8, 50):
+        got = {r.doc_id: r.score for r in lm.scored(table.repartition(parts, F.rand(parts))).collect()}
+        first = first or got
+        assert max(abs(got[i] - first[i]) / abs(first[i]) for i in first) < 1e-5
 
 
 def test_training_leaves_no_short_text_out():
