@@ -65,13 +65,48 @@ def test_global_rank_does_not_depend_on_partitions(spark, partitions):
     assert list(out["id"]) == list(expected["id"]) and list(out["rank"]) == list(range(1, 501))
 
 
-def test_t_tail_against_tables():
+def t_tails(spark, rows):
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t double, dof double")
+    return [r.p for r in table.withColumn("p", P.t_pvalue(F.col("t"), F.col("dof"))).orderBy("i").collect()]
+
+
+def test_t_tail_against_tables(spark):
     # Two-sided 5 % and 1 % critical values.
-    t = np.array([12.706, 2.228, 1.960, 63.657, 2.576, 0.0])
-    dof = np.array([1, 10, 1e9, 1, 1e9, 5])
-    assert np.allclose(P.t_two_sided(t, dof), [0.05, 0.05, 0.05, 0.01, 0.01, 1.0], atol=2e-4)
-    assert np.isnan(P.t_two_sided(np.array([np.nan, 1.0]), np.array([3.0, 0.0]))).all()
-    assert P.t_two_sided(np.array([np.inf]), np.array([3.0]))[0] == 0
+    t = [12.706, 2.228, 1.960, 63.657, -2.576, 0.0]
+    dof = [1.0, 10.0, 1e9, 1.0, 1e9, 5.0]
+    assert np.allclose(t_tails(spark, zip(t, dof)), [0.05, 0.05, 0.05, 0.01, 0.01, 1.0], atol=2e-4)
+    inf, nan = float("inf"), float("nan")
+    assert t_tails(spark, [(nan, 3.0), (1.0, 0.0), (None, 3.0), (1.0, None), (1.0, -2.0)]) == [None] * 5
+    assert t_tails(spark, [(inf, 3.0), (-inf, 3.0)]) == [0.0, 0.0]
+
+
+def test_t_tail_against_closed_forms(spark):
+    """One formula from one degree of freedom to a million millions, in the far tail as well."""
+    steps = [0.0, 1e-6, 0.01, 0.3, 1.0, 2.5, 6.0, 40.0, 1e4]
+    rows, want = [], []
+    for t in steps:
+        rows += [(t, 1.0), (t, 2.0)]
+        want += [2 / math.pi * math.atan2(1, t), 2 / (math.sqrt(2 + t * t) * (math.sqrt(2 + t * t) + t))]
+        for dof in (4, 30, 1000, 20_000):  # finite series for even numbers
+            sine, cosine2 = t / math.sqrt(dof + t * t), dof / (dof + t * t)
+            term = total = 1.0
+            for k in range(1, dof // 2):
+                term *= (2 * k - 1) / (2 * k) * cosine2
+                total += term
+            rows.append((t, float(dof)))
+            want.append(1 - sine * total)
+        rows += [(t, 1e12)]
+        want.append(math.erfc(t / math.sqrt(2)))
+    got = t_tails(spark, rows)
+    assert np.abs(np.array(got) - want).max() < 1e-10
+    far = {r: g for r, g in zip(rows, got)}
+    assert math.isclose(far[6.0, 1e12], math.erfc(6 / math.sqrt(2)), rel_tol=1e-9)
+    assert math.isclose(far[1e4, 1.0], 2 / math.pi * math.atan2(1, 1e4), rel_tol=1e-9)
+
+
+def test_t_tail_stays_in_the_jvm(spark):
+    plan = spark.range(3).select(P.t_pvalue(F.col("id"), F.lit(4)))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "ArrowEval" not in plan
 
 
 def test_presence_effect_brute_force(mixtures):
