@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from evidra import bindings as B
 from evidra.catalog import query
 from evidra.catalog.common import rounded
-from evidra.catalog.sqlparts import with_
+from evidra.catalog.sqlparts import t_tail, with_
 from evidra.operators import evaluation as E, linkpred as L, relational as R
 
 RANKS = "SELECT event_type, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM events"
@@ -124,6 +124,69 @@ def ablation_study(spark, sf):
     return E.ablation_results(errors)
 
 
+@query("sparse_feature_rows", "W-102", with_("components", """
+    SELECT o_orderkey AS formulation_id, o_totalprice AS label, count(amount) AS n_features,
+           coalesce(string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) FILTER (amount IS NOT NULL), '') AS indices, round(coalesce(sum(amount * (i + 1)), 0), 4) AS weighted
+    FROM orders LEFT JOIN lastly ON formulation_id = o_orderkey LEFT JOIN cols USING (molecule_id) GROUP BY o_orderkey, o_totalprice""", **FEATURES))
+def sparse_feature_rows(spark, sf):
+    rows = E.sparse_features(B.components(spark, sf), E.first_labels(B.order_measurements(spark, sf), "totalprice"))[1]
+    weighted = F.aggregate(F.zip_with("indices", "amounts", lambda i, a: a * (i + 1)), F.lit(0.0), lambda t, v: t + v)
+    out = rows.select("formulation_id", "label", F.size("indices").cast("bigint").alias("n_features"), F.array_join("indices", ",").alias("indices"), weighted.alias("weighted"))
+    return rounded(out, 4, "weighted")
+
+
+#: Columns of the linear fits in SQL: 0 the constant, 1 to 25 the components, 26 the hypothesis' indicator, 27 the label.
+LINEAR = dict(
+    FEATURES,
+    asked="""SELECT molecule_id, 'h:' || molecule_id AS hypothesis_id, count(DISTINCT formulation_id) AS confidence FROM components GROUP BY 1
+             QUALIFY row_number() OVER (ORDER BY confidence DESC, hypothesis_id) <= 5 UNION ALL SELECT NULL, 'base', 0""",
+    x="""SELECT o_orderkey AS f, 0 AS j, 1.0::DOUBLE AS v FROM orders UNION ALL SELECT o_orderkey, 27, o_totalprice FROM orders
+         UNION ALL SELECT formulation_id, i + 1, amount FROM lastly JOIN cols USING (molecule_id) WHERE formulation_id IN (SELECT o_orderkey FROM orders)""",
+    xh="""SELECT hypothesis_id AS h, f, j, v FROM asked, x UNION ALL
+          SELECT hypothesis_id, formulation_id, 26, 1 FROM lastly JOIN asked USING (molecule_id) WHERE amount > 0""",
+    own="SELECT a.h, a.f % 4 AS fold, a.j AS i, b.j AS j, sum(a.v * b.v) AS s FROM xh a JOIN xh b ON a.h = b.h AND a.f = b.f GROUP BY ALL",
+    grid="SELECT h, fold, i, j FROM (SELECT DISTINCT h FROM xh), range(4) a(fold), range(28) b(i), range(28) c(j)",
+    grams="SELECT h, fold, i, j, coalesce(s, 0) AS s, sum(coalesce(s, 0)) OVER (PARTITION BY h, i, j) - coalesce(s, 0) AS rest FROM grid LEFT JOIN own USING (h, fold, i, j)",
+    el="""SELECT h, fold, 0 AS k, i, j, rest + CASE WHEN i = j THEN 0.001 ELSE 0 END AS v FROM grams WHERE i <= 26 UNION ALL
+          SELECT e.h, e.fold, e.k + 1, e.i, e.j, CASE WHEN e.i = e.k THEN e.v / p.v ELSE e.v - c.v * r.v / p.v END
+          FROM el e JOIN el p ON p.h = e.h AND p.fold = e.fold AND p.i = e.k AND p.j = e.k JOIN el r ON r.h = e.h AND r.fold = e.fold AND r.i = e.k AND r.j = e.j
+          JOIN el c ON c.h = e.h AND c.fold = e.fold AND c.i = e.i AND c.j = e.k WHERE e.k < 27""",
+    w="SELECT h, fold, i, -v AS w FROM el WHERE k = 27 AND j = 27 UNION ALL SELECT DISTINCT h, fold, 27, 1.0 FROM grams",
+    errors="""SELECT h, fold, sqrt(sum(a.w * b.w * s) / max(s) FILTER (i = 0 AND j = 0)) AS e
+              FROM grams JOIN w a USING (h, fold, i) JOIN (SELECT h, fold, i AS j, w FROM w) b USING (h, fold, j) GROUP BY ALL""",
+    folds="SELECT a.h AS hypothesis_id, a.fold, b.e AS a, a.e AS b FROM errors a JOIN errors b ON b.fold = a.fold AND b.h = 'base' WHERE a.h <> 'base'")
+
+
+def _linear(spark, sf):
+    components = B.components(spark, sf)
+    hypotheses = components.groupBy("molecule_id").agg(F.count_distinct("formulation_id").alias("confidence"))
+    hypotheses = hypotheses.withColumn("hypothesis_id", F.concat(F.lit("h:"), "molecule_id"))
+    top = hypotheses.orderBy(F.desc("confidence"), "hypothesis_id").limit(5)
+    return components, E.first_labels(B.order_measurements(spark, sf), "totalprice"), top
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("linear_ablation_errors", "W-103", _recursive(with_("components", """
+    SELECT hypothesis_id, fold, round(a, 2) AS baseline_rmse, round(b, 2) AS with_edge_rmse FROM folds""", **LINEAR)))
+def linear_ablation_errors(spark, sf):
+    out = E.linear_errors(*_linear(spark, sf), n_folds=4, fold=F.col("formulation_id") % 4)
+    return rounded(out.withColumn("fold", F.col("fold").cast("bigint")), 2, "baseline_rmse", "with_edge_rmse")
+
+
+@query("linear_ablation", "W-103 W-104", _recursive(with_("components", f"""
+    SELECT hypothesis_id, round(a, 2) AS baseline_rmse, round(b, 2) AS with_edge_rmse, k AS num_folds, round(b - a, 2) AS delta_rmse, round((a - b) / a, 6) AS relative_improvement,
+           round({{p}}, 4) AS p_value, {{p}} < 0.05 AND b < a AS is_significant, round(greatest(a - b, 0), 2) AS model_lift,
+           CASE WHEN {{p}} < 0.05 AND b < a THEN 'validated' WHEN b - a > 0.05 * a THEN 'rejected' ELSE 'proposed' END AS status FROM r""".replace("{p}", "p"),
+    **LINEAR, r0="SELECT hypothesis_id, avg(a) AS a, avg(b) AS b, count(*) AS k, avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))) AS t FROM folds GROUP BY 1",
+    r=f"SELECT *, {t_tail('t', '(k - 1)')} AS p FROM r0")))
+def linear_ablation(spark, sf):
+    out = E.linear_ablation(*_linear(spark, sf), n_folds=4, top_k=5, fold=F.col("formulation_id") % 4).drop("t")
+    return rounded(rounded(rounded(out, 2, "baseline_rmse", "with_edge_rmse", "delta_rmse", "model_lift"), 6, "relative_improvement"), 4, "p_value")
+
+
 FOLDS = """SELECT l_returnflag || l_linestatus AS hypothesis_id, l_linenumber AS fold, avg(l_quantity) AS a, avg(l_quantity * (1 - l_discount / 10)) AS b FROM lineitem GROUP BY ALL"""
 
 

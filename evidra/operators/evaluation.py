@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evidra.functions import pvalues
 from evidra.operators.ranking import global_row_number
 from evidra.operators.relational import SPO, triples
+from evidra.operators.skew import checked_lookup
 from evidra.session import cut_lineage
 
 MAX_FEATURES = 2_000
+#: Square matrices of so many components, one for each fold, are solved by :func:`linear_ablation`.
+GRAM_FEATURES = 1_000
 
 
 def ranking_metrics(ranks: DataFrame, rank: str = "rank", by: tuple[str, ...] = ()) -> DataFrame:
@@ -207,6 +212,124 @@ def ablation_results(errors: DataFrame, alpha: float = 0.05) -> DataFrame:
     )
 
 
+def sparse_features(components: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Component numbers (molecule_id, idx) in order of the ids, and one sparse row per labelled formulation.
+
+    Rows are (formulation_id, label, indices, amounts), indices ascending, with the last listed amount of
+    each component that is not null. A row holds its own components only, so their number overall is free.
+    """
+    ids = global_row_number(components.select("molecule_id").where("molecule_id IS NOT NULL").distinct(), [F.col("molecule_id")], "idx")
+    ids = cut_lineage(ids.withColumn("idx", F.col("idx") - 1))
+    last = components.groupBy("formulation_id", "molecule_id").agg(F.max_by("amount", F.struct("position", "amount")).alias("amount"))
+    # Amounts are one row per formulation and component by now, so a component in a third of all formulations is the only hot key.
+    entries = checked_lookup(last.where("amount IS NOT NULL"), ids, "molecule_id").where("idx IS NOT NULL")
+    rows = entries.groupBy("formulation_id").agg(F.sort_array(F.collect_list(F.struct("idx", "amount"))).alias("e"))
+    entry = "array<struct<idx:bigint,amount:double>>"
+    out = labels.select("formulation_id", "label").join(rows, "formulation_id", "left")
+    out = out.withColumn("e", F.coalesce(F.col("e").cast(entry), F.array().cast(entry)))
+    return ids, out.select("formulation_id", "label", F.col("e.idx").alias("indices"), F.col("e.amount").alias("amounts"))
+
+
+def fold_grams(rows: DataFrame, indicated: DataFrame, fold: Column) -> DataFrame:
+    """(fold, a, b, s): sums of products of columns a <= b over the rows of a fold, in one aggregation.
+
+    Columns from 0 on are components, -1 is the constant, -2 the label and -3 - i the indicator of component i,
+    for the ``indicated`` (idx) ones. Products are summed before the shuffle; indicators meet no other indicator.
+    """
+    wanted = [r.idx for r in indicated.select("idx").distinct().collect()]  # at most GRAM_FEATURES numbers
+    entries = F.arrays_zip(F.col("indices").alias("i"), F.col("amounts").alias("x"))
+    rows = rows.where("label IS NOT NULL").select(fold.alias("fold"), "label", entries.alias("e"))
+    pair = lambda i, x: F.struct(i.cast("long").alias("i"), x.cast("double").alias("x"))
+    present = F.filter("e", lambda e: (e["x"] > 0) & e["i"].isin(wanted))
+    whole = F.concat(
+        F.array(pair(F.lit(-1), F.lit(1)), pair(F.lit(-2), F.col("label"))), F.transform("e", lambda e: pair(e["i"], e["x"])),
+        F.transform(present, lambda e: pair(-3 - e["i"], F.lit(1))),
+    )
+    pairs = rows.select("fold", whole.alias("e")).select("fold", "e", F.explode("e").alias("p")).select("fold", "p", F.explode("e").alias("q"))
+    a, b = F.col("p.i"), F.col("q.i")
+    return pairs.where((a <= b) & ((b > -3) | (a == b))).groupBy("fold", a.alias("a"), b.alias("b")).agg(F.sum(F.col("p.x") * F.col("q.x")).alias("s"))
+
+
+def linear_errors(
+    components: DataFrame, labels: DataFrame, hypotheses: DataFrame, n_folds: int = 5, ridge: float = 1e-3, fold: Column | None = None,
+) -> DataFrame:
+    """(hypothesis_id, fold, baseline_rmse, with_edge_rmse) of ridge regressions, without fitting one by one.
+
+    ``hypotheses(hypothesis_id, molecule_id)``. One aggregation gives each fold's sums of products; a fold is fitted
+    on the totals less its own, and its error follows from its own. A hypothesis adds the indicator of its component
+    by a block update of the fold's inverse, all hypotheses in parallel. One whose component does not occur adds
+    nothing. Fewer than two rows a fold on average give no errors. Up to ``GRAM_FEATURES`` components; beyond, use
+    :func:`ablation_errors` with a distributed estimator.
+    """
+    ids, rows = sparse_features(components, labels)
+    size = ids.count()
+    if size > GRAM_FEATURES:
+        raise ValueError(f"more than {GRAM_FEATURES} components")
+    fold = F.pmod(F.xxhash64("formulation_id"), F.lit(n_folds)).cast("int") if fold is None else fold.cast("int")
+    asked = hypotheses.select("hypothesis_id", "molecule_id").join(F.broadcast(ids), "molecule_id", "left")
+    grams = cut_lineage(fold_grams(rows, asked.where("idx IS NOT NULL"), fold))
+    base = np.zeros((n_folds, size + 2, size + 2))  # label, constant, components
+    known = grams.where("a >= -2").toPandas()  # at most n_folds * (GRAM_FEATURES + 2) ** 2 / 2 rows
+    f, a, b, s = (known[c].to_numpy() for c in ("fold", "a", "b", "s"))
+    base[f, a + 2, b + 2] = base[f, b + 2, a + 2] = s
+    spark = components.sparkSession
+    schema = "idx bigint, fold int, with_edge_rmse double"
+    folds = np.flatnonzero(base[:, 1, 1])
+    if base[:, 1, 1].sum() < 2 * n_folds:
+        folds = folds[:0]
+    total, fits = base.sum(0), {}
+    for k in folds.tolist():
+        train = total - base[k]
+        inverse = np.linalg.inv(train[1:, 1:] + ridge * np.eye(size + 1))
+        fits[k] = (inverse, inverse @ train[1:, 0])
+
+    def rmse(own: np.ndarray, w: np.ndarray) -> float:
+        """From the sums of a fold, label first, and weights."""
+        error = np.concatenate([[1.0], -w])
+        return float(np.sqrt(max(error @ own @ error, 0.0) / own[1, 1]))
+
+    held = spark.sparkContext.broadcast((base, fits))
+
+    def updated(part: pd.DataFrame) -> pd.DataFrame:
+        own, fitted = held.value
+        z = np.zeros((n_folds, size + 3))  # products of the indicator with label, constant, components and itself
+        at = part["b"].to_numpy()
+        z[part["fold"], np.where(at <= -3, size + 2, at + 2)] = part["s"]
+        out = []
+        for k, (inverse, w) in fitted.items():
+            train = z.sum(0) - z[k]
+            shared = inverse @ train[1:-1]
+            weight = (train[0] - train[1:-1] @ w) / (train[-1] + ridge - train[1:-1] @ shared)
+            whole = np.block([[own[k], z[k, :-1, None]], [z[k]]])
+            out.append((-3 - part["a"].iloc[0], k, rmse(whole, np.append(w - shared * weight, weight))))
+        return pd.DataFrame(out, columns=["idx", "fold", "with_edge_rmse"])
+
+    changed = grams.where("a <= -3").groupBy("a").applyInPandas(updated, schema)
+    fitted = [F.struct(F.lit(k).alias("fold"), F.lit(rmse(base[k], w)).alias("baseline_rmse")) for k, (_, w) in fits.items()]
+    if not fitted:
+        return spark.createDataFrame([], "hypothesis_id string, fold int, baseline_rmse double, with_edge_rmse double")
+    every = asked.select("hypothesis_id", "idx", F.inline(F.array(*fitted)))
+    return every.join(changed, ["idx", "fold"], "left").select(
+        "hypothesis_id", "fold", "baseline_rmse", F.coalesce("with_edge_rmse", "baseline_rmse").alias("with_edge_rmse")
+    )
+
+
+def linear_ablation(
+    components: DataFrame, labels: DataFrame, hypotheses: DataFrame, n_folds: int = 5, top_k: int | None = None, **fitting,
+) -> DataFrame:
+    """:func:`ablation_results` of :func:`linear_errors` for all hypotheses, or the ``top_k`` by (confidence, id).
+
+    Where there are too few rows to fit, every hypothesis gets the row of an undecided one: no errors, no folds.
+    """
+    if top_k is not None:
+        hypotheses = cut_lineage(hypotheses.orderBy(F.desc("confidence"), "hypothesis_id").limit(top_k))
+    results = ablation_results(linear_errors(components, labels, hypotheses, n_folds, **fitting))
+    out = hypotheses.select("hypothesis_id").join(results, "hypothesis_id", "left")
+    undecided = {"delta_rmse": 0.0, "relative_improvement": 0.0, "model_lift": 0.0, "num_folds": 0, "is_significant": False, "status": "proposed"}
+    rmses = {c: F.coalesce(c, F.lit(float("nan"))) for c in ("baseline_rmse", "with_edge_rmse")}
+    return out.withColumns(rmses | {c: F.coalesce(c, F.lit(v)) for c, v in undecided.items()})
+
+
 def ablation_summary(results: DataFrame) -> DataFrame:
     significant = F.when(F.col("is_significant"), F.col("relative_improvement"))
     return results.agg(
