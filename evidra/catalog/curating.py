@@ -48,7 +48,7 @@ def rule_hypotheses(spark, sf):
 
 
 @query("hypothesis_batch", "W-105", with_("components measurements", """
-    WITH known AS (SELECT DISTINCT p_brand AS subject, 'coOccursWith' AS predicate, 'Brand#9' AS object FROM part WHERE p_size = 50),
+    WITH known AS (SELECT p_brand AS subject, 'coOccursWith' AS predicate, 'Brand#9' AS object FROM part GROUP BY 1 HAVING 2 * sum(p_size) >= 51 * count(*)),
     u AS (SELECT * FROM pattern_h UNION ALL SELECT * FROM rule_h),
     fresh AS (SELECT * FROM u WHERE confidence >= 0.01 AND (subject, predicate, object) NOT IN (SELECT (subject, predicate, object) FROM known)),
     eff AS (SELECT * FROM fresh WHERE predicate IN ('increases', 'decreases')),
@@ -57,8 +57,8 @@ def rule_hypotheses(spark, sf):
     UNION ALL SELECT subject, predicate, object, round(confidence, 6) FROM oth WHERE rn <= greatest(0, 60 - (SELECT count(*) FROM eff))""", **PATTERN_CTES).replace(
         "\nWITH known AS", ",\nknown AS"))
 def hypothesis_batch(spark, sf):
-    known = B.table(spark, sf, "part").where("p_size = 50").select(
-        F.col("p_brand").alias("subject"), F.lit("coOccursWith").alias("predicate"), F.lit("Brand#9").alias("object"))
+    large = B.table(spark, sf, "part").groupBy(F.col("p_brand").alias("subject")).agg(F.expr(LARGE).alias("large")).where("large")
+    known = large.select("subject", F.lit("coOccursWith").alias("predicate"), F.lit("Brand#9").alias("object"))
     rules = H.rules_to_hypotheses(M.co_occurrence_rules(B.components(spark, sf), min_confidence=0.05), 0.05)
     patterns = H.patterns_to_hypotheses(_patterns(spark, sf), min_correlation=0.01)
     batch = H.select_batch([patterns, rules], known, max_candidates=60, min_confidence=0.01)
@@ -73,13 +73,16 @@ def top_hypotheses(spark, sf):
 
 # --- the loop: propose, score, evaluate ---
 
-MIN_CONF, ALPHA, TOP = 0.01, 0.5, 200
+MIN_CONF, ALPHA = 0.01, 0.5
+#: What the loop finds in the graph, from all parts: brands of large parts and of small ones.
+LARGE = "2 * sum(p_size) >= 51 * count(*)"
 LOOP_CTES = {
     **MQ.LIFT_CTES, **MQ.CORR_CTES, **MQ.CAUSAL_CTES,
-    "mols": "SELECT DISTINCT p_brand AS id FROM part WHERE p_size = 10",
-    "known": """SELECT DISTINCT p_brand AS subject, CASE WHEN p_size = 50 THEN 'increases' ELSE 'decreases' END AS predicate, 'property:quantity' AS object
-                FROM part WHERE p_size IN (49, 50) UNION SELECT DISTINCT p_brand, 'coOccursWith', 'Brand#9' FROM part WHERE p_size = 1""",
-    "earlier": "SELECT DISTINCT p_brand AS subject, 'coOccursWith' AS predicate, 'Brand#8' AS object FROM part WHERE p_size = 2",
+    "brands": f"SELECT p_brand AS subject, {LARGE} AS large FROM part GROUP BY 1",
+    "mols": "SELECT subject AS id FROM brands WHERE large",
+    "known": """SELECT subject, CASE WHEN large THEN 'increases' ELSE 'decreases' END AS predicate, 'property:quantity' AS object FROM brands
+                UNION ALL SELECT subject, 'coOccursWith', 'Brand#9' FROM brands WHERE large""",
+    "earlier": "SELECT subject, 'coOccursWith' AS predicate, 'Brand#8' AS object FROM brands",
     "props": f"""
         SELECT 'hyp-' || substr(md5(comp_1 || ':coOccursWith:' || comp_2), 1, 12) AS hypothesis_id, comp_1 AS subject, 'coOccursWith' AS predicate, comp_2 AS object,
                comp_2 AS object_name, least(1.0, lift / 2) AS confidence, NULL::DOUBLE AS effect, NULL::DOUBLE AS r, NULL::DOUBLE AS p, NULL::BIGINT AS ss,
@@ -91,9 +94,8 @@ LOOP_CTES = {
         FROM contrast WHERE p < {ALPHA} AND least(1.0, abs(effect) / 2) >= {MIN_CONF}""",
     "novel": """SELECT *, CASE WHEN (subject, predicate, object) IN (SELECT (subject, predicate, object) FROM known) THEN 0
                                WHEN (subject, predicate, object) IN (SELECT (subject, predicate, object) FROM earlier) THEN 0.2 ELSE 0.8 + 0.2 * confidence END AS novelty FROM props""",
-    "ranked": f"""SELECT * FROM (SELECT *, confidence * (1 + novelty) AS rank_score FROM novel WHERE novelty > 0
-                  QUALIFY row_number() OVER (PARTITION BY subject, predicate, object ORDER BY strategy, confidence DESC, hypothesis_id) = 1)
-                  ORDER BY rank_score DESC, hypothesis_id LIMIT {TOP}""",
+    "ranked": """SELECT * FROM (SELECT *, confidence * (1 + novelty) AS rank_score FROM novel WHERE novelty > 0
+                  QUALIFY row_number() OVER (PARTITION BY subject, predicate, object ORDER BY strategy, confidence DESC, hypothesis_id) = 1)""",
     "tested": """SELECT *, NOT (predicate <> 'coOccursWith' AND abs(coalesce(effect, 0)) > 5) AS pp,
         CASE WHEN predicate = 'coOccursWith' THEN CASE WHEN lift < 1.1 THEN 0.5 WHEN cnt < 10 THEN 0.7 ELSE 1 END
              ELSE (CASE WHEN abs(coalesce(effect, 0)) > 5 THEN 0.3 WHEN abs(coalesce(effect, 0)) < 0.1 THEN 0.6 ELSE least(1, 0.5 + 0.2 * abs(effect)) END)
@@ -112,25 +114,25 @@ LOOP_CTES = {
 
 
 def loop_inputs(spark, sf):
-    part = B.table(spark, sf, "part")
-    brand = F.col("p_brand").alias("subject")
-    known = part.where("p_size IN (49, 50)").select(
-        brand, F.when(F.col("p_size") == 50, "increases").otherwise("decreases").alias("predicate"), F.lit("property:quantity").alias("object")
-    ).unionByName(part.where("p_size = 1").select(brand, F.lit("coOccursWith").alias("predicate"), F.lit("Brand#9").alias("object")))
-    earlier = part.where("p_size = 2").select(brand, F.lit("coOccursWith").alias("predicate"), F.lit("Brand#8").alias("object"))
-    mols = part.where("p_size = 10").select(F.col("p_brand").alias("id"), F.lit("solvent").alias("role"), F.col("p_brand").alias("smiles")).distinct()
+    brands = B.table(spark, sf, "part").groupBy(F.col("p_brand").alias("subject")).agg(F.expr(LARGE).alias("large"))
+    edge = lambda rows, predicate, object: rows.select("subject", predicate.alias("predicate"), F.lit(object).alias("object"))
+    direction = F.when(F.col("large"), "increases").otherwise("decreases")
+    together = F.lit("coOccursWith")
+    known = edge(brands, direction, "property:quantity").unionByName(edge(brands.where("large"), together, "Brand#9"))
+    earlier = edge(brands, together, "Brand#8")
+    mols = brands.where("large").select(F.col("subject").alias("id"), F.lit("solvent").alias("role"), F.col("subject").alias("smiles"))
     formulations = B.table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("id"))
     entity = B.entity_measurements(spark, sf).withColumn("entity_id", F.col("entity_id").cast("string"))
     return D.Graph(mols, formulations, B.components(spark, sf), B.measurements(spark, sf), entity, known, earlier)
 
 
 def _proposals(spark, sf):
-    return D.propose(loop_inputs(spark, sf), min_confidence=MIN_CONF, max_hypotheses=TOP, alpha=ALPHA)
+    return D.propose(loop_inputs(spark, sf), min_confidence=MIN_CONF, alpha=ALPHA)
 
 
 def _evaluated(spark, sf):
     g = loop_inputs(spark, sf)
-    proposals = D.propose(g, min_confidence=MIN_CONF, max_hypotheses=TOP, alpha=ALPHA)
+    proposals = D.propose(g, min_confidence=MIN_CONF, alpha=ALPHA)
     return H.evaluate(proposals, g.molecules, g.relations, ST.property_stats(g.formulation_measurements), validation_threshold=0.2)
 
 
@@ -144,6 +146,14 @@ def ranked_proposals(spark, sf):
     return rounded(out, 6, "confidence", "novelty_score", "rank_score")
 
 
+@query("best_proposals", "W-108", with_(SHAPES, """
+    SELECT hypothesis_id, round(rank_score, 6) AS rank_score FROM ranked ORDER BY ranked.rank_score DESC, hypothesis_id LIMIT 50""", **LOOP_CTES))
+def best_proposals(spark, sf):
+    """The fifty best, as the loop's limit gives them."""
+    best = D.propose(loop_inputs(spark, sf), min_confidence=MIN_CONF, max_hypotheses=50, alpha=ALPHA)
+    return rounded(best.select("hypothesis_id", "rank_score"), 6, "rank_score")
+
+
 @query("proposal_summary", "W-68", with_(SHAPES, """
     SELECT predicate, count(*) AS n, round(avg(confidence), 6) AS avg_confidence, round(avg(novelty), 6) AS avg_novelty FROM ranked GROUP BY 1""", **LOOP_CTES))
 def proposal_summary(spark, sf):
@@ -198,7 +208,7 @@ def discovery(spark, sf) -> D.Discovery:
     molecules = customers.unionByName(g.molecules.select("id", F.lit("salt").alias("role"), F.lit(None).cast("string").alias("smiles")))
     formulations = B.table(spark, sf, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("id"))
     graph = D.Graph(molecules, formulations, g.components, g.formulation_measurements, entity.unionByName(lines), g.relations, g.proposed)
-    return D.run(graph, min_confidence=MIN_CONF, max_hypotheses=TOP, validation_threshold=0.2, alpha=ALPHA, expected=["click", "purchase", "refund"])
+    return D.run(graph, min_confidence=MIN_CONF, validation_threshold=0.2, alpha=ALPHA, expected=["click", "purchase", "refund"])
 
 
 @query("discovery_funnel", "W-119 W-67", with_(SHAPES + " customers", DISCOVERY, **LOOP_GAPS))

@@ -138,8 +138,8 @@ def gap_summary(gaps: DataFrame) -> DataFrame:
     )
 
 
-def candidate_tasks(gaps: DataFrame, top_k: int = 10) -> DataFrame:
-    """Actionable gaps as tasks, best priority first."""
+def candidate_tasks(gaps: DataFrame, top_k: int | None = None) -> DataFrame:
+    """Actionable gaps as tasks: all of them, or the ``top_k`` of best priority."""
     task = (
         F.when(F.col("gap_type") == "missing_measurements", "predict_property")
         .when(F.col("gap_type") == "missing_sameAs_link", "link_entities")
@@ -151,12 +151,9 @@ def candidate_tasks(gaps: DataFrame, top_k: int = 10) -> DataFrame:
         .when(F.col("gap_type") == "missing_sameAs_link", "Create sameAs links for matching SMILES")
         .otherwise(F.concat(F.lit("Predict "), F.col("detail"), F.lit(" for solvents")))
     )
-    return (
-        gaps.where(F.col("actionable") & task.isNotNull())
-        .select(task.alias("task"), what.alias("description"), "priority", F.col("gap_type").alias("source_gap"), "detail")
-        .orderBy(F.desc("priority"), "source_gap", "detail")
-        .limit(top_k)
-    )
+    tasks = gaps.where(F.col("actionable") & task.isNotNull()).select(
+        task.alias("task"), what.alias("description"), "priority", F.col("gap_type").alias("source_gap"), "detail")
+    return tasks if top_k is None else tasks.orderBy(F.desc("priority"), "source_gap", "detail").limit(top_k)
 
 
 def task_targets(missing: DataFrame, per_gap: int = 100) -> DataFrame:

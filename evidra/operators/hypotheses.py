@@ -124,15 +124,15 @@ def with_novelty(hypotheses: DataFrame, relations: DataFrame, proposed: DataFram
     return hypotheses.join(known, SPO, "left").join(seen, SPO, "left").withColumn("novelty_score", score).drop("_known", "_seen")
 
 
-def rank_proposals(scored: DataFrame, relations: DataFrame, top_k: int = 50) -> DataFrame:
-    """New triples only, the first strategy wins a repeated one, best confidence x (1 + novelty)."""
+def rank_proposals(scored: DataFrame, relations: DataFrame, top_k: int | None = None) -> DataFrame:
+    """New triples only, the first strategy wins a repeated one; all of them, or the ``top_k`` by confidence x (1 + novelty)."""
     first = Window.partitionBy(*SPO).orderBy("strategy", F.desc("confidence"), "hypothesis_id")
-    return (
+    ranked = (
         scored.join(triples(relations), SPO, "left_anti")
         .withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") == 1).drop("_rn")
         .withColumn("rank_score", F.col("confidence") * (1 + F.col("novelty_score")))
-        .orderBy(F.desc("rank_score"), "hypothesis_id").limit(top_k)
     )
+    return ranked if top_k is None else ranked.orderBy(F.desc("rank_score"), "hypothesis_id").limit(top_k)
 
 
 def plausibility(predicate: Column, ev: Column) -> tuple[Column, Column]:

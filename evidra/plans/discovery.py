@@ -46,7 +46,7 @@ class Discovery:
 
 def propose(
     graph: Graph, association: bool = True, correlation: bool = True, causal: bool = True,
-    min_confidence: float = 0.6, min_support: int = 5, max_hypotheses: int = 50, alpha: float = 0.05,
+    min_confidence: float = 0.6, min_support: int = 5, max_hypotheses: int | None = None, alpha: float = 0.05,
 ) -> DataFrame:
     strategies = []
     if association:
@@ -62,12 +62,13 @@ def propose(
 
 
 def run(
-    graph: Graph, min_confidence: float = 0.6, min_support: int = 5, max_hypotheses: int = 50,
+    graph: Graph, min_confidence: float = 0.6, min_support: int = 5, max_hypotheses: int | None = None,
     validation_threshold: float = 0.7, alpha: float = 0.05,
     expected: list[str] = vocab.EXPECTED_SOLVENT_PROPERTIES,
     association: bool = True, correlation: bool = True, causal: bool = True,
-    coverage: bool = True, links: bool = True, properties: bool = True, outliers: bool = True,
+    coverage: bool = True, links: bool = True, properties: bool = True, outliers: bool = True, max_tasks: int | None = None,
 ) -> Discovery:
+    """One pass of the loop over the whole graph; nothing is cut unless a maximum is given."""
     found = cut_lineage(G.explore(
         graph.molecules, graph.formulations, graph.entity_measurements, graph.relations, expected,
         coverage, links, properties, outliers,
@@ -79,7 +80,7 @@ def run(
         proposals, graph.molecules, graph.relations, stats, validation_threshold=validation_threshold))
     by = lambda s: evaluated.where(F.col("status") == s)
     queue = curation.curation_queue(evaluated)
-    tasks = G.candidate_tasks(found, 20)
+    tasks = G.candidate_tasks(found, max_tasks)
     funnel = SU.funnel(
         gaps_found=found, hypothesis_candidates=tasks, hypotheses_generated=proposals,
         validated=by("validated"), rejected=by("rejected"), inconclusive=by("inconclusive"), ready_for_curation=queue,
@@ -89,7 +90,7 @@ def run(
 
 def run_quick(graph: Graph, **overrides) -> Discovery:
     """The reduced preset: no link gaps, no correlations, fewer hypotheses, more support."""
-    preset = dict(links=False, correlation=False, max_hypotheses=20, min_support=10)
+    preset = dict(links=False, correlation=False, max_hypotheses=20, max_tasks=20, min_support=10)
     return run(graph, **{**preset, **overrides})
 
 
