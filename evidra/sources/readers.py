@@ -35,20 +35,32 @@ SPECIES_FIELDS = {
 SPECIES_RENAMED = {"SMILES": "smiles_alt", "InChI": "inchi_alt", "molecule.spin_multiplicity": "nested_spin"}
 
 
+#: Equal rows of a file beyond so many are spread over tasks.
+COPIES = 4_096
+
+
 def content_id(*columns: Column) -> Column:
     """A hash of values; nulls and empty strings differ."""
     return F.substring(F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})), 1, 20)
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """``df`` with ``row_id`` and its place ``row_no``, which only says what comes first. Equal rows are counted map-side and spread out again, so a row that makes
-    up a third of a file is no group of that size."""
+    """``df`` with ``row_id`` and its place ``row_no``, which only says what comes first.
+
+    Equal rows are counted map-side. They are spread out again where their count is, up to ``COPIES`` of them; a row
+    with more travels as blocks of that many, so one that makes up a third of a file is no task of that size.
+    """
     columns = [F.col(f"`{c}`") for c in df.columns]
     maps = [f.name for f in df.schema if isinstance(f.dataType, MapType)]  # cannot be grouped by; equal where the hash is
     placed = df.withColumns({"_id": content_id(*columns), "row_no": F.monotonically_increasing_id()})
     counted = placed.groupBy("_id", *[F.col(f"`{c}`") for c in df.columns if c not in maps]).agg(
         F.count("*").alias("_n"), F.min("row_no").alias("row_no"), *[F.any_value(c).alias(c) for c in maps])
-    which = counted.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    few = counted.where(F.col("_n") <= COPIES).withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    blocks = counted.where(F.col("_n") > COPIES).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / COPIES))))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number, as blocks have few bytes and many rows
+    inside = F.sequence(F.col("_b") * COPIES + 1, F.least((F.col("_b") + 1) * COPIES, F.col("_n")))
+    many = blocks.repartition(tasks, "_id", "_b").withColumn("_k", F.explode(inside)).drop("_b")
+    which = few.unionByName(many)
     return which.select(*columns, "row_no", F.when(F.col("_k") == 1, F.col("_id")).otherwise(F.concat_ws("-", "_id", "_k")).alias("row_id"))
 
 

@@ -189,3 +189,27 @@ def test_quick_discovery_preset(spark, sf):
     assert 0 < funnel["hypotheses_generated"] <= 20
     assert funnel["validated"] + funnel["rejected"] + funnel["inconclusive"] == funnel["hypotheses_generated"]
     assert found.gaps.where("gap_type = 'missing_sameAs_link'").count() == 0
+
+
+@pytest.fixture
+def sixteen_shuffle_tasks(spark):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_equal_rows_are_spread_over_tasks(spark, monkeypatch, sixteen_shuffle_tasks, parts):
+    """Half of all rows are equal; ids are those of their number, whatever the layout, and no task gets them all."""
+    from evidra.sources import readers
+
+    monkeypatch.setattr(readers, "COPIES", 100)
+    table = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, "same").otherwise(F.col("id").cast("string")).alias("v")).repartition(parts)
+    out = readers.numbered(table)
+    same = out.where("v = 'same'")
+    first = same.agg(F.min("row_id")).first()[0]
+    assert {r.row_id for r in same.select("row_id").collect()} == {first} | {f"{first}-{k}" for k in range(2, 10_001)}
+    assert out.count() == 20_000 and out.select("row_id").distinct().count() == 20_000
+    most = same.groupBy(F.spark_partition_id().alias("task")).count().agg(F.max("count")).first()[0]
+    assert most < 2_500
