@@ -331,13 +331,21 @@ def prediction_rows(raw: DataFrame) -> DataFrame:
     )
 
 
-def species_table(raw: DataFrame) -> DataFrame:
-    """Interphase species with alternative field names resolved; a zero energy means unknown."""
+def species_table(raw: DataFrame, zero_unknown: Column | bool = True) -> DataFrame:
+    """Interphase species with alternative field names resolved.
+
+    A zero energy, enthalpy or entropy means unknown; where ``zero_unknown`` says false of a row, it is a value.
+    """
+    unknown = zero_unknown if isinstance(zero_unknown, Column) else F.lit(zero_unknown)
+
     def pick(*names: str) -> Column:
         found = [F.col(n) for n in names if n in raw.columns]
         return F.coalesce(*found) if found else F.lit(None)
 
-    number = lambda *names: F.nullif(pick(*names).cast("string").try_cast("double"), F.lit(0.0))
+    def number(*names: str) -> Column:
+        value = pick(*names).cast("string").try_cast("double")
+        return F.when(~((value == 0) & F.coalesce(unknown, F.lit(False))), value)
+
     spin = [F.col("spin_multiplicity").cast("double")] if "spin_multiplicity" in raw.columns else []
     if "nested_spin" in raw.columns:
         spin.append(F.col("nested_spin"))

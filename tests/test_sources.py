@@ -213,3 +213,15 @@ def test_equal_rows_are_spread_over_tasks(spark, monkeypatch, sixteen_shuffle_ta
     assert out.count() == 20_000 and out.select("row_id").distinct().count() == 20_000
     most = same.groupBy(F.spark_partition_id().alias("task")).count().agg(F.max("count")).first()[0]
     assert most < 2_500
+
+
+def test_species_with_measured_zero_match_sql(spark, tmp_path):
+    from evidra.catalog import load_all
+    from tools.check_oracle import compare
+    import duckdb
+
+    rows = [(1, 4, "view", 0.0), (2, 5, "click", 0.0), (3, 6, "click", 60.0), (4, 7, "cart", 0.0), (5, 8, "cart", 3.0), (6, 9, "view", None)]
+    spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert compare(load_all()["species_table"], spark, con, str(tmp_path)) == "ok 6"
