@@ -405,6 +405,23 @@ def test_nearest_is_exact(spark, pivots, block):
         assert np.allclose(mine["distance"], [x for x, _ in d], atol=1e-9)
 
 
+def test_nearest_writes_no_row_per_query_and_pivot(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    vecs = rng.normal(size=(300, 16))  # no pivot rules out another's group
+    vecs[100:150] += 1e4  # far out, where single precision tells nothing apart
+    vecs[150:170] = vecs[150]
+    ids = [f"e{i:03d}" for i in range(300)]
+    ent = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in zip(ids, vecs)], "id string, vec array<double>")
+    written, cut = [], L.cut_lineage
+    monkeypatch.setattr(L, "cut_lineage", lambda df: written.append(cut(df)) or written[-1])
+    got = L.nearest(ent.select(F.col("id").alias("qid"), F.col("id").alias("skip"), "vec"), ent, 3, pivots=8, block=64).toPandas()
+    assert max(t.count() for t in written) <= 300
+    mine = got.sort_values(["qid", "rank"]).groupby("qid")["id"].agg(list)
+    for q, v in zip(ids, vecs):
+        d = np.sqrt(((vecs - v) ** 2).sum(1))
+        assert mine[q] == [ids[i] for i in np.lexsort((ids, d)) if ids[i] != q][:3]
+
+
 def test_translation_training_learns(spark):
     edges = spark.createDataFrame([(i, 0, i + 10) for i in range(10)] + [(i, 1, (i + 1) % 10) for i in range(10)], "h long, r long, t long")
     ent, rel, losses = L.train_transe(edges, dim=8, epochs=4, learning_rate=0.1)
