@@ -13,7 +13,7 @@ therefore enters the star join as its distinct components times its distinct pro
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evidra.functions import pvalues, scalar
 from evidra.operators.ranking import exact_quantiles
@@ -22,6 +22,9 @@ from evidra.session import cut_lineage
 
 HOT_FORMULATION = 1_000  # distinct components from which a formulation's pairs are salted
 SALTS = 32
+#: Formulations counted as frequent in a property, and the rows from which their rows are summed before they travel.
+FREQUENT = 100
+HEAVY_ROWS = 1_000_000
 
 
 def multiplicities(components: DataFrame) -> DataFrame:
@@ -274,33 +277,42 @@ def causal_contrasts(
 ) -> DataFrame:
     """With/without contrast of every (component, property) over component sets.
 
-    Values are centred on their property mean before squaring, so the subtraction of sums of
-    squares does not cancel. Only formulations with at least one component take part.
+    Values are centred on the mean of their property's rows before squaring, so the subtraction
+    of sums of squares does not cancel. Only formulations with at least one component take part.
     """
+    known = F.col("value").isNotNull() & F.col("property_type").isNotNull() & F.col("formulation_id").isNotNull()
+    rows = measurements.where(known).select("formulation_id", "property_type", "value")
+    frequent = F.expr(f"approx_top_k(formulation_id, {FREQUENT}, {100 * FREQUENT})")
+    centre = cut_lineage(rows.groupBy("property_type").agg(F.avg("value").alias("centre"), frequent.alias("top")))
+    heavy = centre.select(F.inline("top")).where(F.col("count") > HEAVY_ROWS).select("item").distinct()
+    hot = [r["item"] for r in heavy.collect()]  # at most FREQUENT a property, and rows / HEAVY_ROWS
+    d = F.col("value") - F.col("centre")
+    centred = checked_lookup(rows, centre.select("property_type", "centre"), "property_type").select(
+        "formulation_id", "property_type", d.alias("d"))
+    first = F.row_number().over(Window.partitionBy("formulation_id").orderBy("molecule_id")) == 1
     sets = components.select("formulation_id", "molecule_id").distinct()
-    rows = measurements.where(F.col("value").isNotNull() & F.col("property_type").isNotNull())
-    # Read again for the totals and for the star join, so it is written once; later passes
-    # only see one row per (formulation, property).
-    per_form = cut_lineage(
-        rows.groupBy("formulation_id", "property_type")
-        .agg(F.count("*").alias("n"), F.avg("value").alias("mean"), (F.var_pop("value") * F.count("*")).alias("css"))
-        .join(sets.select("formulation_id").distinct(), "formulation_id", "left_semi")
-    )
-    centre = per_form.groupBy("property_type").agg((F.sum(F.col("mean") * F.col("n")) / F.sum("n")).alias("centre"))
-    d = F.col("mean") - F.col("centre")
-    centred = checked_lookup(per_form, centre, "property_type").select(
-        "formulation_id", "property_type", "centre", "n",
-        (F.col("n") * d).alias("s"), (F.col("css") + F.col("n") * d * d).alias("ss"),
-    )
-    totals = centred.groupBy("property_type", "centre").agg(
-        F.sum("n").alias("tn"), F.sum("s").alias("ts"), F.sum("ss").alias("tss")
-    )
-    with_ = (
-        sets.join(centred.drop("centre"), "formulation_id")
-        .groupBy("molecule_id", "property_type")
-        .agg(F.sum("n").alias("n_with"), F.sum("s").alias("s_with"), F.sum("ss").alias("ss_with"))
-        .where(F.col("n_with") >= min_support)
-    )
+
+    def star(mine: DataFrame, theirs: DataFrame) -> DataFrame:
+        """Sums of each molecule's formulations; t* count every formulation once, at its first molecule."""
+        per_form = mine.groupBy("formulation_id", "property_type").agg(
+            F.count("*").alias("n"), F.sum("d").alias("s"), F.sum(F.col("d") * F.col("d")).alias("ss"))
+        once = lambda c: F.sum(F.when(F.col("first"), F.col(c)))
+        return theirs.withColumn("first", first).join(per_form, "formulation_id").groupBy("molecule_id", "property_type").agg(
+            *[F.sum(c).alias(f"{c}_with") for c in ("n", "s", "ss")], *[once(c).alias(f"t{c}") for c in ("n", "s", "ss")])
+
+    # Rows of a formulation meet once, and are joined where they are summed; a partial sum takes more room than a row.
+    # Only formulations with very many rows are summed before they travel.
+    if hot:
+        heavy = F.coalesce(F.col("formulation_id").isin(hot), F.lit(False))
+        sums = star(centred.where(~heavy).repartition("formulation_id"), sets.where(~heavy)).unionByName(
+            star(centred.where(heavy), sets.where(heavy)))
+        sums = sums.groupBy("molecule_id", "property_type").agg(*[F.sum(c).alias(c) for c in sums.columns[2:]])
+    else:
+        sums = star(centred.repartition("formulation_id"), sets)
+    sums = cut_lineage(sums)
+    totals = sums.groupBy("property_type").agg(*[F.sum(c).alias(c) for c in ("tn", "ts", "tss")])
+    totals = totals.join(centre.select("property_type", "centre"), "property_type")
+    with_ = sums.select("molecule_id", "property_type", "n_with", "s_with", "ss_with").where(F.col("n_with") >= min_support)
     out = (
         checked_lookup(with_, totals, "property_type")
         .withColumn("n_without", F.col("tn") - F.col("n_with"))

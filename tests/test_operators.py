@@ -185,6 +185,22 @@ def test_causal_contrast_equals_regression_t_test(spark, mixtures):
         assert r["p_value"] == pytest.approx(fit.summary.pValues[0], abs=1e-9)
 
 
+def test_causal_contrasts_write_no_row_per_formulation(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    comps = spark.createDataFrame([(f, f"m{m}") for f in range(60) for m in range(4) if rng.random() < 0.5 or f == 7] * 2, "formulation_id int, molecule_id string")
+    meas = spark.createDataFrame([(f, p, float(rng.normal())) for f in range(62) for p in "ab" for _ in range(30 if f == 7 else 2)] + [(None, "a", 1.0)], "formulation_id int, property_type string, value double")
+    written, cut = [], M.cut_lineage
+    monkeypatch.setattr(M, "cut_lineage", lambda df: written.append(cut(df)) or written[-1])
+    result = lambda: {(r["molecule_id"], r["property_type"]): r[2:] for r in M.causal_contrasts(comps, meas, 5).collect()}
+    plain = result()
+    assert len(plain) == 8 and max(t.count() for t in written) <= 8
+    monkeypatch.setattr(M, "HEAVY_ROWS", 10)  # formulation 7 is summed before it travels
+    heavy = result()
+    assert plain.keys() == heavy.keys()
+    for k, r in plain.items():
+        assert heavy[k] == pytest.approx(r)
+
+
 def test_property_correlation_skips_constants(spark):
     data = [(e, "a", float(e), 0) for e in range(12)] + [(e, "b", 2.0 * e + (e % 2), 0) for e in range(12)] + [(e, "c", 1.0, 0) for e in range(12)]
     df = spark.createDataFrame(data, "entity_id int, property_type string, value double, x int")
