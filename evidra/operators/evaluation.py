@@ -139,14 +139,15 @@ def feature_matrix(components: DataFrame, labels: DataFrame, vocabulary: list |
         vocabulary = sorted(r[0] for r in found)
     if len(vocabulary) > MAX_FEATURES:
         raise ValueError(f"more than {MAX_FEATURES} component columns")
-    last = components.groupBy("formulation_id", "molecule_id").agg(
+    last = components.where(F.col("molecule_id").isin(vocabulary)).groupBy("formulation_id", "molecule_id").agg(
         F.max_by("amount", F.struct("position", "amount")).alias("a")
     )
     cols = [
         F.coalesce(F.max(F.when(F.col("molecule_id") == m, F.col("a"))), F.lit(0.0)).alias(f"c_{i}")
         for i, m in enumerate(vocabulary)
     ]
-    wide = last.groupBy("formulation_id").agg(*cols)
+    # At most MAX_FEATURES rows of a formulation meet before they turn into one wide row, which would else travel per component.
+    wide = last.repartition("formulation_id").groupBy("formulation_id").agg(*cols)
     joined = labels.join(wide, "formulation_id", "left")
     return joined.fillna(0.0, subset=[f"c_{i}" for i in range(len(vocabulary))])
 

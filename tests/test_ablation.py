@@ -82,3 +82,13 @@ def test_top_hypotheses_and_too_few_rows(spark, mixture):
         rows = EV.linear_ablation(c, few, hypotheses, 3).collect()
         assert [(r.num_folds, r.delta_rmse, r.is_significant, r.status, math.isnan(r.baseline_rmse)) for r in rows] == [(0, 0.0, False, "proposed", True)] * 3
     assert EV.linear_ablation(c.limit(0), y, hypotheses, 3).count() == 3
+
+
+def test_feature_matrix_sends_no_wide_rows(spark):
+    c = spark.createDataFrame([(1, "a", 2.0, 1), (1, "b", 3.0, 2), (2, "b", 4.0, 1), (3, None, 5.0, 1)], "formulation_id int, molecule_id string, amount double, position int")
+    labels = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 3.0)], "formulation_id int, label double")
+    out = EV.feature_matrix(c, labels, ["a", "b"])
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 1.0, 2.0, 3.0), (2, 2.0, 0.0, 4.0), (3, 3.0, 0.0, 0.0)]
+    lines = [line.split("- ")[-1] for line in out._jdf.queryExecution().executedPlan().toString().splitlines()]
+    wide = next(i for i, line in enumerate(lines) if "partial_max(" in line and "partial_max_by" not in line)
+    assert "Exchange" not in lines[wide - 1]
