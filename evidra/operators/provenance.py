@@ -71,7 +71,8 @@ def explain_entities(typed: DataFrame, provenance: DataFrame, sources: DataFrame
 
 
 def explain_relations(edges: DataFrame, molecules: DataFrame, hypotheses: DataFrame) -> DataFrame:
-    """Why an edge exists: equal keys, literature, or the hypothesis it came from."""
+    """Why an edge exists: equal keys, literature, or the hypothesis it came from; further columns of edges are kept."""
+    further = [c for c in edges.columns if c not in SPO]
     keys = molecules.select(F.col("id").alias("_id"), F.col("smiles").alias("_key"))
     s = keys.select(F.col("_id").alias("subject"), F.col("_key").alias("_s"))
     o = keys.select(F.col("_id").alias("object"), F.col("_key").alias("_o"))
@@ -91,7 +92,7 @@ def explain_relations(edges: DataFrame, molecules: DataFrame, hypotheses: DataFr
     )
     methods = vocab.dimension(edges.sparkSession, vocab.RELATION_BASIS, ["predicate", "kind_of_basis"])
     return joined.join(F.broadcast(methods), "predicate", "left").select(
-        *SPO, basis.alias("inference_method"), F.col("_h.confidence").alias("confidence"), why.alias("explanation"), "kind_of_basis"
+        *SPO, basis.alias("inference_method"), F.col("_h.confidence").alias("confidence"), why.alias("explanation"), "kind_of_basis", *further
     )
 
 

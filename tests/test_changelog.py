@@ -91,3 +91,13 @@ def test_empty_logs_and_plain_tables(spark, tmp_path):
     plain = spark.createDataFrame([(1, "x"), (1, "x"), (None, "y")], "k long, a string")
     assert [tuple(r) for r in CL.replayed(plain, ["k"]).collect()] == [(1, "x")]
     assert [tuple(r) for r in CL.replayed(plain.select("k"), ["k"]).collect()] == [(1,)]
+
+
+def test_explained_edges_keep_their_counts(spark):
+    from evidra.operators import provenance as P
+
+    edges = spark.createDataFrame([("1", "sameAs", "2", 3), ("1", "increases", "x", 1), (None, "decomposesTo", "2", 2)], "subject string, predicate string, object string, copies long")
+    mols = spark.createDataFrame([("1", "C"), ("2", "C")], "id string, smiles string")
+    hyp = spark.createDataFrame([("h", "1", "increases", "x", "rule", 0.5)], "id string, subject string, predicate string, object string, source string, confidence double")
+    out = {r["predicate"]: (r["copies"], r["inference_method"]) for r in P.explain_relations(edges, mols, hyp).collect()}
+    assert out == {"sameAs": (3, "SMILES_matching"), "increases": (1, "rule"), "decomposesTo": (2, "literature_knowledge")}
