@@ -11,6 +11,7 @@ from evidra.catalog.graph import GAP_CTES
 from evidra.catalog.sqlparts import with_
 from evidra.operators import curation as C, hypotheses as H, mining as M, stats as ST, summaries as SU
 from evidra.plans import discovery as D
+from evidra.session import cut_lineage
 
 PATTERN_CTES = dict(
     mult=MQ.MULT,
@@ -123,7 +124,9 @@ def loop_inputs(spark, sf):
     mols = brands.where("large").select(F.col("subject").alias("id"), F.lit("solvent").alias("role"), F.col("subject").alias("smiles"))
     formulations = B.table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("id"))
     entity = B.entity_measurements(spark, sf).withColumn("entity_id", F.col("entity_id").cast("string"))
-    return D.Graph(mols, formulations, B.components(spark, sf), B.measurements(spark, sf), entity, known, earlier)
+    # The loop reads lines several times; they meet their parts once.
+    listed = cut_lineage(B.listed_lines(spark, sf))
+    return D.Graph(mols, formulations, B.listed_components(listed), B.listed_measurements(spark, sf, listed), entity, known, earlier)
 
 
 def _proposals(spark, sf):

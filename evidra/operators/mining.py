@@ -290,7 +290,8 @@ def causal_contrasts(
     centred = checked_lookup(rows, centre.select("property_type", "centre"), "property_type").select(
         "formulation_id", "property_type", d.alias("d"))
     first = F.row_number().over(Window.partitionBy("formulation_id").orderBy("molecule_id")) == 1
-    sets = components.select("formulation_id", "molecule_id").distinct()
+    # Placed by formulation once: the distinct rows, their first molecule and the join all stay where they are.
+    sets = components.select("formulation_id", "molecule_id").repartition("formulation_id").distinct()
 
     def star(mine: DataFrame, theirs: DataFrame) -> DataFrame:
         """Sums of each molecule's formulations; t* count every formulation once, at its first molecule."""
