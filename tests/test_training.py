@@ -60,3 +60,23 @@ def test_margin_training_takes_the_plain_steps_under_any_layout(spark, parts):
 def test_wrong_tails_need_a_second_entity(spark):
     with pytest.raises(ValueError):
         L.train_margin(spark.createDataFrame([(0, 0, 0)], "h long, r long, t long"), 1)
+
+
+def test_hot_ends_are_looked_up_where_their_edges_are(spark, monkeypatch):
+    """Objects of many edges get their number by broadcast; edges and numbers stay those of the plain join."""
+    monkeypatch.setattr(L, "HOT_EDGES", 50)
+    rows = [(f"s{i}", "p", f"o{i % 3}") for i in range(300)] + [("s1", "q", "rare"), ("s1", "q", "rare")]
+    edges = spark.createDataFrame(rows, "subject string, predicate string, object string")
+    entities, predicates, encoded = L.encode_triples(edges)
+    e, p = ({r[0]: r[1] for r in t.collect()} for t in (entities, predicates))
+    assert sorted(map(tuple, encoded.collect())) == sorted((e[s], p[q], e[o]) for s, q, o in rows)
+    assert encoded._jdf.queryExecution().optimizedPlan().toString().count("Union") == 1
+
+
+def test_the_last_step_waits_until_vectors_are_read(spark, monkeypatch):
+    edges = spark.createDataFrame([(i, 0, i + 5) for i in range(5)], "h long, r long, t long")
+    written, cut = [], L.cut_lineage
+    monkeypatch.setattr(L, "cut_lineage", lambda df: written.append(df.columns) or cut(df))
+    L.train_transe(edges, dim=2, epochs=1)
+    L.train_margin(edges, 10, dim=2, epochs=1)
+    assert ["kind", "id", "g", "n", "loss"] not in written
