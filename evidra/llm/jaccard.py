@@ -12,7 +12,9 @@ The answer is the connected components of "share at least three quarters of thei
   four times the set, each telling whether an odd number of shingles falls there. Bits that differ are fewer than
   the shingles that only one set has, so they bound the overlap; only pairs that may link by it are compared.
 * Lists that hold a single component are dropped where they are made. In the others neighbours are compared
-  first and connected, round by round, while half of them link; then all pairs that are still open.
+  first and connected, round by round, while half of them link. Then the entries of lists that still hold pairs to be
+  decided get their balls' parities (folded to ``BITS`` bytes), and a list gives only pairs whose parities leave room for
+  a link of theirs or of their balls' members: first, by rounds, each ball's most similar partner, at last all of them.
 * A ball is one entry of a list. Its answers are derived from those of its leader: leaders that link join
   their balls; leaders further apart than the radii allow rule out every pair of their members; only
   between these bounds are members compared, and only where the balls are not connected already.
@@ -47,6 +49,8 @@ HELD, HELD_PAIRS = 250_000, 100_000
 SLICE = 1 << 20
 BUCKET_ENTRIES = 400_000
 BLOCK = 128
+#: Bytes of a ball's parities that go with its entries, and pairs whose parities are held against each other at once.
+BITS, AT_ONCE = 256, 1 << 16
 SKETCH = "kind int, doc_id long, rid long, key binary, n long, bits binary, " + ", ".join(f"b{i} long" for i in range(BANDS))
 ENTRY = "token long, ball long, comp long, low long, high long, rest long"
 
@@ -97,6 +101,11 @@ def most_common(a: bytes, b: bytes, n: int, m: int) -> int:
     return min(n, m, (n + m - int(differ)) // 2)
 
 
+def folded(bits: bytes) -> bytes:
+    """Parities of at most ``BITS`` bytes."""
+    return bits if len(bits) <= BITS else np.bitwise_xor.reduce(np.frombuffer(bits, np.uint8).reshape(-1, BITS), axis=0).tobytes()
+
+
 def _upper(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(32)).astype(np.uint32)
 
@@ -250,14 +259,14 @@ MET = f"{PAIR}, times long"
 PREFIX = "rid long, n long, data binary"
 
 
-def _list_pairs(rows: dict[str, np.ndarray]):
-    """Pairs of one list's entries that the positions and sizes allow and that are not connected yet.
+def _list_places(rows: dict[str, np.ndarray]):
+    """Places of the pairs of one list's entries that the positions and sizes allow and that are not connected yet.
 
     Entries are sorted by size; blocks whose sizes lie too far apart, or whose best positions leave too
     little, are skipped whole.
     """
-    ball, comp, low, high, rest = (rows[c] for c in ("ball", "comp", "low", "high", "rest"))
-    m = len(ball)
+    comp, low, high, rest = (rows[c] for c in ("comp", "low", "high", "rest"))
+    m = len(comp)
     starts = np.arange(0, m, BLOCK)
     least, most, best = np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts), np.maximum.reduceat(rest, starts)
     for i, a in enumerate(starts.tolist()):
@@ -273,7 +282,13 @@ def _list_pairs(rows: dict[str, np.ndarray]):
                 ok = np.triu(ok, 1)
             p, q = np.nonzero(ok)
             if len(p):
-                yield np.stack([ball[a + p], ball[b + q]], 1)
+                yield a + p, b + q
+
+
+def _list_pairs(rows: dict[str, np.ndarray]):
+    """The pairs of balls at :func:`_list_places`."""
+    for p, q in _list_places(rows):
+        yield np.stack([rows["ball"][p], rows["ball"][q]], 1)
 
 
 def _neighbours(batches):
@@ -299,57 +314,123 @@ def _neighbours(batches):
         yield batch(MET, pairs[:, 0], pairs[:, 1], times)
 
 
-def _pairs(batches):
-    """Candidate pairs of balls from rows sorted by token; a list may go over several batches."""
-    names = ("token", "ball", "comp", "low", "high", "rest")
+def _whole_lists(batches, names: tuple[str, ...]):
+    """Columns of whole lists from rows sorted by token; a list may go over several batches."""
     held: dict[str, list] = {c: [] for c in names}
-    found: list[np.ndarray] = []
-
-    def lists(rows):
-        cut = np.flatnonzero(np.diff(rows["token"])) + 1
-        ends = np.append(cut, len(rows["token"]))
-        begins = np.concatenate([[0], cut])
-        size = ends - begins
-        for n in np.unique(size[(size > 1) & (size <= 16)]).tolist():  # short lists side by side
-            at = begins[size == n][:, None] + np.arange(n)
-            i, j = np.triu_indices(n, 1)
-            x, y = at[:, i].ravel(), at[:, j].ravel()
-            low, high, rest, comp = (rows[c] for c in ("low", "high", "rest", "comp"))
-            ok = (comp[x] != comp[y]) & (4 * high[x] >= 3 * low[y]) & (4 * high[y] >= 3 * low[x])
-            ok &= 7 * np.minimum(rest[x], rest[y]) >= needed(low[x], low[y])
-            found.append(np.stack([rows["ball"][x[ok]], rows["ball"][y[ok]]], 1))
-        if sum(map(len, found)) > HELD_PAIRS:
-            yield flush()
-        for a, b in zip(begins[size > 16].tolist(), ends[size > 16].tolist()):
-            order = np.argsort(rows["low"][a:b], kind="stable") + a
-            for pairs in _list_pairs({c: rows[c][order] for c in names}):
-                found.append(pairs)
-                if sum(map(len, found)) > HELD_PAIRS:
-                    yield flush()
-
-    def flush():
-        pairs = np.unique(np.sort(np.concatenate(found), 1), axis=0) if found else np.zeros((0, 2), np.int64)
-        found.clear()
-        return batch(PAIR, pairs[:, 0], pairs[:, 1])
-
     for rows in batches:
         if not rows.num_rows:
             continue
         for c in names:
-            held[c].append(rows.column(c).to_numpy())
+            held[c].append(np.array(rows.column(c).to_pylist(), object) if c == "bits" else rows.column(c).to_numpy())
         token = rows.column("token").to_numpy()
         if token[0] == token[-1] == held["token"][0][0]:
             continue  # one list so far
         full = {c: np.concatenate(held[c]) for c in names}
         last = int(np.searchsorted(full["token"], full["token"][-1]))
-        yield from lists({c: v[:last] for c, v in full.items()})
+        if last:
+            yield {c: v[:last] for c, v in full.items()}
         held = {c: [v[last:]] for c, v in full.items()}
     if held["token"]:
-        yield from lists({c: np.concatenate(v) for c, v in held.items()})
-    if found:
-        yield flush()
+        yield {c: np.concatenate(v) for c, v in held.items()}
+
+
+def _open_places(rows: dict[str, np.ndarray]):
+    """Places of all pairs in the same of several lists that may link by positions and sizes and are not connected."""
+    cut = np.flatnonzero(np.diff(rows["token"])) + 1
+    ends = np.append(cut, len(rows["token"]))
+    begins = np.concatenate([[0], cut])
+    size = ends - begins
+    comp, low, high, rest = (rows[c] for c in ("comp", "low", "high", "rest"))
+    for n in np.unique(size[(size > 1) & (size <= 16)]).tolist():  # short lists side by side
+        at = begins[size == n][:, None] + np.arange(n)
+        i, j = np.triu_indices(n, 1)
+        x, y = at[:, i].ravel(), at[:, j].ravel()
+        ok = (comp[x] != comp[y]) & (4 * high[x] >= 3 * low[y]) & (4 * high[y] >= 3 * low[x])
+        ok &= 7 * np.minimum(rest[x], rest[y]) >= needed(low[x], low[y])
+        yield x[ok], y[ok]
+    for a, b in zip(begins[size > 16].tolist(), ends[size > 16].tolist()):
+        order = np.argsort(low[a:b], kind="stable") + a
+        for p, q in _list_places({c: rows[c][order] for c in ("comp", "low", "high", "rest")}):
+            yield order[p], order[q]
+
+
+def _undecided(batches):
+    """The entries that have a partner at :func:`_open_places`."""
+    names = ("token", "ball", "comp", "low", "high", "rest")
+    for rows in _whole_lists(batches, names):
+        has = np.zeros(len(rows["token"]), bool)
+        for x, y in _open_places(rows):
+            has[x] = has[y] = True
+        yield batch(ENTRY, *(rows[c][has] for c in names))
+
+
+def _folds(bits: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Each row's number of parity words, and by number of words the rows of at least as many, folded to it."""
+    words = np.array([len(x) for x in bits], np.int64) // 8
+    folds, above, w = {}, None, BITS // 8
+    while w:
+        now = np.zeros((len(bits), w), np.uint64)
+        if above is not None:
+            now ^= above[:, :w] ^ above[:, w:]
+        own = np.flatnonzero(words == w)
+        if len(own):
+            now[own] = np.frombuffer(b"".join(bits[own]), np.uint64).reshape(-1, w)
+        folds[w] = above = now
+        w //= 2
+    return words, folds
+
+
+def _likeness(rows: dict[str, np.ndarray], words: np.ndarray, folds: dict[int, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The most that the similarity of the balls' leaders at ``x`` and ``y`` can be by their parities."""
+    width = np.minimum(words[x], words[y])
+    differ = np.zeros(len(x), np.int64)
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width == w)
+        for part in (at[k : k + AT_ONCE] for k in range(0, len(at), AT_ONCE)):
+            differ[part] = np.bitwise_count(folds[w][x[part]] ^ folds[w][y[part]]).sum(1)
+    n, m = rows["n"][x], rows["n"][y]
+    common = np.minimum(np.minimum(n, m), (n + m - differ) // 2)
+    return common / (n + m - common)
+
+
+def _pairs(best: bool):
+    """Pairs of balls, in order, that may link or have members that may; with ``best`` each ball's likest partner only."""
+
+    def pairs(batches):
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
+        def flush():
+            a, b, like = (np.concatenate(x) for x in zip(*found))
+            found.clear()
+            if best:
+                a, b, like = np.concatenate([a, b]), np.concatenate([b, a]), np.tile(like, 2)
+                order = np.lexsort((b, -like, a))
+                order = order[np.unique(a[order], return_index=True)[1]]
+                return batch(MET, a[order], b[order], (like[order] * 1e6).astype(np.int64))
+            some = np.unique(np.sort(np.stack([a, b], 1), 1), axis=0)
+            return batch(MET, some[:, 0], some[:, 1], np.zeros(len(some), np.int64))
+
+        for rows in _whole_lists(batches, ("token", "ball", "comp", "low", "high", "rest", "n", "away", "bits")):
+            words, folds = _folds(rows["bits"])
+            for x, y in _open_places(rows):
+                like = _likeness(rows, words, folds, x, y)
+                ok = 1 - like <= 0.25 + rows["away"][x] + rows["away"][y] + 1e-9
+                if ok.any():
+                    found.append((rows["ball"][x[ok]], rows["ball"][y[ok]], like[ok]))
+                if sum(len(f[0]) for f in found) > HELD_PAIRS:
+                    yield flush()
+        if found:
+            yield flush()
 
+    return pairs
+
+
+def _folded(batches):
+    for rows in batches:
+        yield batch(BRIEF, rows.column("ball"), rows.column("n"), rows.column("away"), [folded(x) for x in rows.column("bits").to_pylist()])
+
+
+BRIEF = "ball long, n long, away double, bits binary"
 VERIFIED = "a long, b long, common long, n long, m long"
 
 
@@ -496,19 +577,30 @@ def components_of(docs: DataFrame) -> DataFrame:
     lists = written(blobs.groupBy("bucket").applyInArrow(_opened, ENTRY))
 
     # Rounds: neighbours are compared and what links is contracted, so a connected group's pairs never arise.
-    # When less than half of a round's pairs link, contraction pays no longer: all pairs between components that are
-    # still open are compared.
-    roots, far, last = first_roots, None, False
-    while True:
+    # When less than half of a round's pairs link, the entries of open lists are held against each other by their
+    # parities: balls meet their likest partners while half of these link, then all pairs that may link are compared.
+    radius = written(stars.groupBy("ball").agg(F.max("away").alias("radius")))
+    roots, far, way = first_roots, None, "neighbours"
+    while not lists.isEmpty():
         tops = roots.select(F.col("node").alias("ball"), "root")
         dealt = lists.drop("comp").join(tops, "ball", "left").withColumn("comp", F.coalesce("root", "ball")).select(*lists.columns)
-        dealt = dealt.repartition("token").sortWithinPartitions("token", "ball")
-        if last:
-            pairs = dealt.mapInArrow(_pairs, PAIR).distinct()
+        if way == "neighbours":
+            dealt = dealt.repartition("token").sortWithinPartitions("token", "ball")
+            pairs = dealt.mapInArrow(_neighbours, MET).groupBy("a", "b").agg(F.sum("times").alias("times"))
+            most = PARTNERS
         else:
+            # The lists' entries that are left to decide; each round has fewer of them.
+            lists = written(dealt.repartition("token").sortWithinPartitions("token").mapInArrow(_undecided, ENTRY))
+            brief = sets.withColumnRenamed("rid", "ball").join(lists.select("ball").distinct(), "ball", "left_semi")
+            brief = brief.join(radius, "ball", "left").select("ball", "n", F.coalesce("radius", F.lit(0.0)).alias("away"), "bits")
+            full = lists.join(brief.mapInArrow(_folded, BRIEF), "ball").select(*lists.columns, "n", "away", "bits")
+            full = full.repartition("token").sortWithinPartitions("token")
+            pairs = full.mapInArrow(_pairs(way == "best"), MET).groupBy("a", "b").agg(F.max("times").alias("times"))
+            most = 1
+        if way != "all":
             often = Window.partitionBy("a").orderBy(F.desc("times"), "b")
-            pairs = dealt.mapInArrow(_neighbours, MET).groupBy("a", "b").agg(F.sum("times").alias("times"))
-            pairs = pairs.withColumn("_r", F.row_number().over(often)).where(F.col("_r") <= PARTNERS).select("a", "b")
+            pairs = pairs.withColumn("_r", F.row_number().over(often)).where(F.col("_r") <= most)
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if far is not None:
             pairs = pairs.join(far.select("a", "b"), ["a", "b"], "left_anti")
         met = compared(pairs, docs, sets)
@@ -517,12 +609,13 @@ def components_of(docs: DataFrame) -> DataFrame:
         found, tried = links.count(), met.count()
         if found:
             roots = _joined(roots, links)
-        if last:
+        if way == "all":
             break
-        last = 2 * found < tried
+        if 2 * found < tried or not tried:
+            way = "best" if way == "neighbours" else "all"
 
     # Balls whose leaders do not link but whose members may, unless they are connected by now.
-    radius = stars.groupBy("ball").agg(F.max("away").alias("radius"))
+    far = spark.createDataFrame([], VERIFIED) if far is None else far
     apart = (
         far.withColumn("away", 1 - F.col("common") / (F.col("n") + F.col("m") - F.col("common"))).where("away > 0.25")
         .join(radius.withColumnsRenamed({"ball": "a", "radius": "ra"}), "a", "left")

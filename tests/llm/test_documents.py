@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,6 +148,39 @@ def test_lists_are_skipped_by_position_without_loss():
     assert got == want
 
 
+def test_a_group_that_does_not_link_gives_few_pairs(spark, monkeypatch):
+    """Texts that share a list and two thirds of their shingles are ruled out by their parities inside the list."""
+    words, met = sentence(900).split(" "), []
+    rows = [(k, " ".join([*words[:at], f"p{k}", f"q{k}", *words[at + 2 :]])) for k, at in ((k, 4 + k % 50) for k in range(150))]
+    texts = jaccard.compared
+
+    def counted(pairs, docs, sets):
+        met.append(pairs.count())
+        return texts(pairs, docs, sets)
+
+    monkeypatch.setattr(jaccard, "compared", counted)
+    got = similar(spark, rows)
+    assert got == key(brute_components(rows))
+    assert sum(met) < 6 * len(rows)
+
+
+def test_lists_give_every_pair_that_may_link():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[: int(n)][rng.random(int(n)) > cut], rng.integers(0, 1 << 63, 9).astype(np.uint64)])) for n, cut in zip(rng.integers(20, 400, 90), rng.choice([0.02, 0.1, 0.3], 90))]
+    n = np.array([len(s) for s in sets])
+    away = np.where(np.arange(90) % 7, 0.0, 0.08)
+    cols = {"token": np.repeat([5, 9], 90), "ball": np.tile(np.arange(90), 2), "comp": np.tile(np.arange(90), 2), **{c: np.tile(n, 2) for c in ("low", "high", "rest", "n")}, "away": np.tile(away, 2)}
+    table = pa.table({**cols, "bits": [jaccard.folded(jaccard.parities(s)) for s in sets] * 2})
+    got = [(r["a"], r["b"]) for b in jaccard._pairs(False)(table.to_batches(max_chunksize=50)) for r in b.to_pylist()]
+    likest = [(r["a"], r["b"]) for b in jaccard._pairs(True)(table.to_batches(max_chunksize=50)) for r in b.to_pylist()]
+    may = lambda i, j: 1 - len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) <= 0.25 + away[i] + away[j] + 1e-9
+    fits = lambda i, j: 4 * n[i] >= 3 * n[j] and 4 * n[j] >= 3 * n[i]
+    want = {(i, j) for i in range(90) for j in range(i + 1, 90) if fits(i, j) and may(i, j)}
+    assert want and want <= set(got) and len(got) == len(set(got)) < 90 * 89 // 4
+    assert len(likest) <= 90 and {tuple(sorted(p)) for p in likest} <= set(got)
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (180, 2))] + [(1000 + i, 1001 + i) for i in range(70)] + [(5, 5)]
