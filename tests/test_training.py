@@ -4,9 +4,13 @@ import hashlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from bench import shuffled
+from evidra.operators import first_epoch as E
 from evidra.operators import linkpred as L
+from evidra.operators import skew as S
 
 
 def digits(text):
@@ -80,3 +84,56 @@ def test_the_last_step_waits_until_vectors_are_read(spark, monkeypatch):
     L.train_transe(edges, dim=2, epochs=1)
     L.train_margin(edges, 10, dim=2, epochs=1)
     assert ["kind", "id", "g", "n", "loss"] not in written
+
+
+def test_hashes_of_many_texts_are_those_of_each():
+    texts = [f"{i * 7919}:{i}" * (1 + i % 3) for i in range(1000)] + ["", "x" * 55, "y" * 54]
+    for more in ([], ["z" * 56, "z" * 130]):
+        assert E.md5_digits(pa.array(texts + more)).tolist() == [digits(x) for x in texts + more]
+    assert E.md5_digits(pa.array(texts).slice(3, 40)).tolist() == [digits(x) for x in texts[3:43]]
+
+
+def random_edges(n, seed=5, edges=400):
+    rng = np.random.default_rng(seed)
+    return [(int(h), int(r), int(t)) for h, r, t in zip(rng.integers(n, size=edges), rng.integers(3, size=edges) * 7, rng.integers(n, size=edges))]
+
+
+@pytest.mark.parametrize("most", [40, 1000])
+def test_first_epoch_by_ids_takes_the_plain_steps_with_and_without_hot_ends(spark, monkeypatch, most):
+    """Head 3 and tail 8 have very many edges, some of them equal; entities past 150 have none."""
+    monkeypatch.setattr(L, "HOT_EDGES", most)
+    edges = random_edges(150) + [(3, 0, i % 90) for i in range(120)] + [(i % 70, 7, 8) for i in range(130)] + [(3, 14, 8)] * 60
+    n = 170
+    vectors, relations, losses = L.train_margin(spark.createDataFrame(edges, "h long, r long, t long").repartition(4), n, dim=4, epochs=2, learning_rate=0.2)
+    v, r, want = plain_margin(edges, n, 4, 2, 0.2, 1.0)
+    assert np.allclose([x.loss for x in losses.orderBy("epoch").collect()], want)
+    for table, plain in ((vectors, v), (relations, r)):
+        got = {x.id: x.vec for x in table.collect()}
+        assert got.keys() == plain.keys() and all(np.allclose(got[i], plain[i]) for i in got)
+
+
+def test_edges_without_rows_have_no_loss(spark):
+    none = spark.createDataFrame([], "h long, r long, t long")
+    vectors, relations, losses = L.train_margin(none, 5, dim=3, epochs=2)
+    assert losses.collect() == [] and relations.collect() == [] and vectors.count() == 5
+
+
+def test_losses_of_two_epochs_send_about_one_vector_an_edge(spark):
+    edges = spark.createDataFrame(random_edges(7_000, edges=20_000), "h long, r long, t long").coalesce(1)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables too large for it
+    try:
+        before = shuffled(spark)
+        assert len(L.train_margin(edges, 7_000, dim=8, epochs=2)[2].collect()) == 2
+        assert (shuffled(spark) - before) * 1e6 / 20_000 < 250
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_hot_keys_are_found_without_a_shuffle_of_keys(spark):
+    facts = spark.range(3_000).selectExpr("if(id < 900, 'a', if(id < 1000, null, concat('k', id))) AS k", "if(id < 1000, 7, id) AS i")
+    before = shuffled(spark)
+    k, i = S.frequent_keys(facts, ("k", "i"), 300)
+    assert [tuple(x) for x in k.collect()] == [("a", 3)] and [tuple(x) for x in i.collect()] == [(7, 4)] and i.dtypes[0] == ("i", "bigint")
+    assert (shuffled(spark) - before) * 1e6 < 100_000
+    assert S.frequent_keys(facts, ("k",), 5_000) == [None]
