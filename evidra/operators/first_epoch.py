@@ -24,6 +24,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Ids of a block and edges of a batch at most, at up to eight numbers a vector; fewer for longer vectors.
 BLOCK_IDS = 65_536
 BATCH_EDGES = 131_072
+#: Texts that are hashed at once.
+TEXTS = 65_536
 SUMS = "kind int, id long, g array<double>, n long, loss double"
 PACKED = "block int, kind int, data binary"
 #: What a block gets: nothing, its heads' edges, pulls on its ids, h + r at a tail, h + r at a wrong tail, a loss.
@@ -37,22 +39,31 @@ _START = np.array([0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476], np.uint32)
 def md5_digits(texts: pa.Array) -> np.ndarray:
     """The first 32 bits of each text's md5 as a whole number; texts of one md5 block go through together."""
     out = np.empty(len(texts), np.int64)
-    for at in range(0, len(texts), 65_536):
-        part = texts.slice(at, 65_536)
+    for at in range(0, len(texts), TEXTS):
+        part = texts.slice(at, TEXTS)
         sizes = pc.binary_length(part).to_numpy()
         if sizes.max() > 55:
             out[at : at + len(part)] = [int.from_bytes(hashlib.md5(x.encode()).digest()[:4], "big") for x in part.to_pylist()]
-            continue
-        offsets = np.frombuffer(part.buffers()[1], np.int32)[part.offset : part.offset + len(part) + 1]
-        width = 4 * (int(sizes.max()) // 4 + 1)
-        rows = np.zeros((len(part), width), np.uint8)
-        rows[np.arange(width) < sizes[:, None]] = np.frombuffer(part.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-        rows[np.arange(len(part)), sizes] = 0x80
-        words = dict(enumerate(rows.view("<u4").T.copy())) | {14: (sizes * 8).astype(np.uint32)}
-        out[at : at + len(part)] = _first_word(words, len(part)).byteswap()
+        else:
+            out[at : at + len(part)] = _hashed(_padded(part, sizes), sizes)
     return out
 
 
+def _padded(texts: pa.Array, sizes: np.ndarray) -> np.ndarray:
+    """One row of bytes for each text of 55 or fewer, and the bit that md5 puts behind."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    width = 4 * (int(sizes.max()) // 4 + 1)
+    rows = np.zeros((len(texts), width), np.uint8)
+    rows[np.arange(width) < sizes[:, None]] = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    rows[np.arange(len(texts)), sizes] = 0x80
+    return rows
+
+
+def _hashed(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    words = dict(enumerate(rows.view("<u4").T.copy())) | {14: (sizes * 8).astype(np.uint32)}
+    return _first_word(words, len(rows)).byteswap()
+
+
 def _first_word(words: dict[int, np.ndarray], n: int) -> np.ndarray:
     """The first word of the md5 of n times 16 little-endian words, those left out being zero."""
     a, b, c, d = (np.full(n, x) for x in _START)
@@ -83,11 +94,20 @@ def _text(ids: np.ndarray) -> pa.Array:
 
 
 def digit_matrix(ids: np.ndarray, dim: int, seed: int) -> np.ndarray:
-    """The vectors of ``linkpred.digit_vectors``."""
-    text = _text(ids)
+    """The vectors of ``linkpred.digit_vectors``; an id's texts differ in the position's digits only."""
     out = np.empty((len(ids), dim))
-    for k in range(dim):
-        out[:, k] = md5_digits(pc.binary_join_element_wise(str(seed), text, str(k), ":")) / 2.0**31 - 1
+    for at in range(0, len(ids), TEXTS):
+        text = _text(ids[at : at + TEXTS])
+        each = np.arange(len(text))
+        for k in range(dim):
+            digits = str(k)
+            if k == 0 or len(digits) > len(str(k - 1)):
+                texts = pc.binary_join_element_wise(str(seed), text, digits, ":")
+                sizes = pc.binary_length(texts).to_numpy()
+                rows = _padded(texts, sizes)
+            for place, digit in enumerate(digits, -len(digits)):
+                rows[each, sizes + place] = ord(digit)
+            out[at : at + len(text), k] = _hashed(rows, sizes) / 2.0**31 - 1
     return out
 
 
@@ -181,13 +201,16 @@ class FirstEpoch:
             new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (r[1:] != r[:-1]) | (t[1:] != t[:-1])]))
             yield h[new], r[new], t[new], np.diff(new, append=len(h))
 
-    def _ends(self, h: np.ndarray, r: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, ...]:
+    def _firsts(self, ids: np.ndarray) -> np.ndarray:
+        """First vectors of ids that may occur several times."""
+        ids, at = np.unique(ids, return_inverse=True)
+        return self._first(ids)[at]
+
+    def _ends(self, h: np.ndarray, r: np.ndarray, t: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, ...]:
         """Wrong tails, h + r - t, h + r - c and losses of the first epoch."""
         c = wrong_tails(h, self.relations[r], t, self.entities, 1)
-        ids, at = np.unique(np.concatenate([h, t, c]), return_inverse=True)
-        vecs, n = self._first(ids), len(h)
-        sums = vecs[at[:n]] + self.first_r[r]
-        e, f = sums - vecs[at[n : 2 * n]], sums - vecs[at[2 * n :]]
+        sums, ends = heads + self.first_r[r], self._firsts(np.concatenate([t, c]))
+        e, f = sums - ends[: len(h)], sums - ends[len(h) :]
         return c, e, f, np.maximum(0.0, self.margin + _square(e) - _square(f))
 
     def _hot_at(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,7 +226,7 @@ class FirstEpoch:
         n = [np.zeros(len(x), np.int64) for x in g]
         loss, weight = 0.0, 0
         for h, r, t, w in self._edges(batches):
-            c, e, f, hinge = self._ends(h, r, t)
+            c, e, f, hinge = self._ends(h, r, t, self._firsts(h))
             loss, weight = loss + float((hinge * w).sum()), weight + int(w.sum())
             on = hinge > 0
             h, r, t, c, w, e, f = (x[on] for x in (h, r, t, c, w, e, f))
@@ -245,7 +268,7 @@ class FirstEpoch:
     def send(self, batches):
         """Edges to their heads' blocks, and pulls of active edges to those of tails and wrong tails, as ids."""
         for h, r, t, w in self._edges(batches):
-            c, _, _, hinge = self._ends(h, r, t)
+            c, _, _, hinge = self._ends(h, r, t, self._firsts(h))
             cold = ~self._hot_at(h)[1]
             yield self._packed(EDGES, h[cold], r[cold], t[cold], w[cold])
             for ids, sign in ((t, -1), (c, 1)):
@@ -261,12 +284,11 @@ class FirstEpoch:
         first = self._first(ids)
         g, n = np.zeros(first.shape), np.zeros(len(ids), np.int64)
         at, r, t, w = self._unpacked(got, EDGES)
-        _, e, f, hinge = self._ends(ids[at], r, t)
+        _, e, f, hinge = self._ends(ids[at], r, t, first[at])
         on = hinge > 0
         _add(g, n, at[on], (2 * (e - f) * w[:, None])[on], w[on])
         at, h, r, w = self._unpacked(got, PULLS)
-        heads, which = np.unique(h, return_inverse=True)
-        _add(g, n, at, 2 * (self._first(heads)[which] + self.first_r[r] - first[at]) * w[:, None], np.abs(w))
+        _add(g, n, at, 2 * (self._firsts(h) + self.first_r[r] - first[at]) * w[:, None], np.abs(w))
         vecs = self._step(first, g, n)
         mine = np.flatnonzero(self.hot % self.blocks == block)
         vecs[self.hot[mine] // self.blocks] = self.hot_v[mine]
