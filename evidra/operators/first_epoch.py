@@ -169,13 +169,13 @@ class FirstEpoch:
         self.hot_v = self._step(self._first(self.hot), g, n)
         self.next_r = np.array([row["vec"] for row in sorted(relations, key=lambda row: row["id"])]).reshape(-1, self.dim)
 
-    def steps(self, edges: DataFrame, hot_heads: bool) -> tuple[DataFrame, DataFrame]:
+    def steps(self, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(id, vec) after the first epoch, and the (loss, n) of the second by block."""
         block = F.col("id").cast("int").alias("block")
         every = edges.sparkSession.range(self.blocks).select(block, F.lit(NONE).alias("kind"), F.lit(b"").alias("data"))
         got = edges.mapInArrow(self.send, PACKED).unionByName(every).groupBy("block")
         asked = got.applyInArrow(lambda key, got: self.heads(key[0].as_py(), got), PACKED)
-        if hot_heads:
+        if len(self.hot):
             asked = asked.unionByName(edges.mapInArrow(self.hot_heads, PACKED))
         tails = got.cogroup(asked.groupBy("block")).applyInArrow(
             lambda key, got, asked: self.tails(key[0].as_py(), got, asked), PACKED)
@@ -312,9 +312,10 @@ class FirstEpoch:
         return pa.Table.from_batches(list(self._ask(self._ids(block)[at], r, t, w, self._vectors(block, got)[at])))
 
     def hot_heads(self, batches):
-        for h, r, t, w in self._edges(batches):
-            at, hot = self._hot_at(h)
-            yield from self._ask(h[hot], r[hot], t[hot], w[hot], self.hot_v[at[hot]])
+        """The edges that no block has: an end of very many edges may be the head of few."""
+        hot = pa.array(self.hot)
+        for h, r, t, w in self._edges(batch.filter(pc.is_in(batch["h"], value_set=hot)) for batch in batches):
+            yield from self._ask(h, r, t, w, self.hot_v[self._hot_at(h)[0]])
 
     def _loss(self, vecs: np.ndarray, asked: pa.Table) -> tuple[float, int]:
         at, w, right, sums = self._unpacked(asked, WRONG)

@@ -1,7 +1,7 @@
 """Training against wrong tails, next to the same steps in plain Python."""
 
 import hashlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -98,12 +98,14 @@ def random_edges(n, seed=5, edges=400):
     return [(int(h), int(r), int(t)) for h, r, t in zip(rng.integers(n, size=edges), rng.integers(3, size=edges) * 7, rng.integers(n, size=edges))]
 
 
-@pytest.mark.parametrize("most", [40, 1000])
-def test_first_epoch_by_ids_takes_the_plain_steps_with_and_without_hot_ends(spark, monkeypatch, most):
-    """Head 3 and tail 8 have very many edges, some of them equal; entities past 150 have none."""
+@pytest.mark.parametrize("most, hot", [(40, {3, 8}), (170, {8}), (1000, set())])
+def test_first_epoch_by_ids_takes_the_plain_steps_with_and_without_hot_ends(spark, monkeypatch, most, hot):
+    """Head 3 and tail 8 have very many edges, some of them equal; entities past 150 have none. Tail 8 is the head of few."""
     monkeypatch.setattr(L, "HOT_EDGES", most)
-    edges = random_edges(150) + [(3, 0, i % 90) for i in range(120)] + [(i % 70, 7, 8) for i in range(130)] + [(3, 14, 8)] * 60
+    edges = random_edges(150) + [(3, 0, i % 90) for i in range(80)] + [(i % 70, 7, 8) for i in range(130)] + [(3, 14, 8)] * 60 + [(8, 0, 20), (8, 7, 3)]
     n = 170
+    ends = [Counter(e[i] for e in edges) for i in (0, 2)]
+    assert {k for end in ends for k, count in end.items() if count > most} == hot
     vectors, relations, losses = L.train_margin(spark.createDataFrame(edges, "h long, r long, t long").repartition(4), n, dim=4, epochs=2, learning_rate=0.2)
     v, r, want = plain_margin(edges, n, 4, 2, 0.2, 1.0)
     assert np.allclose([x.loss for x in losses.orderBy("epoch").collect()], want)
